@@ -267,3 +267,43 @@ def coverage_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])
     return found.select("ws", "found", F.array_except(every, "found").alias("missing"),
                         (F.floor(F.col("ws") / DAY) % 5 == 0).alias("partial"))
+
+
+def ws_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Push frames: books, changes, trades, arrays of two, unknown types, malformed messages."""
+    ev = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    p = F.format_string("0.%02d", eid % 89 + 10)
+    s = (eid % 500 + 1).cast("string")
+    asset = F.concat(F.lit('"asset_id": "a'), (eid % 23).cast("string"), F.lit('", "market": "m"'))
+    book = F.concat(F.lit('{"event_type": "book", '), asset, F.lit(', "bids": [{"price": "'), p,
+                    F.lit('", "size": "'), s, F.lit('"}], "asks": [{"price": "0.99", "size": "1"}, '
+                                                    '{"price": "1.00", "size": "2"}]}'))
+    change = F.concat(F.lit('{"event_type": "price_change", '), asset,
+                      F.lit(', "changes": [{"side": "BUY", "price": "'), p, F.lit('", "size": "0"}, '
+                            '{"side": "SELL", "price": "0.5", "size": "'), s, F.lit('"}]}'))
+    trade = F.concat(F.lit('{"event_type": "last_trade_price", '), asset, F.lit(', "price": "'), p,
+                     F.lit('", "side": "SELL"}'))
+    half = F.concat(F.lit('{"event_type": "price_change", '), asset,
+                    F.lit(', "changes": [{"side": "BUY", "price": "'), p, F.lit('", "size": "5"}, '
+                          '{"side": "SELL", "size": "5"}, {"side": "BUY", "price": "0.4", "size": "1"}]}'))
+    nameless = F.lit('{"event_type": "last_trade_price", "price": "0.5"}')
+    other = F.lit('{"event_type": "tick_size_change", "asset_id": "a1"}')
+    two = F.concat(F.lit("["), trade, F.lit(", "), change, F.lit("]"))
+    m = eid % 7
+    text = (F.when(m == 0, book).when(m == 1, change).when(m == 2, trade).when(m == 3, half)
+            .when(m == 4, nameless).when(m == 5, other).otherwise(two))
+    text = F.when(eid % 101 == 0, F.lit("{broken")).otherwise(text)
+    return ev.select(eid.alias("line_id"), text.alias("text"))
+
+
+def kline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV candle lines, milliseconds and microseconds mixed, some header lines in between."""
+    ev = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    t = seconds(F.col("ts"))
+    stamp = F.when(eid % 2 == 0, t * 1000 + eid % 1000).otherwise(t * 1000000 + eid % 1000000)
+    v = F.col("value").cast("string")
+    line = F.concat_ws(",", stamp.cast("string"), v, v, v, (eid % 1000).cast("string"), F.lit("extra"))
+    line = F.when(eid % 50 == 0, F.lit("open_time,open,high,low,close")).otherwise(line)
+    return ev.select(eid.alias("line_id"), line.alias("line"))
