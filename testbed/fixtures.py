@@ -27,8 +27,10 @@ def seconds(ts: Column) -> Column:
 
 
 def r6(c: Column | str) -> Column:
+    """Six decimals for comparison. The nudge keeps exact ties (averages of cents) from rounding
+    up in one engine and down in the other."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return F.round(c.cast("double") + F.lit(1e-9), 6)
 
 
 def big(c: Column | str) -> Column:

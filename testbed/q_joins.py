@@ -24,7 +24,7 @@ def j1(spark, sf):
     df = triggers.ticks_with_outcome(fx.clean(spark, sf), fx.windows(spark, sf), WINDOW)
     return df.groupBy("series_key", "outcome").agg(
         F.count("*").alias("n"), F.sum("t").alias("sum_t"),
-        F.round(F.sum(F.col("spot").cast("decimal(18,2)")).cast("double"), 6).alias("sum_spot"))
+        r6(F.sum(F.col("spot").cast("decimal(18,2)"))).alias("sum_spot"))
 
 
 @register("J2_asof_value", f"""

@@ -144,7 +144,7 @@ def w6(spark, sf):
 
 ROWS, LEAD, STEP = 6, 21600, 3600
 TWAP_SQL = """
-tw as (select series_key, ts, round_even(avg(close) over (partition by series_key order by ts rows between 5 preceding and current row), 6) as twap from v_bars)"""
+tw as (select series_key, ts, round_even(avg(close) over (partition by series_key order by ts rows between 5 preceding and current row) * 1e6, 0) / 1e6 as twap from v_bars)"""
 
 
 @register("W7_twap", f"with {TWAP_SQL} select series_key, ts, twap from tw")
