@@ -124,9 +124,9 @@ with f as (select event_id as line_id, event_id % 7 as m, 'a' || (event_id % 23)
 
 @register("S9_parse_ws_frames", _FRAME_SQL + """
 select line_id, 'book' as kind, asset_id, null as side, null::double as price, null::double as size, 3 as n_levels from f where m = 0
-union all select line_id, 'pchange', asset_id, 'BUY', p, 0::double, 0 from f where m in (1, 6)
-union all select line_id, 'pchange', asset_id, 'SELL', 0.5::double, s, 0 from f where m in (1, 6)
-union all select line_id, 'trade', asset_id, 'SELL', p, 0::double, 0 from f where m in (2, 6)
+union all select line_id, 'pchange', asset_id, 'BUY', p, 0::double, 0 from f where m in (6, 1)
+union all select line_id, 'pchange', asset_id, 'SELL', 0.5::double, s, 0 from f where m in (6, 1)
+union all select line_id, 'trade', asset_id, 'SELL', p, 0::double, 0 from f where m in (6, 2)
 union all select line_id, 'pchange', asset_id, 'BUY', p, 5::double, 0 from f where m = 3
 """)
 def s9(spark, sf):

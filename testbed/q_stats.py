@@ -23,6 +23,7 @@ from testbed.registry import register
 from tickloom.operators import features, labels, studies, triggers
 from tickloom.params import parameter_grid, parameter_set
 from tickloom.plans import grid as grid_plan
+from tickloom.plans.staging import stage
 
 S = ["series_key"]
 
@@ -41,7 +42,7 @@ select series_key, windows, entered, {', '.join(x.lower() for x in studies.EXIT_
 from k join s using (series_key) left join q using (series_key)
 """)
 def a2(spark, sf):
-    rep = studies.run_report(replayed(spark, sf), fx.windows(spark, sf), S)
+    rep = studies.run_report(stage(replayed(spark, sf)), fx.windows(spark, sf), S)
     floats = ("total_pnl", "total_fee", "q05", "q25", "q50", "q75", "q95", "settled_win_rate", "nominal_win_rate")
     return rep.select("series_key", "windows", "entered", *[x.lower() for x in studies.EXIT_KINDS], "skipped",
                       *[r6(c).alias(c) for c in floats])
@@ -150,6 +151,11 @@ BAND = (0.10, 0.45)
 
 
 def study(spark, sf):
+    """The study table, staged once because the statistics read it several times."""
+    return stage(study_rows(spark, sf))
+
+
+def study_rows(spark, sf):
     live = triggers.ticks_with_outcome(fx.clean(spark, sf), fx.windows(spark, sf), WINDOW)
     df = features.book_delta_features(features.book_features(live), WINDOW, scale=SCALE)
     df = labels.label_columns(df, WINDOW, scale=SCALE).filter("cand_ask is not null")
@@ -158,7 +164,7 @@ def study(spark, sf):
 
 
 def candidate_orders(spark, sf):
-    return studies.would_enter(study(spark, sf), time_scale=SCALE, band=BAND)
+    return stage(studies.would_enter(study_rows(spark, sf), time_scale=SCALE, band=BAND))
 
 
 def long_sql(source: str, cols, keep: str) -> str:
@@ -194,7 +200,7 @@ def a5(spark, sf):
 with {STUDY_SQL} {' union all '.join(f"select series_key, '{c}' as feature, count(case when {c} is null then 1 end) as n_null from study group by 1" for c in FEATS)}
 """)
 def a5_nulls(spark, sf):
-    return studies.null_counts(study(spark, sf), S, FEATS)
+    return studies.null_counts(study_rows(spark, sf), S, FEATS)
 
 
 @register("A6_monotonicity_rho", f"""
@@ -253,7 +259,7 @@ select series_key, condition, count(case when hit then 1 end) as n,
 from h group by 1, 2
 """)
 def a8(spark, sf):
-    out = studies.condition_stats(study(spark, sf), S, CONDITIONS)
+    out = studies.condition_stats(study_rows(spark, sf), S, CONDITIONS)
     return out.select("series_key", "condition", "n", "small",
                       *[r6(c).alias(c) for c in ("entry_rate", "win_rate", "ret60", "mfe60", "mae60")])
 
@@ -370,9 +376,9 @@ select series_key, feature, q, round(threshold, 6) + 0.0::double as threshold, n
 from kp join bs using (series_key) where n >= {MIN}
 """)
 def a14(spark, sf):
-    sp = studies.walk_forward_split(candidate_orders(spark, sf), S, "ws", DAY)
+    sp = stage(studies.walk_forward_split(candidate_orders(spark, sf), S, "ws", DAY))
     train, val = sp.filter("split = 'train'"), sp.filter("split = 'val'")
-    prof = studies.separation_profile(val, S, FEATS, "win_label", min_class=MIN)
+    prof = stage(studies.separation_profile(val, S, FEATS, "win_label", min_class=MIN))
     out = studies.rule_threshold_sweep(train, val, S, prof, FEATS, min_train=MIN, min_keep=MIN)
     return out.select("series_key", "feature", "q", r6("threshold").alias("threshold"), "n",
                       *[r6(c).alias(c) for c in ("win_rate", "ev", "recall", "fp_cut")])
@@ -391,7 +397,7 @@ from kp join bs using (series_key) where n >= {MIN} and nn - n > 0
 """)
 def a15(spark, sf):
     rows = candidate_orders(spark, sf)
-    prof = studies.separation_profile(rows, S, FEATS, "win_label", min_class=MIN)
+    prof = stage(studies.separation_profile(rows, S, FEATS, "win_label", min_class=MIN))
     out = studies.filter_tradeoff(rows, S, prof, FEATS, min_rows=MIN, min_keep=MIN)
     return out.select("series_key", "feature", "q", r6("threshold").alias("threshold"), "keep_n", "drop_n", "killed",
                       *[r6(c).alias(c) for c in ("keep_win", "keep_ev", "drop_win", "killed_rate", "killed_of_winners")])
@@ -406,7 +412,7 @@ select series_key, feature, max(n_hard) as n_hard, round(max(n_hard) / max(neg),
 from lgv join bs using (series_key) group by 1, 2 having count(case when hard then 1 end) >= 3
 """)
 def a16(spark, sf):
-    val = studies.walk_forward_split(candidate_orders(spark, sf), S, "ws", DAY).filter("split = 'val'")
+    val = stage(studies.walk_forward_split(candidate_orders(spark, sf), S, "ws", DAY).filter("split = 'val'"))
     out = studies.hard_negative_profile(val, S, FEATS, min_rows=3)
     return out.select("series_key", "feature", "n_hard", "n_values",
                       *[r6(c).alias(c) for c in ("share_of_losers", "median_hard", "median_winner")])
@@ -436,7 +442,7 @@ select series_key, block, n, round(case when n >= 50 then w / n end, 6) as win_r
   round(case when n >= 50 then a + 0.07::double * a * (1 - a) end, 6) as breakeven, round(case when n >= 50 then w / n - a - 0.07::double * a * (1 - a) end, 6) + 0.0::double as ev from g
 """)
 def a17(spark, sf):
-    out = studies.block_audit(study(spark, sf), S, _blocks())
+    out = studies.block_audit(study_rows(spark, sf), S, _blocks())
     return out.select("series_key", "block", "n",
                       *[r6(c).alias(c) for c in ("win_rate", "mean_ask", "breakeven", "ev")])
 

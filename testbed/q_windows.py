@@ -420,7 +420,10 @@ with {REPLAY_SQL} select series_key, ws, outcome, exit_kind, cand, round(entry_a
   round(pnl, 6) + 0.0::double as pnl, round(fee, 6) + 0.0::double as fee, reasons from res
 """)
 def w18(spark, sf):
-    return replayed(spark, sf).select(
+    live, e = _entries(spark, sf)
+    exits = triggers.first_trigger_exit(e, live, WINDOW)
+    decided = triggers.windows_with_ticks(fx.windows(spark, sf), live, WINDOW)
+    return triggers.pair_and_settle(decided, e, exits, WINDOW, TP94).select(
         "series_key", "ws", "outcome", "exit_kind", "cand", r6("entry_ask").alias("entry_ask"),
         "entry_t", "exit_t", "size", r6("pnl").alias("pnl"), r6("fee").alias("fee"),
         F.concat_ws(";", "reasons").alias("reasons"))

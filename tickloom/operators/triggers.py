@@ -1,9 +1,8 @@
 """First-trigger entries, exits and settlement over ticks x parameter sets.
 
-Layout: ticks are hash-partitioned by event window once. Every later grouping and join in
-this module is keyed by the window first, so Spark reuses that partitioning. A window holds at
-most one tick per second, which bounds every group. Parameter sets are array literals and are
-multiplied in only after the rows have been cut to those some set could act on.
+Every grouping and join is keyed by the event window, which holds at most one tick per second;
+that bounds every group. Parameter sets are array literals (no join) and are multiplied in only
+after the rows have been cut to those some set could act on.
 """
 
 from __future__ import annotations
@@ -105,9 +104,13 @@ def pair_and_settle(windows: DataFrame, entries: DataFrame, exits: DataFrame,
     ids = F.array(*[F.lit(pid) for pid in param_sets])
     grid = windows.select(*window, outcome).withColumn("param_id", F.explode(ids))
     keys = [*window, "param_id"]
-    j = (grid.join(entries.select(*keys, *ENTRY_FIELDS, "depth_ok"), keys, "left")
-         .join(exits, keys, "left"))
+    paired = (grid.join(entries.select(*keys, *ENTRY_FIELDS, "depth_ok"), keys, "left")
+              .join(exits, keys, "left"))
+    return _settled(paired, keys, outcome)
 
+
+def _settled(paired: DataFrame, keys: Sequence[str], outcome: str) -> DataFrame:
+    """Exit kind, fee and net result of paired rows (entry and exit columns side by side)."""
     filled = F.coalesce(F.col("depth_ok"), F.lit(False))
     exited = filled & F.col("exit_kind").isNotNull()
     won = F.coalesce(F.col(outcome) == F.col("cand"), F.lit(False))
@@ -127,7 +130,7 @@ def pair_and_settle(windows: DataFrame, entries: DataFrame, exits: DataFrame,
            .otherwise(F.lit("SETTLE_LOSE")))
     reason = F.when(F.col("entry_t").isNotNull() & ~filled,
                     F.format_string("depth %d<%d", F.col("ask_size"), size))
-    return j.select(
+    return paired.select(
         *keys, outcome, end.alias("exit_kind"), "cand", "entry_ask",
         F.when(filled, F.col("entry_t")).alias("entry_t"), F.when(exited, F.col("exit_t")).alias("exit_t"),
         F.when(exited, bid).alias("exit_bid"),
@@ -158,18 +161,60 @@ def replay(ticks: DataFrame, windows: DataFrame, param_sets: Mapping[str, Mappin
            rng: str = "rng", score: str | None = None, time_scale: int = 1) -> DataFrame:
     """Entry, exit and settlement of every decided window under every parameter set.
 
-    ``ticks`` are cleaned ticks; ``rng`` is the volatility column (use a zero literal column
-    when there are no bars).
+    Same result as first_trigger_entry, first_trigger_exit and pair_and_settle, arranged for
+    many parameter sets: the ticks are shuffled once, folded to one sorted array per window,
+    and each set is evaluated on that array, so neither the ticks nor their shuffle is repeated
+    per set. The array is bounded by the window length because ``ticks`` (cleaned) must hold at
+    most one row per second (see dedupe_ticks). ``rng`` is the volatility column, a zero
+    literal when there are no bars.
     """
-    cols = [*window, time, elapsed, "cand", "cand_ask", "au", "bu", "ad", "bd",
-            "su", "sau", "sd", "sad", rng] + ([score] if score else [])
-    placed = ticks.select(*dict.fromkeys(cols)).repartition(*window)
-    decided = windows_with_ticks(windows, placed, window)
-    live = placed.join(decided.select(*window), list(window), "left_semi")
-    entries = first_trigger_entry(live, param_sets, window, time=time, elapsed=elapsed,
-                                  rng=rng, score=score, time_scale=time_scale)
-    exits = first_trigger_exit(entries, live, window, time=time)
-    return pair_and_settle(decided, entries, exits, window, param_sets)
+    role = book.role_columns()
+    tick = F.struct(
+        F.col(time).alias("t"), (F.col(elapsed) / time_scale).alias("s"), F.col(rng).alias("rng"),
+        F.col("cand"), F.col("cand_ask"), role["cand_ask_size"].alias("ask_size"),
+        book.depth_ratio(role["cand_ask"], role["cand_ask_size"], role["fav_bid"],
+                         role["fav_bid_size"]).alias("depth"),
+        (F.col(score) if score else F.lit(None).cast("int")).alias("score"),
+        "bu", "bd", "su", "sd")
+    folded = ticks.groupBy(*window).agg(F.sort_array(F.collect_list(tick)).alias("ticks"))
+    decided = windows.filter(F.col("outcome").isin("Up", "Down")).select(*window, "outcome")
+    env = envelope(param_sets)
+    possible = F.filter("ticks", lambda x: (
+        (x["s"] >= env["entry_after"]) & (x["s"] <= env["entry_until"])
+        & (x["cand_ask"] > env["min_entry"]) & (x["cand_ask"] < env["max_entry"])
+        & (x["rng"] < env["max_vol"])))
+
+    def enters(x: Column) -> Column:
+        base = decision.classify_entry(x["s"], x["cand_ask"], x["rng"], _p)
+        return decision.apply_gates(base, x["score"], x["depth"], _p) == "ENTER"
+
+    entered = param_cross(
+        decided.join(folded, list(window)).withColumn("possible", possible), param_sets
+    ).withColumn("e", F.get(F.filter("possible", enters), F.lit(0)))
+    entered = entered.withColumn("size", order_size(
+        F.col("e.cand_ask"), _p("target_notional"), _p("min_size"))).withColumn(
+        "depth_ok", F.col("e.ask_size") >= F.col("size"))
+
+    entry_ask, cand = F.col("e.cand_ask"), F.col("e.cand")
+
+    def kind_of(x: Column) -> Column:
+        bid = book.by_role(cand, x["bu"], x["bd"])
+        return F.when(decision.take_profit_hit(bid, entry_ask, _p), F.lit("TAKE_PROFIT")).when(
+            decision.stop_hit(bid, _p), F.lit("STOP_LOSS"))
+
+    def leaves(x: Column) -> Column:
+        enough = book.by_role(cand, x["su"], x["sd"]) >= F.col("size")
+        return (x["t"] > F.col("e.t")) & enough & kind_of(x).isNotNull()
+
+    exited = entered.withColumn(
+        "x", F.when(F.col("depth_ok"), F.get(F.filter("ticks", leaves), F.lit(0))))
+    flat = exited.select(
+        *window, "outcome", F.col("p.param_id").alias("param_id"), F.col("e.t").alias("entry_t"),
+        entry_ask.alias("entry_ask"), cand.alias("cand"), F.col("e.ask_size").alias("ask_size"),
+        "size", "depth_ok", F.col("x.t").alias("exit_t"),
+        book.by_role(cand, F.col("x.bu"), F.col("x.bd")).alias("exit_bid"),
+        F.when(F.col("x").isNotNull(), kind_of(F.col("x"))).alias("exit_kind"))
+    return _settled(flat, [*window, "param_id"], "outcome")
 
 
 def marginal_split(results: DataFrame, loose: str, tight: str, window: Sequence[str]
