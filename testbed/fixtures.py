@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+
 def seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
@@ -127,9 +134,9 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 0, F.lit("Up")).when(m == 1, F.lit("Down")).alias("winner"))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
     """JSON event lines with the name of the daily file they would sit in."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events") if ev is None else ev
     eid = F.col("event_id")
     iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     p = F.format_string("0.%02d", eid % 89 + 10)
@@ -146,7 +153,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = F.concat(
         F.lit('"WsPriceChange", "event": {'), asset, F.lit(', "side": "'),
         F.when(F.floor(eid / 5) % 2 == 0, F.lit("BUY")).otherwise(F.lit("SELL")),
-        F.lit('", "price": "'), p, F.lit('", "size": "'), s, F.lit('"}}'))
+        F.lit('", "price": "'), p, F.lit('", "size": "'),
+        F.when(eid % 15 == 1, F.lit("0")).otherwise(s), F.lit('"}}'))
     rest = F.concat(
         F.lit('"RestBook", "event": {'), asset, F.lit(', "bids": {"'), p, F.lit('": "'), s,
         F.lit('"}, "asks": {"0.96": "'), s, F.lit('", "0.97": "3"}}}'))
@@ -233,8 +241,8 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 1000 - 500).alias("pnl"))
 
 
-def twap_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def twap_messages(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = table(spark, sf_dir, "events") if ev is None else ev
     eid = F.col("event_id")
     cents = F.floor(F.col("value") * 100).cast("bigint").cast("string")
     fixed = F.concat(F.lit(', "full_accuracy_value": "'), cents, F.lit('0000000000000000"'))

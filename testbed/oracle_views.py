@@ -88,7 +88,7 @@ VIEWS["v_log"] = """
 select line_id, dt, case when line_id % 97 = 0 then null else line_id % 5 end as kind_no,
   'a' || (line_id % 23) as asset_id, 'm' || (line_id % 7) as market, ts,
   (line_id % 89 + 10) / 100.0::double as p, (line_id % 79 + 10) / 100.0::double as q,
-  cast(line_id % 500 + 1 as double) as s, (line_id // 5) % 2 = 0 as buy
+  case when line_id % 15 = 1 then 0.0::double else cast(line_id % 500 + 1 as double) end as s, (line_id // 5) % 2 = 0 as buy
 from (select event_id as line_id, ts, strftime(ts, '%Y-%m-%d') as dt from events) e
 """
 
