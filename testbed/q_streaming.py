@@ -145,7 +145,10 @@ def judged(ticks: DataFrame) -> DataFrame:
 @register("T6_stream_first_signal", SIGNAL_SQL)
 def t6(spark, sf):
     prepare_streaming(fx.prepare(spark))
-    out = finish(state.stream_first_signal(judged(replayed_stream(fx.ticks(spark, sf)))))
+    # the four input files may arrive in any order, so the watermark waits for the whole month
+    signals = state.stream_first_signal(judged(replayed_stream(fx.ticks(spark, sf))),
+                                        window_len=DAY, delay="40 days")
+    out = finish(signals)
     return out.select("series_key", "ws", "t", "cand", r6("cand_ask").alias("cand_ask"))
 
 

@@ -7,12 +7,17 @@ maxOffsetsPerTrigger), not by the size of the stream.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# ship the processors with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BOOK_OUTPUT = ("asset_id string, ts bigint, seq bigint, ready boolean, best_bid double, "
                "bid_size double, best_ask double, ask_size double")
 
@@ -30,8 +35,8 @@ class BookState(StatefulProcessor):
         book = dict(before)
         for r in sorted(rows, key=lambda x: (x.ts, x.seq)):
             if r.kind == "snapshot":
-                book = {("bid", x.price): x.size for x in r.bids}
-                book.update({("ask", x.price): x.size for x in r.asks})
+                book = {("bid", x["price"]): x["size"] for x in r.bids}
+                book.update({("ask", x["price"]): x["size"] for x in r.asks})
                 ready = True
             elif r.kind == "disconnect":
                 ready = False
@@ -153,31 +158,37 @@ SIGNAL_OUTPUT = "series_key string, ws bigint, t bigint, cand string, cand_ask d
 class FirstSignal(StatefulProcessor):
     """At most one entry signal per window; an abort closes the window, a band miss may retry."""
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, window_len: int) -> None:
+        self.window_len = window_len
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closed = handle.getValueState("closed", "done boolean", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.closed = handle.getValueState("closed", "done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.closed.exists():
             return
-        final = [r for r in rows if r.gated_action in FINAL_ACTIONS]
-        if not final:
-            return
-        first = min(final, key=lambda r: r.t)
+        first = min(rows, key=lambda r: r.t)
         self.closed.update((True,))
+        self.handle.registerTimer((key[1] + self.window_len) * 1000)
         if first.gated_action == "ENTER":
             yield Row(series_key=key[0], ws=key[1], t=first.t, cand=first.cand, cand_ask=first.cand_ask)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # the watermark passed the window's end: nothing of it can arrive any more
+        self.closed.clear()
+        yield from ()
+
 
-def stream_first_signal(judged: DataFrame, ttl_seconds: int = 300) -> DataFrame:
-    """First ENTER per (series_key, ws) from judged ticks; state expires with the window."""
-    rows = judged.filter(F.col("gated_action").isin(*FINAL_ACTIONS)).select(
-        "series_key", "ws", "t", "gated_action", "cand", "cand_ask")
+def stream_first_signal(judged: DataFrame, *, window_len: int = 300, delay: str = "300 seconds"
+                        ) -> DataFrame:
+    """First ENTER per (series_key, ws) from judged ticks; state is dropped with the window."""
+    rows = (judged.filter(F.col("gated_action").isin(*FINAL_ACTIONS))
+            .withColumn("at", F.timestamp_seconds("t")).withWatermark("at", delay)
+            .select("series_key", "ws", "t", "at", "gated_action", "cand", "cand_ask"))
     return rows.groupBy("series_key", "ws").transformWithState(
-        statefulProcessor=FirstSignal(ttl_seconds * 1000), outputStructType=SIGNAL_OUTPUT,
-        outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=FirstSignal(window_len), outputStructType=SIGNAL_OUTPUT,
+        outputMode="Append", timeMode="EventTime")
 
 
 def first_signal(judged: DataFrame) -> DataFrame:
