@@ -69,10 +69,9 @@ def _slope(n):
 
 @register("W3_rolling_slope", f"with {VSPOT} select series_key, t, {_slope(15)}, {_slope(30)}, {_slope(60)} from s")
 def w3(spark, sf):
-    w = ordered(WINDOW)
-    return holey(spark, sf).select("series_key", "t", *[
-        r6(rolling.rolling_slope(F.col("spot"), F.col("elapsed"), w, n * SCALE)).alias(f"slope_{n}")
-        for n in (15, 30, 60)])
+    df = rolling.add_rolling_slopes(holey(spark, sf), ordered(WINDOW), "spot", "elapsed",
+                                    {f"slope_{n}": n * SCALE for n in (15, 30, 60)})
+    return df.select("series_key", "t", *[r6(f"slope_{n}").alias(f"slope_{n}") for n in (15, 30, 60)])
 
 
 def _extreme_sql(n: int) -> str:
@@ -123,9 +122,10 @@ carried as (select series_key, ws, t,
 def _memory(spark, sf):
     w = ordered(WINDOW)
     df = holey(spark, sf)
-    mem = rolling.memory_extremes(F.col("spot"), F.col("t"), w, MEM)
-    df = df.withColumns({f"m_{k}": c for k, c in mem.items()})
-    return df.withColumns({k: rolling.carry(F.col(f"m_{k}"), w) for k in mem})
+    df = df.withColumns(rolling.memory_extremes(F.col("spot"), F.col("t"), w, MEM))
+    found = rolling.extremes_of(F.col("mem_v"), F.col("mem_t"))
+    df = df.withColumns({f"m_{k}": c for k, c in found.items()})
+    return df.withColumns({k: rolling.carry(F.col(f"m_{k}"), w) for k in found})
 
 
 @register("W5_running_extremes", f"with {VSPOT}, {MEMORY_SQL} select series_key, t, high, low from carried")

@@ -12,14 +12,15 @@ from tickloom.functions.numeric import ten_dp
 from tickloom.functions.score import reversal_score
 from tickloom.operators.asof import asof, ordered
 from tickloom.operators.rolling import (
+    add_rolling_slopes,
     carry,
+    extremes_of,
     freshness,
     memory_extremes,
     new_extreme_counts,
     recent_values,
     rolling_count,
     rolling_return,
-    rolling_slope,
 )
 
 # Horizons in seconds, memory of the spot series, freshness thresholds.
@@ -82,14 +83,14 @@ def trend_features(df: DataFrame, keys: Sequence[str], *, spot: str = "spot", ti
     step1 = {f"_s{n}": asof(v, w, n * scale, age) for n in lags}
     step1["spot_sample_count_60"] = rolling_count(v, w, 60 * scale)
     step1["feed_fresh"] = freshness(v, w, window=60 * scale, min_samples=min_samples, max_age=age)
-    for n in SLOPE_SECONDS:
-        step1[f"_slope{n}"] = rolling_slope(v, F.col(elapsed), w, n * scale)
     for n in EXTREME_SECONDS:
         step1[f"_pts{n}"] = recent_values(v, w, n * scale)
-    mem = memory_extremes(v, F.col(time), w, SPOT_MEMORY * scale)
-    step1.update({f"_m_{k}": c for k, c in mem.items()})
+    step1 |= {f"_{k}": c for k, c in memory_extremes(v, F.col(time), w, SPOT_MEMORY * scale).items()}
     out = df.withColumns(step1)
-    out = out.withColumns({f"_c_{k}": carry(F.col(f"_m_{k}"), w) for k in mem})
+    found = extremes_of(F.col("_mem_v"), F.col("_mem_t"))
+    out = out.withColumns({f"_m_{k}": c for k, c in found.items()}).drop("_mem_v", "_mem_t")
+    out = out.withColumns({f"_c_{k}": carry(F.col(f"_m_{k}"), w) for k in found})
+    out = add_rolling_slopes(out, w, spot, elapsed, {f"_slope{n}": n * scale for n in SLOPE_SECONDS})
 
     fresh = F.col("feed_fresh")
     only = lambda c: F.when(fresh, c)

@@ -6,7 +6,7 @@ All frames are range frames on integer seconds: "(t-n, t]" is rangeBetween(-(n-1
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -20,8 +20,14 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rangeBetween(-(n - 1), 0)
 
 
+def _since_start(w: WindowSpec, lag: int = 0) -> WindowSpec:
+    """Everything up to t-lag. Spark extends such a frame row by row, at constant cost."""
+    return w.rangeBetween(Window.unboundedPreceding, -lag)
+
+
 def rolling_count(value: Column, w: WindowSpec, n: int) -> Column:
-    return F.count(value).over(trailing(w, n))
+    """Non-null samples in (t-n, t], as the difference of two running counts."""
+    return F.count(value).over(_since_start(w)) - F.count(value).over(_since_start(w, n))
 
 
 def rolling_return(now: Column, ago: Column) -> Column:
@@ -29,12 +35,29 @@ def rolling_return(now: Column, ago: Column) -> Column:
     return F.when(ago != 0, ten_dp((now - ago) / ago))
 
 
-def rolling_slope(value: Column, time: Column, w: WindowSpec, n: int,
-                  min_samples: int = 3) -> Column:
-    """Least-squares slope of value over time in (t-n, t]; NULL below min_samples."""
-    frame = trailing(w, n)
-    enough = F.count(value).over(frame) >= min_samples
-    return F.when(enough, ten_dp(F.regr_slope(value, time.cast("double")).over(frame)))
+def add_rolling_slopes(df: DataFrame, w: WindowSpec, value: str, time: str,
+                       out: Mapping[str, int], min_samples: int = 3) -> DataFrame:
+    """Least-squares slopes of value over time in (t-n, t], one column per ``out`` entry.
+
+    NULL below min_samples or when all times coincide. The sums over a frame are differences of
+    running sums, so the cost per row does not depend on n; values are taken relative to the
+    partition's first one, which leaves the slope unchanged and keeps the sums small.
+    """
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = F.when(F.col(value).isNotNull(), F.col(time).cast("double"))
+    df = df.withColumn("_base", F.first(value, ignorenulls=True).over(whole))
+    y = F.col(value) - F.col("_base")
+    terms = {"n": F.count(value), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "xy": F.sum(x * y)}
+    running = {f"_r_{k}": t.over(_since_start(w)) for k, t in terms.items()}
+    for n in out.values():
+        running |= {f"_r_{k}_{n}": t.over(_since_start(w, n)) for k, t in terms.items()}
+    df = df.withColumns(running)
+    slopes = {}
+    for name, n in out.items():
+        k, sx, sy, sxx, sxy = (F.col(f"_r_{c}") - F.coalesce(F.col(f"_r_{c}_{n}"), F.lit(0)) for c in terms)
+        spread = k * sxx - sx * sx
+        slopes[name] = F.when((k >= min_samples) & (spread > 0), ten_dp((k * sxy - sx * sy) / spread))
+    return df.withColumns(slopes).drop("_base", *running)
 
 
 def new_extreme_counts(points: Column) -> Column:
@@ -60,20 +83,22 @@ def recent_values(value: Column, w: WindowSpec, n: int) -> Column:
 
 
 def memory_extremes(value: Column, time: Column, w: WindowSpec, memory: int) -> dict[str, Column]:
-    """High, low and time of the earliest high and low over the retained memory.
+    """Ordered values and their times over the retained memory, input of :func:`extremes_of`.
 
     Memory is only trimmed when a value arrives, so on a row without a value the columns are
-    NULL here and :func:`carry` brings the last ones forward.
+    NULL here and :func:`carry` brings the last result forward.
     """
     frame = w.rangeBetween(-memory, 0)
     present = value.isNotNull()
-    key = F.when(present, F.struct(value.alias("v"), (-time).alias("neg_t")))
-    low_key = F.when(present, F.struct(value.alias("v"), time.alias("t")))
-    top, bottom = F.max(key).over(frame), F.min(low_key).over(frame)
-    return {
-        "high": F.when(present, top["v"]), "low": F.when(present, bottom["v"]),
-        "t_high": F.when(present, -top["neg_t"]), "t_low": F.when(present, bottom["t"]),
-    }
+    return {"mem_v": F.when(present, F.collect_list(value).over(frame)),
+            "mem_t": F.when(present, F.collect_list(F.when(present, time)).over(frame))}
+
+
+def extremes_of(mem_v: Column, mem_t: Column) -> dict[str, Column]:
+    """High, low and the time of the earliest high and low of the remembered values."""
+    high, low = F.array_max(mem_v), F.array_min(mem_v)
+    first = lambda v: F.get(mem_t, (F.array_position(mem_v, v) - 1).cast("int"))
+    return {"high": high, "low": low, "t_high": first(high), "t_low": first(low)}
 
 
 def carry(value: Column, w: WindowSpec) -> Column:
