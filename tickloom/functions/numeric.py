@@ -54,10 +54,10 @@ def hold_to_settle_ev(ask: Column, won: Column) -> Column:
 
 
 def log_bucket(x: Column) -> Column:
-    """Order-preserving integer bucket of a double: 64 buckets per factor of two.
+    """Order-preserving integer bucket of a double: 256 buckets per factor of two.
 
     Built from monotone steps only, so a < b implies bucket(a) <= bucket(b). The number of
-    buckets is bounded by the double range (about 134k), however large the data is.
+    buckets is bounded by the double range (about 535k), however large the data is.
     """
-    magnitude = F.floor(F.lit(64.0) * F.log2(F.lit(1.0) + F.abs(x) * F.lit(1048576.0)))
+    magnitude = F.floor(F.lit(256.0) * F.log2(F.lit(1.0) + F.abs(x) * F.lit(1048576.0)))
     return (F.signum(x) * magnitude).cast("int")

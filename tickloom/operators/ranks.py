@@ -33,19 +33,20 @@ def row_number_by_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                extra: Mapping[str, Column] | None = None,
-                bucket: Column | None = None) -> DataFrame:
+                extra: Mapping[str, Column] | None = None, bucket: Column | None = None,
+                carry: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per distinct non-null value: its count, rows strictly below, and the total.
 
     ``extra`` adds aggregates per distinct value (for example a count per class); each also
     gets a ``<name>_below`` cumulative column and a ``<name>_total``. ``bucket`` overrides the
-    monotone bucket of the value (use coarse time for epoch seconds).
+    monotone bucket of the value (use coarse time for epoch seconds). ``carry`` adds plain
+    aggregates per distinct value from the same pass.
     """
-    extra = dict(extra or {})
+    extra, carry = dict(extra or {}), dict(carry or {})
     names = ["n", *extra]
     counted = (df.filter(F.col(value).isNotNull())
                .groupBy(*keys, value)
-               .agg(F.count("*").alias("n"), *[a.alias(n) for n, a in extra.items()])
+               .agg(F.count("*").alias("n"), *[a.alias(n) for n, a in {**extra, **carry}.items()])
                .withColumn("_b", log_bucket(F.col(value).cast("double")) if bucket is None else bucket))
 
     per_bucket = counted.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in names])
@@ -61,7 +62,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str,
     ranked = counted.select(
         "*", *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"_i_{n}") for n in names])
     return (ranked.join(offsets, [*keys, "_b"])
-            .select(*keys, value, *names,
+            .select(*keys, value, *names, *carry,
                     *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(_below(n)) for n in names],
                     *[_total(n) for n in names]))
 

@@ -283,8 +283,7 @@ def equal_frequency_buckets(long: DataFrame, keys: Sequence[str], tie: Sequence[
     Keys with fewer rows than buckets are left out.
     """
     sums = _label_sums()
-    per_value = long.groupBy(*keys, "value").agg(*[c.alias(n) for n, c in sums.items()])
-    ranks = value_ranks(long, keys, "value").filter(F.col("total") >= buckets)
+    ranks = value_ranks(long, keys, "value", carry=sums).filter(F.col("total") >= buckets)
 
     def slot(pos: Column, total: Column) -> Column:
         # bucket b starts at b*total//buckets, so pos lies in (buckets*(pos+1)-1)//total
@@ -293,8 +292,7 @@ def equal_frequency_buckets(long: DataFrame, keys: Sequence[str], tie: Sequence[
     placed = ranks.withColumns({
         "b_lo": slot(F.col("below"), F.col("total")),
         "b_hi": slot(F.col("below") + F.col("n") - 1, F.col("total"))})
-    whole = (placed.filter("b_lo = b_hi").join(per_value, [*keys, "value"])
-             .select(*keys, F.col("b_lo").alias("bucket"), "value", "n", *sums))
+    whole = placed.filter("b_lo = b_hi").select(*keys, F.col("b_lo").alias("bucket"), "value", "n", *sums)
     edge = placed.filter("b_lo < b_hi").select(*keys, "value", "below", "total")
     edge_rows = salted_join(long, edge, [*keys, "value"], list(tie))
     numbered = row_number_by_chunk(edge_rows, [*keys, "value"], [F.col(c) for c in tie], tie_chunk, "_rn")
