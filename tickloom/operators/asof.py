@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 
 def dedupe_ticks(df: DataFrame, keys: Sequence[str], time: str, seq: str) -> DataFrame:
-    """Keep the last row per (keys, time) by sequence; combines before the shuffle."""
-    rest = [c for c in df.columns if c not in (*keys, time)]
-    best = F.max_by(F.struct(*rest), F.col(seq)).alias("_last")
-    return df.groupBy(*keys, time).agg(best).select(*keys, time, "_last.*")
+    """Keep the last row per (keys, time) by a unique sequence; combines before the shuffle.
+
+    One max_by per column instead of one over a struct: with fixed-width columns that is a hash
+    aggregation, which needs no sort of the input.
+    """
+    rest = [c for c in df.columns if c not in (*keys, time, seq)]
+    return df.groupBy(*keys, time).agg(
+        F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in rest])
 
 
 def ordered(keys: Sequence[str], time: str = "t") -> WindowSpec:
@@ -55,8 +59,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     )
 
     # latest right row of every chunk, then of all earlier chunks
-    summary = rows_r.withColumn("_chunk", F.floor(F.col("_t") / chunk)).groupBy(
-        *keys, "_chunk").agg(F.max_by("_r", "_t").alias("_end"))
+    ends = right.groupBy(*keys, F.floor(F.col(right_time) / chunk).alias("_chunk")).agg(
+        F.max(right_time).alias(stamp), *[F.max_by(c, right_time).alias(c) for c in right_cols])
+    summary = ends.select(*keys, "_chunk", F.struct(stamp, *right_cols).alias("_end"))
     touched = both.select(*keys, "_chunk").distinct()
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
