@@ -54,10 +54,14 @@ def missing_windows(settled: DataFrame, series: DataFrame, now: Column, *, key:
         raise ValueError("give either last_n or since")
     current = now - F.pmod(now, F.lit(window_len))
     first = (current - last_n * window_len) if last_n is not None else since - F.pmod(since, F.lit(window_len))
-    expected = series.select(key).distinct().withColumn(
-        start, F.explode(F.when(
-            first <= current - window_len,
-            F.sequence(first, current - window_len, F.lit(window_len).cast("bigint")))))
+    # two steps of explode, so no array grows with the length of the history
+    span = window_len * 4096
+    last, step = current - window_len, F.lit(window_len).cast("bigint")
+    blocks = F.when(first <= last, F.sequence(first, last, F.lit(span).cast("bigint")))
+    expected = (series.select(key).distinct().withColumn("_from", F.explode(blocks))
+                .withColumn(start, F.explode(F.sequence(
+                    F.col("_from"), F.least(F.col("_from") + span - window_len, last), step)))
+                .drop("_from"))
     return expected.join(settled.select(key, start), [key, start], "left_anti")
 
 
