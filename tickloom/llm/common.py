@@ -20,3 +20,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many texts at a time, whatever the session allows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, perspectives, sharding, url_rules
-from tickloom.llm.common import table, word_count
+from tickloom.llm import language, mixing, perspectives, quality, sharding, url_rules
+from tickloom.llm.common import held_out, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,22 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.array_join("mined", " ").alias("mined"))
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = quality.train_quality(docs, labels)
+    return (quality.score_quality(docs.withColumn("held_out", held_out()), model)
+            .select("doc_id", "held_out", "score", "predicted"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = language.train_language(docs.where("not held_out"))
+    return language.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
