@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, mixing, perspectives, quality, sharding, url_rules
+from tickloom.llm import language, mixing, perspectives, pieces, quality, sharding, url_rules
 from tickloom.llm.common import held_out, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 40
+TOKENIZER = "piece_bpe_32k.model"
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 3, "fr": 3, "es": 3}}
 
 
@@ -38,6 +40,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", "predicted"))
 
 
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.col("encoded.ids")
+    return (pieces.encode(docs, public_tokenizers.path(TOKENIZER))
+            .select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
+                    F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                    F.sha2(F.col("encoded.decoded").cast("binary"), 256).alias("decoded_sha256"),
+                    F.coalesce(F.try_element_at("encoded.ends", F.lit(-1)), F.lit(0)).alias("covered_bytes")))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
