@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, mixing, perspectives, pieces, quality, sharding, url_rules
+from tickloom.llm import fingerprints, language, mixing, neighbours, perspectives, pieces, quality, sharding, url_rules
 from tickloom.llm.common import held_out, table, word_count
+from tickloom.plans.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", "predicted"))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = stage(neighbours.next_ids(docs.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))))
+    # each text goes to its own row, and its beginning to the row before
+    own = docs.join(order, "doc_id")
+    heads = docs.join(order.select(F.col("doc_id").alias("for_id"), F.col("next_doc_id").alias("doc_id"), "n_chars"), "doc_id")
+    heads = heads.select(F.col("for_id").alias("doc_id"), F.expr("left(text, cast(n_chars div 2 as int))").alias("head"))
+    pairs = own.join(heads, "doc_id").select(
+        "doc_id", "next_doc_id", "n_chars", "text",
+        F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), head)").alias("edited"))
+    marked = fingerprints.fingerprint(pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "text", "fp")
+    marked = stage(fingerprints.fingerprint(marked, "edited", "edited_fp").drop("text", "edited"))
+    after = marked.select(F.col("doc_id").alias("next_doc_id"), F.col("fp").alias("next_fp"))
+    return marked.join(after, "next_doc_id").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text("fp").alias("fingerprint"),
+        fingerprints.as_text("edited_fp").alias("edited_fingerprint"),
+        fingerprints.likeness("fp", "edited_fp").alias("near_edited"),
+        fingerprints.likeness("fp", "next_fp").alias("near_next"))
+
+
 @query
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
