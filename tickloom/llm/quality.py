@@ -7,6 +7,7 @@ them, and the kept rules with their weights are compiled to one Spark column exp
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +22,10 @@ from tickloom.llm.common import bounded_batches
 from tickloom.plans.staging import stage
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "stop", "non_ascii", "distinct_words",
-            "distinct_lines", "line_words", "longest_word")
+            "distinct_lines", "line_words", "longest_word", "loose_words")
 #: Labelled rows a fit uses, about; chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
+_LOOSE = re.compile(rb"(?<!\S)[!-/:-@\[-`{-~]+(?!\S)")
 _SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~!"
 
 
@@ -39,7 +41,7 @@ def text_statistics(text: str) -> tuple[float, ...]:
     return (float(np.log1p(len(words))), size / len(words), by_byte[65:91].sum() / size, by_byte[48:58].sum() / size,
             sum(int(by_byte[c]) for c in _SYMBOLS) / size, sum(int(by_byte[c]) for c in b".,;:?") / size,
             by_byte[128:].sum() / size, len(set(words)) / len(words), len(set(lines)) / len(lines),
-            len(words) / len(lines), float(max(map(len, words))))
+            len(words) / len(lines), float(max(map(len, words))), len(_LOOSE.findall(raw)) / len(words))
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -90,7 +92,7 @@ def tree_rules(root) -> list[tuple[tuple[int, bool, float], ...]]:
     return out
 
 
-def fit_rules(labelled: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 5) -> RuleModel:
+def fit_rules(labelled: DataFrame, trees: int = 16, depth: int = 3, penalty: float = 0.0005, seed: int = 5) -> RuleModel:
     """``labelled``: statistics (array), label (0.0 or 1.0). One label only, or no rows: a constant score."""
     rows = labelled.select("statistics", "label", array_to_vector("statistics").alias("features"))
     shares = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -102,8 +104,9 @@ def fit_rules(labelled: DataFrame, trees: int = 20, depth: int = 3, penalty: flo
     if not rules:
         return RuleModel((), (), float(np.log(shares[1.0] / shares[0.0])))
     fired = F.array(*[rule_column(r, "statistics").cast("double") for r in rules])
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=100, standardization=False)
-    model = lasso.fit(rows.select("label", array_to_vector(fired).alias("features")))
+    fired = stage(rows.select("label", fired.alias("fired")))
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, tol=1e-4, standardization=False)
+    model = lasso.fit(fired.select("label", array_to_vector("fired").alias("features")))
     kept = [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray()) if w != 0.0]
     return RuleModel(tuple(r for r, _ in kept), tuple(w for _, w in kept), float(model.intercept))
 
