@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, language, mixing, neighbours, perspectives, pieces, quality, sharding, url_rules
+from tickloom.llm import fingerprints, language, mixing, neighbours, perspectives, pieces, quality, sharding, url_rules, vptree
 from tickloom.llm.common import held_out, table, word_count
 from tickloom.plans.staging import stage
 
@@ -25,6 +25,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
