@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, language, mixing, neighbours, perspectives, pieces, quality, sharding, url_rules, vptree
+from tickloom.llm import fingerprints, language, mixing, neighbours, perspectives, pieces, quality, sharding, trie_join, url_rules, vptree
 from tickloom.llm.common import held_out, table, word_count
 from tickloom.plans.staging import stage
 
@@ -90,6 +90,11 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op8_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
