@@ -1,8 +1,88 @@
-"""Placeholder until the stages are in."""
+"""Corpus pipeline: quality, language, near duplicates, mixing, token pieces.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), works on all documents the stage before kept, and returns a
+DataFrame; all but the last return the columns of ``documents``. Null texts count as empty.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickloom.llm import language, mixing, pieces, quality, trie_join
+from tickloom.llm.common import held_out, table, word_count
+from tickloom.llm.queries import MIX_WEIGHTS, TOKENIZER, with_domain
+from tickloom.plans.staging import stage
+
+#: Least score of a language prediction that is trusted.
+LANGUAGE_SCORE = 0.4
+#: The mix takes this share of the tokens it is given.
+MIX_SHARE = (4, 5)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.7, the threshold of the classifier."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = quality.train_quality(docs, labels)
+    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language: not undetermined, and predicted with a trusted score."""
+    model = language.train_language(docs.where(~held_out()))
+    said = language.identify(docs, model)
+    return said.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest id.
+
+    Documents without id stay. Of several rows with one id, the one with the smallest text stays.
+    """
+    classes = trie_join.similar_classes(docs)
+    gone = stage(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    first = Window.partitionBy("doc_id").orderBy("text")
+    kept = (docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+            .withColumn("__n", F.row_number().over(first)).where("__n = 1"))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in target weights by domain, language and source; a second epoch repeats a document's row."""
+    mark = F.xxhash64("text")
+    narrow = docs.select("doc_id", mark.alias("mark"), "lang", "source", word_count().alias("n_tokens"))
+    narrow = stage(with_domain(narrow.dropDuplicates(["doc_id", "mark"])))
+    taken = mixing.mix(narrow, MIX_WEIGHTS, MIX_SHARE).where("copies > 0").select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "copies")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")))
+    return joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, starts, ends: the pieces of every document and their bytes."""
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER))
+    return coded.select("doc_id", "lang", "source", F.size("encoded.ids").cast("bigint").alias("n_tokens"),
+                        "encoded.ids", "encoded.starts", "encoded.ends")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_language),
+    ("near copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+#: The fitted models and the tokenizer have no SQL form; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs)
+    return docs
