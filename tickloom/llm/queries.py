@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, language, mixing, neighbours, perspectives, pieces, quality, sharding, trie_join, url_rules, vptree
+from tickloom.llm import fingerprints, language, mixing, neighbours, oracles, perspectives, pieces, quality, sharding, trie_join, url_rules, vptree
 from tickloom.llm.common import held_out, table, word_count
 from tickloom.plans.staging import stage
 
@@ -118,3 +118,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", word_count().alias("n_tokens"))
     return (mixing.mix(with_domain(docs), MIX_WEIGHTS)
             .select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "copies"))
+
+
+ORACLES["op5_perspectives"] = oracles.PERSPECTIVES
+ORACLES["op8_trie_join"] = oracles.TRIE_JOIN
+ORACLES["op10_mixing"] = oracles.mixing(MIX_WEIGHTS, (3, 5), 2, 11)
