@@ -151,7 +151,7 @@ def test_language_on_held_out_rows(spark):
 def test_folded_weights_equal_the_kernel_form():
     texts = ["the cat and the dog", "le chat et le chien", "the house and the tree", "la maison et la mer"]
     bits = np.array([language.presence(t) for t in texts])
-    model = language.fit_language(bits, ["en", "fr", "en", "fr"], ridge=0.1)
+    model = language.fit_language(np.packbits(bits, axis=1), ["en", "fr", "en", "fr"], ridge=0.1)
     rows = bits / np.sqrt(bits.sum(axis=1, keepdims=True))
     kernel = rows @ rows.T
     # all texts are landmarks, so the Nystroem form is plain kernel ridge regression

@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 WIDTH = BUCKETS * len(ORDERS)
 #: Training texts and landmarks per language; these bound the fit.
 TEXTS_PER_LANGUAGE = 300
-LANDMARKS_PER_LANGUAGE = 64
+LANDMARKS_PER_LANGUAGE = 48
 BLOCK = 32
 UNDETERMINED = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -79,26 +79,33 @@ class LanguageModel:
     weights: np.ndarray  # WIDTH x languages
 
 
-def fit_language(bits: np.ndarray, names: list[str], ridge: float = 0.01) -> LanguageModel:
-    """Nystroem landmarks and one-versus-rest ridge regression from presence rows (boolean)."""
+def _unit_rows(packed: np.ndarray) -> np.ndarray:
+    rows = np.unpackbits(packed, axis=1).astype(np.float32)
+    rows /= np.maximum(np.sqrt(rows.sum(axis=1, keepdims=True)), 1.0)
+    return rows
+
+
+def fit_language(packed: np.ndarray, names: list[str], ridge: float = 0.01) -> LanguageModel:
+    """Nystroem landmarks and one-versus-rest ridge regression from packed presence rows (bytes).
+
+    Only the landmarks and one block of rows are unpacked at a time.
+    """
     languages = tuple(sorted(set(names)))
     if not languages:
         return LanguageModel((), np.zeros((WIDTH, 0), dtype=np.float32))
-    rows = bits.astype(np.float32)
-    rows /= np.maximum(np.sqrt(rows.sum(axis=1, keepdims=True)), 1.0)
     label = np.array(names)
     chosen = np.concatenate([np.flatnonzero(label == x)[:LANDMARKS_PER_LANGUAGE] for x in languages])
-    marks = rows[chosen]
-    kernel = (marks @ marks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel)
+    marks = _unit_rows(packed[chosen])
+    near = np.vstack([_unit_rows(packed[i: i + BLOCK]) @ marks.T for i in range(0, len(packed), BLOCK)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(near[chosen])
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    mapped = (rows @ marks.T).astype(np.float64) @ whiten
+    mapped = near @ whiten
     weight = np.array([len(label) / (len(languages) * (label == x).sum()) for x in label])
     target = np.where(label[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     gram = (mapped * weight[:, None]).T @ mapped + ridge * len(label) * np.eye(mapped.shape[1])
     alpha = np.linalg.solve(gram, (mapped * weight[:, None]).T @ target)
-    return LanguageModel(languages, (marks.T @ (whiten @ alpha)).astype(np.float32))
+    return LanguageModel(languages, marks.T @ (whiten @ alpha).astype(np.float32))
 
 
 def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
@@ -114,8 +121,8 @@ def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", key:
               .where("lang is not null and text is not null").withColumn("rank", F.row_number().over(first))
               .where(F.col("rank") <= texts_per_language))
     rows = picked.where(_has_letter("text")).select("lang", _packed("text").alias("bits")).collect()
-    bits = np.array([np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8)) for r in rows], dtype=bool).reshape(-1, WIDTH)
-    return fit_language(bits, [r.lang for r in rows])
+    packed = np.frombuffer(b"".join(r.bits for r in rows), dtype=np.uint8).reshape(-1, WIDTH // 8)
+    return fit_language(packed, [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
