@@ -76,9 +76,9 @@ def fingerprint(docs: DataFrame, text: str, out: str, lane_bits: int = LANE_BITS
     docs = docs.withColumn(full, F.expr(f"filter({dense}, v -> not ({empty}))"))
     # four probes directly, the rest in a loop, at last any occupied bin
     docs = docs.withColumn(codes, F.expr(
-        f"transform({dense}, (v, p) -> cast((case when not ({empty}) then v else coalesce({choice},"
+        f"case when size({full}) = 0 then cast(array() as array<bigint>) else transform({dense}, (v, p) -> cast((case when not ({empty}) then v else coalesce({choice},"
         f" aggregate({later}, cast(null as bigint), (got, t) -> coalesce(got, {probed('t', 'p')})),"
-        f" {full}[pmod(xxhash64(p), greatest(1, size({full})))]) end) & {low}L as bigint))"))
+        f" {full}[pmod(xxhash64(p), size({full}))]) end) & {low}L as bigint)) end"))
     lanes = " | ".join(f"shiftleft({codes}[{per_word} * i + {j}], {lane_bits * j})" for j in range(per_word))
     docs = docs.withColumn(out, F.expr(
         f"case when size({full}) = 0 then cast(array() as array<bigint>)"
