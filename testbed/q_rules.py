@@ -136,23 +136,24 @@ def p9(spark, sf):
 
 
 @register("P10_taker_fee", """
-select series_key, t, case when n <= 0 then 0.0::double else round(n * 0.07::double * ad * (1 - ad), 6) + 0.0::double end as fee
-from (select series_key, t, ad, sad - 20 as n from v_clean where ad is not null) x
+select series_key, t, case when n <= 0 then 0.0::double else round(n * 0.07::double * ad * (1 - ad), 6) + 0.0::double end as fee,
+  round(n * ad, 6) + 0.0::double as cost
+from (select series_key, t, ad, (sad - 20) / 4.0::double as n from v_clean) x
 """)
 def p10(spark, sf):
-    df = fx.clean(spark, sf).filter("ad is not null")
-    return df.select("series_key", "t",
-                     r6(numeric.taker_fee(F.col("sad") - 20, F.col("ad"))).alias("fee"))
+    shares = (F.col("sad") - 20) / F.lit(4.0)  # fractional shares, and rows without a price
+    return fx.clean(spark, sf).select(
+        "series_key", "t", r6(numeric.taker_fee(shares, F.col("ad"))).alias("fee"),
+        r6(numeric.notional(shares, F.col("ad"))).alias("cost"))
 
 
 @register("P11_order_size", """
-select series_key, t, greatest(cast(ceil(200.0::double / ask_c) as bigint), 5) as order_size
-from (select series_key, t, cast(round(cand_ask * 100) as bigint) as ask_c from v_clean where cand_ask is not null) x
+select series_key, t, case when ask_c is not null then greatest(cast(ceil(200.0::double / ask_c) as bigint), 5) end as order_size
+from (select series_key, t, cast(round(cand_ask * 100) as bigint) as ask_c from v_clean) x
 """)
 def p11(spark, sf):
     size = numeric.order_size(F.col("cand_ask"), F.lit(2.0), F.lit(5))
-    return fx.clean(spark, sf).filter("cand_ask is not null").select(
-        "series_key", "t", size.alias("order_size"))
+    return fx.clean(spark, sf).select("series_key", "t", size.alias("order_size"))
 
 
 @register("P12_breakeven_ev", """

@@ -25,10 +25,10 @@ from tickloom.streaming import ingest, lookback, state
 from tickloom.streaming.session import fresh_folder, prepare_streaming
 
 
-def finish(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything that is there and return what it wrote."""
+def finish(df: DataFrame, mode: str = "append", into: str | None = None) -> DataFrame:
+    """Run a stream over everything that is there (and new since the last run) and return what it wrote."""
     spark = df.sparkSession
-    folder = fresh_folder(spark, "stream")
+    folder = into or fresh_folder(spark, "stream")
     (df.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
      .option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
@@ -109,7 +109,7 @@ def t4(spark, sf):
     prepare_streaming(fx.prepare(spark))
     updates = fx.event_stream(spark, sf).select(
         F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return finish(state.stream_staleness(updates, 3600))
+    return finish(state.stream_staleness(updates, 3600, delay="0 seconds"))
 
 
 @register("T5_stream_features", f"""
@@ -145,10 +145,21 @@ def judged(ticks: DataFrame) -> DataFrame:
 @register("T6_stream_first_signal", SIGNAL_SQL)
 def t6(spark, sf):
     prepare_streaming(fx.prepare(spark))
-    # the four input files may arrive in any order, so the watermark waits for the whole month
-    signals = state.stream_first_signal(judged(replayed_stream(fx.ticks(spark, sf))),
-                                        window_len=DAY, delay="40 days")
-    out = finish(signals)
+    # files cut inside windows arrive in any order, so the watermark waits for the whole month; a last
+    # window, 60 days on, lets it pass
+    ticks = fx.ticks(spark, sf)
+    ahead = 60 * DAY
+    last = ticks.agg(F.max("ws")).first()[0]
+    end = ticks.filter(F.col("ws") == last).withColumns({
+        "series_key": F.lit("_end"), "ws": F.col("ws") + ahead, "t": F.col("t") + ahead})
+    folder = fresh_folder(spark, "input")
+    ticks.repartition(4, "t").write.parquet(folder)
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    signals = state.stream_first_signal(judged(stream), window_len=DAY, delay="40 days")
+    out = fresh_folder(spark, "stream")
+    finish(signals, into=out)
+    end.select(*ticks.columns).coalesce(1).write.mode("append").parquet(folder)
+    out = finish(signals, into=out).filter("series_key <> '_end'")
     return out.select("series_key", "ws", "t", "cand", r6("cand_ask").alias("cand_ask"))
 
 

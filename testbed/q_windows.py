@@ -469,34 +469,44 @@ def w19(spark, sf):
 
 
 @register("W20_depth_walk", """
-with ask as (select asset, price_c, size from v_levels where side = 'ask'),
-o as (select o_orderkey as order_id, o_orderkey as asset, 1 + o_custkey % 200 as need,
+with best as (select asset, min(price_c) as best_c from v_levels where side = 'ask' group by asset),
+o0 as (select o_orderkey as order_id, o_orderkey - o_orderkey % 2 as asset, case when o_custkey % 3 = 0 then 'SELL' else 'BUY' end as side,
+        1 + o_custkey % 200 as shares, case when o_custkey % 5 = 1 then 4000000 + o_orderkey % 7000000 end as notional_c,
         case o_orderkey % 3 when 0 then 'FOK' when 1 then 'FAK' else 'GTC' end as order_type,
         case when o_orderkey % 4 = 0 then 150000 + o_orderkey % 60000 end as limit_c from orders),
-lv as (select o.*, a.price_c, a.size, sum(a.size) over (partition by o.order_id order by a.price_c) as cum,
+o as (select order_id, o0.asset, side, order_type, case when notional_c is null or side = 'SELL' then limit_c end as limit_c,
+        case when notional_c is not null and side = 'BUY' then notional_c::double / best_c else shares end as need,
+        case when side = 'BUY' then 1 else -1 end as sign from o0 left join best on best.asset = o0.asset),
+ask as (select asset, price_c, size, case when side = 'ask' then 1 else -1 end as sign from v_levels),
+lv as (select o.*, a.price_c, a.size, sum(a.size) over (partition by o.order_id order by a.price_c * o.sign) as cum,
         sum(a.size) over (partition by o.order_id) as available
-  from o join ask a using (asset) where o.limit_c is null or a.price_c <= o.limit_c),
+  from o join ask a on a.asset = o.asset and a.sign = o.sign where o.limit_c is null or a.price_c * o.sign <= o.limit_c * o.sign),
 f as (select *, greatest(least(need - (cum - size), size), 0) as fill from lv where not (order_type = 'FOK' and available < need)),
-g as (select order_id, sum(fill)::bigint as filled, sum(fill * price_c)::double / sum(fill) as vwap_c from f group by order_id having sum(fill) > 0),
-has as (select distinct asset from ask), crossed as (select distinct order_id from lv)
-select o.order_id, coalesce(g.filled, 0) as filled, o.need - coalesce(g.filled, 0) as unfilled, round(g.vwap_c, 6) as vwap_c,
+g as (select order_id, sum(fill)::double as filled, sum(fill * price_c)::double / sum(fill) as vwap_c from f group by order_id having sum(fill) > 0),
+has as (select distinct asset, sign from ask), crossed as (select distinct order_id from lv)
+select o.order_id, round(coalesce(g.filled, 0), 6) as filled, round(o.need - coalesce(g.filled, 0), 6) as unfilled, round(g.vwap_c, 6) as vwap_c,
   case when has.asset is null and o.limit_c is null then 'FAILED' when crossed.order_id is null then 'OPEN'
        when coalesce(g.filled, 0) >= o.need then 'FILLED'
-       when o.order_type in ('FOK', 'FAK') then 'CANCELED' else 'PARTIAL' end as status
-from o left join g using (order_id) left join has on has.asset = o.asset left join crossed on crossed.order_id = o.order_id
+       when o.order_type = 'FOK' or (o.order_type = 'FAK' and o.limit_c is not null) then 'CANCELED' else 'PARTIAL' end as status
+from o left join g using (order_id) left join has on has.asset = o.asset and has.sign = o.sign left join crossed on crossed.order_id = o.order_id
 """)
 def w20(spark, sf):
     o = fx.table(spark, sf, "orders")
     k = F.col("o_orderkey")
+    side = F.when(F.col("o_custkey") % 3 == 0, F.lit("SELL")).otherwise(F.lit("BUY"))
+    sized = (F.col("o_custkey") % 5 == 1) & (side == "BUY")  # market buys that state a notional
     orders = o.select(
-        k.alias("order_id"), k.alias("asset"), F.lit("BUY").alias("side"),
-        (1 + F.col("o_custkey") % 200).cast("double").alias("need"),
+        k.alias("order_id"), (k - k % 2).alias("asset"), side.alias("side"),
+        (1 + F.col("o_custkey") % 200).cast("double").alias("shares"),
+        F.when(sized, (4000000 + k % 7000000).cast("double")).alias("notional"),
         F.when(k % 3 == 0, F.lit("FOK")).when(k % 3 == 1, F.lit("FAK")).otherwise(F.lit("GTC")).alias("order_type"),
-        F.when(k % 4 == 0, (150000 + k % 60000).cast("double")).alias("limit_price"))
+        F.when((k % 4 == 0) & ~sized, (150000 + k % 60000).cast("double")).alias("limit_price"))
     levels = fx.book_levels(spark, sf).select(
         "asset", "side", F.col("price_c").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
+    orders = execution.market_buy_need(orders, levels).withColumn(
+        "need", F.when(F.col("notional").isNotNull(), F.col("need")).otherwise(F.col("shares")))
     out = execution.depth_walk(orders, levels)
-    return out.select("order_id", big("filled").alias("filled"), big("unfilled").alias("unfilled"),
+    return out.select("order_id", r6("filled").alias("filled"), r6("unfilled").alias("unfilled"),
                       r6("vwap").alias("vwap_c"), "status")
 
 

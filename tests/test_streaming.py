@@ -60,18 +60,42 @@ def test_staleness(spark, rows, tmp_path):
     df = rows(data, "key string, t bigint").select("key", F.timestamp_seconds(F.col("t") + start).alias("ts"))
     at = F.unix_seconds("ts") - start
     parts = [df.filter(at < 10), df.filter(at.between(10, 50)), df.filter(at > 50)]
-    out = _finish(state.stream_staleness(_feed(spark, tmp_path, parts), 10), tmp_path).collect()
+    out = _finish(state.stream_staleness(_feed(spark, tmp_path, parts), 10, delay="0 seconds"), tmp_path).collect()
     assert sorted((r.key, r.at - start, r.state) for r in out) == [
         ("a", 0, "fresh"), ("a", 15, "stale"), ("a", 40, "fresh"), ("a", 50, "stale"),
         ("b", 3, "fresh"), ("b", 13, "stale"), ("b", 41, "fresh"), ("b", 51, "stale"), ("b", 100, "fresh")]
 
 
-def test_first_signal_across_batches(spark, rows, tmp_path):
+def test_a_trailing_key_is_not_late_by_default(spark, rows, tmp_path):
+    fast = rows([("b", t) for t in range(1000, 2000, 5)], "key string, t bigint")
+    slow = rows([("a", t) for t in range(1000, 1400, 5)], "key string, t bigint")
+    stamp = lambda df: df.select("key", F.timestamp_seconds("t").alias("ts"))
+    out = _finish(state.stream_staleness(_feed(spark, tmp_path, [stamp(fast), stamp(slow)]), 10), tmp_path).collect()
+    assert sorted((r.key, r.at, r.state) for r in out) == [("a", 1000, "fresh"), ("b", 1000, "fresh")]
+
+
+def test_look_back_is_kept_per_series(spark, rows, tmp_path):
+    ticks = _ticks(rows)
+    slow = ticks.withColumn("series_key", F.lit("slow"))
+    ahead = ticks.withColumn("ws", F.lit(90_000)).withColumn("t", F.col("t") + 90_000)
+    compute = lambda df: features.feature_snapshot(features.clean_ticks(df), W)
+    parts = [slow.filter("t < 140").unionByName(ahead), slow.filter("t >= 140")]
+    lookback.stream_features(_feed(spark, tmp_path, parts), compute, str(tmp_path / "f"), str(tmp_path / "ck"),
+                             window_len=0, forget=10**6).awaitTermination()
+    pick = lambda df: df.filter("series_key = 'slow'").select("t", F.round("ret_120", 6), F.round("slope_60", 6)).orderBy("t").collect()
+    assert pick(spark.read.parquet(str(tmp_path / "f"))) == pick(compute(slow))
+    assert sorted(p.name for p in (tmp_path / "ck" / "history").iterdir()) == ["batch=0", "batch=1"]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_first_signal_across_batches(spark, rows, tmp_path, order):
     schema = "series_key string, ws bigint, t bigint, gated_action string, cand string, cand_ask double"
     first = rows([("a", 0, 1, "OBSERVE", "Up", .4), ("b", 0, 2, "ABORT_VOL", "Up", .2), ("c", 0, 3, "WAIT", "Up", .2)], schema)
     second = rows([("a", 0, 10, "ENTER", "Up", .25), ("b", 0, 11, "ENTER", "Up", .2), ("c", 0, 12, "ENTER", "Down", .3)], schema)
     third = rows([("a", 0, 20, "ENTER", "Up", .26)], schema)
-    out = _finish(state.stream_first_signal(_feed(spark, tmp_path, [first, second, third])), tmp_path)
+    end = rows([("z", 900, 1000, "ABORT_VOL", "Up", .2)], schema)  # moves the watermark past all of them
+    parts = [[first, second, third][i] for i in order]
+    out = _finish(state.stream_first_signal(_feed(spark, tmp_path, [*parts, end])), tmp_path)
     got = sorted(tuple(r) for r in out.collect())
     assert got == [("a", 0, 10, "Up", .25), ("c", 0, 12, "Down", .3)]
     batch = state.first_signal(first.unionByName(second).unionByName(third))

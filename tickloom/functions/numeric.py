@@ -24,22 +24,22 @@ def price_decimal(p: Column) -> Column:
 
 
 def taker_fee(shares: Column, price: Column) -> Column:
-    """shares * rate * p * (1-p); zero when there are no shares. Exact decimal(28,10)."""
+    """shares * rate * p * (1-p), shares may be fractional; zero when there are none. Exact decimal(28,10)."""
     p = price_decimal(price)
-    n = shares.cast("decimal(10,0)")
+    n = shares.cast("decimal(18,6)")
     fee = (n * F.lit(FEE_RATE).cast("decimal(3,2)") * p * (F.lit(1).cast("decimal(1,0)") - p))
     return (F.when(shares <= 0, F.lit(0).cast("decimal(28,10)"))
             .otherwise(fee.cast("decimal(28,10)")))
 
 
 def notional(shares: Column, price: Column) -> Column:
-    return (shares.cast("decimal(10,0)") * price_decimal(price)).cast("decimal(28,10)")
+    return (shares.cast("decimal(18,6)") * price_decimal(price)).cast("decimal(28,10)")
 
 
 def order_size(ask: Column, target_notional: Column, min_size: Column) -> Column:
-    """Whole shares for a target notional, at least the minimum size."""
+    """Whole shares for a target notional, at least the minimum size; NULL without a price."""
     exact = target_notional.cast("decimal(9,4)") / price_decimal(ask)
-    return F.greatest(F.ceil(exact).cast("bigint"), min_size.cast("bigint"))
+    return F.when(ask.isNotNull(), F.greatest(F.ceil(exact).cast("bigint"), min_size.cast("bigint")))
 
 
 def breakeven_price(ask: Column) -> Column:

@@ -17,6 +17,9 @@ def reversal_score(weights: dict | None = None, col=F.col) -> Column:
 
     Every term is symmetric in the trend direction; a missing operand adds nothing.
     """
+    unknown = set(weights or {}) - set(SCORE_WEIGHTS)
+    if unknown:
+        raise ValueError(f"unknown score weight(s): {sorted(unknown)}")
     w = {**SCORE_WEIGHTS, **(weights or {})}
     slope = col("slope_60")
     d = F.signum(slope)
@@ -31,7 +34,7 @@ def reversal_score(weights: dict | None = None, col=F.col) -> Column:
          .when(drop <= -w["ud_delta_mild"], F.lit(1)).otherwise(F.lit(0)),
         _points(F.signum(col("slope_15")) == -d, 2),
         _points(F.signum(col("ret_30")) == -d, 1),
-        _points(toward("dist_low", "dist_high") <= w["near_extreme"], 1),
+        _points(toward("dist_low", "dist_high") <= w["near_extreme_usd"], 1),
         _points(toward("new_low_count_15", "new_high_count_15") == 0, 1),
         _points(col("relative_obi") >= w["obi_improve"], 1),
         _points(col("momentum_decay") <= w["momentum_flat"], 1),

@@ -14,8 +14,9 @@ def depth_walk(orders: DataFrame, levels: DataFrame, *, order_id: str = "order_i
 
     ``orders`` carries side, need (shares), order_type and an optional limit_price; a market buy
     states its need as notional over the best ask. Every order sees the full snapshot.
-    FOK fills completely or not at all; FAK cancels the rest; without any level on the other
-    side a market order fails, and a limit order that crosses nothing stays open.
+    FOK fills completely or not at all. A limit FAK cancels the rest; a market order (no
+    limit_price) that runs out of depth stays PARTIAL. Without any level on the other side a market
+    order fails, and a limit order that crosses nothing stays open.
     """
     opposite = F.when(F.col("side") == "BUY", F.lit("ask")).otherwise(F.lit("bid"))
     wanted = orders.withColumn("_book_side", opposite)
@@ -43,7 +44,8 @@ def depth_walk(orders: DataFrame, levels: DataFrame, *, order_id: str = "order_i
         F.when(F.col("_seen").isNull() & F.col("limit_price").isNull(), F.lit("FAILED"))
         .when(F.col("_filled").isNull(), F.lit("OPEN"))
         .when(filled >= F.col("need"), F.lit("FILLED"))
-        .when(F.col("order_type").isin("FOK", "FAK"), F.lit("CANCELED"))
+        .when((F.col("order_type") == "FOK")
+              | ((F.col("order_type") == "FAK") & F.col("limit_price").isNotNull()), F.lit("CANCELED"))
         .otherwise(F.lit("PARTIAL")))
     return (orders.join(done, order_id, "left").join(seen, order_id, "left")
             .select(*orders.columns, filled.alias("filled"),

@@ -190,9 +190,13 @@ def number_windows(df: DataFrame, keys: Sequence[str], window: str, window_len:
 
 
 def position_split(results: DataFrame, keys: Sequence[str], window: str, window_len: int = 300,
-                   fraction: float = TRAIN_FRACTION) -> DataFrame:
-    """Run form of the split: the first int(n*fraction) windows of a run are train."""
-    pos = number_windows(results, keys, window, window_len)
+                   fraction: float = TRAIN_FRACTION, windows: DataFrame | None = None) -> DataFrame:
+    """Run form of the split: the first int(n*fraction) windows of a run are train.
+
+    ``windows``, if given, holds the same windows once each, so that they can be numbered without a
+    pass over the results of every parameter set.
+    """
+    pos = number_windows(results if windows is None else windows, keys, window, window_len)
     cut = F.floor(F.col("n_windows") * F.lit(fraction))
     tagged = pos.withColumn("split", F.when(F.col("position") <= cut, F.lit("train")).otherwise(F.lit("val")))
     return results.join(tagged.select(*keys, window, "split"), [*keys, window])
@@ -239,18 +243,15 @@ def significance_verdict(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     entered = F.col("size") > 0
     pnl = F.when(entered, F.col("pnl").cast("double"))
     per_fold = results.groupBy(*keys, "fold").agg(
-        F.count(pnl).alias("n"), F.avg(pnl).alias("m"), F.sum(pnl).alias("s"),
-        F.sum(pnl * pnl).alias("ss"))
+        F.count(pnl).alias("n"), F.avg(pnl).alias("m"))
     # a fold counts as positive by its mean rounded to four decimals
     positive = F.col("fold").isNotNull() & (F.rint(F.col("m") * 1e4) > 0)
     total = per_fold.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("_s"), F.sum("ss").alias("_ss"),
         F.count_if(F.coalesce(positive, F.lit(False))).alias("positive_folds"))
+    spread = results.groupBy(*keys).agg(F.count(pnl).alias("n"), F.avg(pnl).alias("_mean"), F.stddev_pop(pnl).alias("_sd"))
     n = F.col("n")
-    mean = F.col("_s") / n
-    var = F.greatest(F.col("_ss") / n - mean * mean, F.lit(0.0))
-    out = total.withColumn("mean_pnl", F.when(n > 0, F.rint(mean * 1e4) / 1e4)).withColumn(
-        "se", F.when(n > 0, F.rint(F.sqrt(var / n) * 1e4) / 1e4))
+    out = (total.join(spread, list(keys)).withColumn("mean_pnl", F.when(n > 0, F.rint(F.col("_mean") * 1e4) / 1e4))
+           .withColumn("se", F.when(n > 0, F.rint(F.col("_sd") / F.sqrt(n) * 1e4) / 1e4)))
     verdict = (F.when(n == 0, F.lit("no sample"))
                .when(F.col("mean_pnl") > F.col("se"), F.lit("above")).otherwise(F.lit("not above")))
     return out.select(*keys, "n", "mean_pnl", "se", "positive_folds", verdict.alias("verdict"))
@@ -280,10 +281,12 @@ def equal_frequency_buckets(long: DataFrame, keys: Sequence[str], tie: Sequence[
 
     Statistics are first summed per distinct value. Only the values cut by a slice edge (at most
     buckets-1 per key) need their rows ordered by ``tie``; the rest never leave the aggregate.
-    Keys with fewer rows than buckets are left out.
+    A key with fewer rows than buckets comes out as one row without bucket and with n = 0.
     """
     sums = _label_sums()
-    ranks = value_ranks(long, keys, "value", carry=sums).filter(F.col("total") >= buckets)
+    every = value_ranks(long, keys, "value", carry=sums)
+    few = every.filter(F.col("total") < buckets).select(*keys).distinct()
+    ranks = every.filter(F.col("total") >= buckets)
 
     def slot(pos: Column, total: Column) -> Column:
         # bucket b starts at b*total//buckets, so pos lies in (buckets*(pos+1)-1)//total
@@ -303,11 +306,13 @@ def equal_frequency_buckets(long: DataFrame, keys: Sequence[str], tie: Sequence[
         F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
         *[F.sum(c).alias(c) for c in sums])
     n = F.col("n")
-    return g.select(
+    filled = g.select(
         *keys, (F.col("bucket") + 1).alias("bucket"), "n", "low", "high",
         _share(F.col("entries"), n).alias("entry_rate"), _share(F.col("wins"), n).alias("win_rate"),
         *[F.when(F.col(f"c_{x}") > 0, F.col(f"s_{x}") / F.col(f"c_{x}")).alias(x) for x in LABELS],
         (n < MIN_SAMPLE).alias("small"))
+    return filled.unionByName(few.select(*keys, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("small")),
+                              allowMissingColumns=True)
 
 
 def null_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -322,7 +327,7 @@ def monotonicity_rho(buckets: DataFrame, keys: Sequence[str], label: str = "futu
     by_mean = Window.partitionBy(*keys).orderBy(F.coalesce(label, F.lit(0.0)), "bucket")
     by_place = Window.partitionBy(*keys).orderBy("bucket")
     d = F.col("_i") - F.col("_r")
-    g = (buckets.withColumn("_r", F.row_number().over(by_mean))
+    g = (buckets.filter("n > 0").withColumn("_r", F.row_number().over(by_mean))
          .withColumn("_i", F.row_number().over(by_place))
          .groupBy(*keys).agg(F.sum(d * d).alias("_d2"), F.count("*").alias("_n")))
     n = F.col("_n")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import book, decision
 from tickloom.functions.numeric import notional, order_size, taker_fee
-from tickloom.params import envelope, param_structs
+from tickloom.params import BY_SERIES, envelope, param_batches, param_structs
 
 ENTRY_FIELDS = ("entry_t", "entry_ask", "cand", "ask_size", "size")
 
@@ -23,9 +23,22 @@ def _p(name: str) -> Column:
     return F.col(f"p.{name}")
 
 
-def param_cross(df: DataFrame, param_sets: Mapping[str, Mapping]) -> DataFrame:
-    """Every row once per parameter set, as struct column ``p``; no join is involved."""
-    return df.withColumn("p", F.explode(param_structs(param_sets)))
+def param_cross(df: DataFrame, param_sets: Mapping[str, Mapping], series: str = "series_key") -> DataFrame:
+    """Every row once per parameter set, as struct column ``p``; no join is involved.
+
+    A set's own values for a series replace its general ones on rows of that series. Any number of sets
+    is taken; each batch of them is one array literal.
+    """
+    out = None
+    for batch in param_batches(param_sets):
+        crossed = df.withColumn("_q", F.explode(param_structs(batch)))
+        own = F.try_element_at(F.col(f"_q.{BY_SERIES}"), F.col(series)) if any(p.get(BY_SERIES) for p in batch.values()) else None
+        base = F.col("_q.base")
+        crossed = crossed.withColumn("p", base if own is None else F.coalesce(own, base)).drop("_q")
+        out = crossed if out is None else out.unionByName(crossed)
+    if out is None:
+        raise ValueError("at least one parameter set is needed")
+    return out
 
 
 def entry_decisions(ticks: DataFrame, param_sets: Mapping[str, Mapping], *,

@@ -27,7 +27,7 @@ DEFAULT_PARAMS: dict[str, Any] = {
 
 # Thresholds of the additive reversal score.
 SCORE_WEIGHTS: dict[str, float] = {
-    "near_extreme": 3.0,
+    "near_extreme_usd": 3.0,
     "obi_improve": 0.5,
     "new_extreme_burst": 3,
     "trend_ret_15": 0.0002,
@@ -57,22 +57,36 @@ GRID_FIXED: dict[str, Any] = {
     "max_entry": 0.30,
     "entry_until": 100,
 }
-GRID_SERIES_MAX_VOL = {"btc": 20.0, "eth": 0.65}
+GRID_SERIES_MAX_VOL = {"btc": 20.0, "eth": 0.65}  # for by_series=series_overrides("max_vol", ...)
 
 _INT_FIELDS = ("entry_after", "entry_until", "min_size", "min_reversal_score")
 
-#: A parameter table is made by hand, so it stays small; the check keeps that true.
-MAX_PARAM_SETS = 4096
+#: Parameter sets per array literal; larger grids are cut into several literals.
+PARAM_BATCH = 512
+#: Key of a set's per-series overrides: {series: {parameter: value}}.
+BY_SERIES = "by_series"
 
 
 def parameter_set(**overrides: Any) -> dict[str, Any]:
     """Defaults with some fields replaced; unknown names are rejected."""
-    unknown = set(overrides) - set(DEFAULT_PARAMS)
+    unknown = set(overrides) - set(DEFAULT_PARAMS) - {BY_SERIES}
+    unknown |= {n for own in overrides.get(BY_SERIES, {}).values() for n in set(own) - set(DEFAULT_PARAMS)}
     if unknown:
         raise ValueError(f"unknown parameter(s): {sorted(unknown)}")
     return {**DEFAULT_PARAMS, **overrides}
 
 
+def series_sets(p: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
+    """Full parameter set of every series that has overrides of its own."""
+    base = {k: v for k, v in p.items() if k != BY_SERIES}
+    return {s: parameter_set(**{**base, **own}) for s, own in p.get(BY_SERIES, {}).items()}
+
+
+def series_overrides(field: str, values: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
+    """Overrides of one parameter, as ``by_series`` takes them."""
+    return {s: {field: v} for s, v in values.items()}
+
+
 def parameter_grid(axes: Mapping[str, Iterable], **fixed: Any) -> dict[str, dict[str, Any]]:
     """Cartesian product of the axes on top of fixed overrides, keyed g00, g01, ..."""
     names = list(axes)
@@ -89,28 +103,33 @@ def _literal(name: str, value: Any) -> Column:
 
 
 def param_structs(param_sets: Mapping[str, Mapping[str, Any]]) -> Column:
-    """Array literal of structs, one element per named parameter set."""
+    """Array literal, one element per named parameter set: its row and the rows of series of its own."""
     if not param_sets:
         raise ValueError("at least one parameter set is needed")
-    if len(param_sets) > MAX_PARAM_SETS:
-        raise ValueError(f"{len(param_sets)} parameter sets exceed {MAX_PARAM_SETS}")
+    def row(pid: str, p: Mapping[str, Any]) -> Column:
+        return F.struct(F.lit(pid).alias("param_id"), *[_literal(n, p[n]) for n in DEFAULT_PARAMS])
+
     rows = []
     for pid, p in param_sets.items():
         p = parameter_set(**p)
-        fields = [F.lit(pid).alias("param_id")] + [_literal(n, p[n]) for n in DEFAULT_PARAMS]
-        rows.append(F.struct(*fields))
+        own = [c for s, q in series_sets(p).items() for c in (F.lit(s), row(pid, q))]
+        rows.append(F.struct(row(pid, p).alias("base"), (F.create_map(*own) if own else F.lit(None)).alias(BY_SERIES)))
     return F.array(*rows)
 
 
+def param_batches(param_sets: Mapping[str, Mapping[str, Any]]) -> list[dict[str, Mapping[str, Any]]]:
+    """The sets in pieces of PARAM_BATCH, those with per-series overrides apart from those without."""
+    kinds = [{k: p for k, p in param_sets.items() if bool(p.get(BY_SERIES)) is own} for own in (False, True)]
+    return [dict(list(kind.items())[i: i + PARAM_BATCH]) for kind in kinds for i in range(0, len(kind), PARAM_BATCH)]
+
+
 def envelope(param_sets: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
     """Loosest time and price bounds over all sets, used to prune rows before they are multiplied."""
-    full = [parameter_set(**p) for p in param_sets.values()]
+    full = [q for p in param_sets.values() for q in (parameter_set(**p), *series_sets(p).values())]
     return {
         "entry_after": min(p["entry_after"] for p in full),
         "entry_until": max(p["entry_until"] for p in full),
         "min_entry": min(p["min_entry"] for p in full),
         "max_entry": max(p["max_entry"] for p in full),
         "max_vol": max(p["max_vol"] for p in full),
-        "score_gate": any(p["min_reversal_score"] is not None for p in full),
-        "depth_gate": any(p["min_depth_ratio"] is not None for p in full),
     }

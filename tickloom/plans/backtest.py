@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import features, rolling, studies, triggers
+from tickloom.operators.asof import dedupe_ticks
 from tickloom.params import parameter_set
 from tickloom.plans.staging import stage
 
 WINDOW = ("series_key", "ws")
 
 
-def prepare_ticks(raw: DataFrame, bars: DataFrame | None = None, **bar_args) -> DataFrame:
-    """Cleaned ticks with ``twap`` and ``rng``.
+def prepare_ticks(raw: DataFrame, bars: DataFrame | None = None, *, window: Sequence[str] = WINDOW, time: str = "t",
+                  seq: str | None = None, **bar_args) -> DataFrame:
+    """Cleaned ticks with ``twap`` and ``rng``, at most one per window and second.
 
-    Without bars the range is zero (the volatility filter is off) and there is no TWAP.
+    A feed may repeat seconds; with ``seq`` (a column that orders them) the last tick of each second
+    stays. Without it the raw ticks must already be distinct, as recorded tick tables are. Without bars the
+    range is zero (the volatility filter is off) and there is no TWAP.
     """
-    ticks = features.clean_ticks(raw)
+    ticks = features.clean_ticks(raw if seq is None else dedupe_ticks(raw, window, time, seq))
     if bars is None:
         return ticks.withColumns({"rng": F.lit(0.0), "twap": F.lit(None).cast("double")})
     return rolling.tick_volatility(ticks, bars, **bar_args)

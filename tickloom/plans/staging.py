@@ -3,35 +3,84 @@
 A table that several later steps read (the feature table, candidate orders, replay results) is
 written once to the cluster's shared checkpoint folder and read back. That cuts the lineage, so
 a lost executor costs a re-read and not a recomputation, and each reader prunes its own columns.
+
+All tables of an application lie in one folder. ``release`` removes it when the results are written;
+at the end of the application it is removed anyway.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWNED: dict[str, SparkSession] = {}
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    A path without scheme that the cluster's default file system resolves to a machine's own disk is
+    refused off local mode; a file: path that names its scheme is taken to be a shared mount.
+    """
+    local = spark.sparkContext.master.split("[")[0] == "local"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         checkpoint = spark.sparkContext.getCheckpointDir()
         root = checkpoint if checkpoint else None
     if root:
+        where, system = _hadoop_path(spark, root)
+        if not local and where.toUri().getScheme() is None and system.getUri().getScheme() == "file":
+            raise RuntimeError(f"{root} is on this machine's disk; name a shared folder with its scheme")
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """This application's folder below the root."""
+    folder = f"{stage_root(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        _OWNED[folder] = spark
+    return folder
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where, system = _hadoop_path(spark, path)
+    system.delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables this application staged; whatever still reads them fails from then on."""
+    folder = stage_folder(spark)
+    remove_folder(spark, folder)
+    _OWNED.pop(folder, None)
+
+
+@atexit.register
+def _release_all() -> None:
+    for folder, spark in list(_OWNED.items()):
+        try:
+            remove_folder(spark, folder)
+        except Exception:  # the session is gone already; nothing can be removed through it
+            _OWNED.pop(folder, None)
+
+
 def stage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet under the stage root and return a reader of it."""
+    """Write ``df`` as Parquet under the stage folder and return a reader of it."""
     spark = df.sparkSession
-    path = f"{stage_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/stage-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

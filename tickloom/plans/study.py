@@ -41,19 +41,28 @@ def candidate_orders(captured: DataFrame, *, time_scale: int = 1) -> DataFrame:
 
 def profile_candidates(orders: DataFrame, names: Sequence[str], *, series: str = "series_key",
                        start: str = "ws", window_len: int = 300, min_class: int = 100,
-                       min_train: int = 500, min_keep: int = 200, top: int = 20) -> dict[str, DataFrame]:
-    """Walk-forward profile: separation on val, rules from train judged on val, hard negatives."""
+                       min_train: int = 500, min_keep: int = 200, top: int = 20,
+                       rule_features: int = 12, negative_features: int | None = None) -> dict[str, DataFrame]:
+    """Walk-forward profile: separation on val, rules from train judged on val, hard negatives.
+
+    ``rule_features`` of the best separating features are swept for rules; hard negatives are
+    profiled on all ``names`` or on the best ``negative_features``.
+    """
     keys = [series]
     split = stage(studies.walk_forward_split(orders, keys, start, window_len))
     train, val = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "val")
     profile = stage(studies.separation_profile(val, keys, names, "win_label", min_class))
     strength = F.abs(F.col("auc") - 0.5)
     ranked = studies.rank_top_per_key(profile, keys, strength, top, ["feature"])
-    leaders = studies.rank_top_per_key(profile, keys, strength, 12, ["feature"]).drop("place")
+    leaders = studies.rank_top_per_key(profile, keys, strength, rule_features, ["feature"]).drop("place")
     rules = studies.rule_threshold_sweep(train, val, keys, leaders, names, min_train=min_train,
                                          min_keep=min_keep)
+    negatives = studies.hard_negative_profile(val, keys, names)
+    if negative_features is not None:
+        best = studies.rank_top_per_key(profile, keys, strength, negative_features, ["feature"]).select(*keys, "feature")
+        negatives = negatives.join(best, [*keys, "feature"], "left_semi")
     return {
         "profile": ranked,
         "rules": studies.rank_top_per_key(rules, keys, F.col("ev"), top, ["feature", "q"]),
-        "hard_negatives": studies.hard_negative_profile(val, keys, names),
+        "hard_negatives": negatives,
     }

@@ -97,7 +97,8 @@ def parse_twap_updates(messages: DataFrame, text: str, pair: str | None = None,
                        keep: tuple[str, ...] = ()) -> DataFrame:
     """TWAP updates: the 1e18 fixed-point value when present, else the display value.
 
-    Non-JSON frames (heartbeats) are skipped; broken JSON rows come out with ``is_error``.
+    Non-JSON frames (heartbeats) are skipped; broken JSON rows come out with ``is_error``. With
+    ``pair``, rows of other pairs are dropped before their values are looked at.
     """
     body = F.trim(F.col(text))
     parsed = F.from_json(
@@ -110,7 +111,8 @@ def parse_twap_updates(messages: DataFrame, text: str, pair: str | None = None,
     price = F.when(fixed.isNotNull(), exact.cast("decimal(38,18)")).otherwise(
         shown.try_cast("decimal(38,18)"))
     has_value = fixed.isNotNull() | shown.isNotNull()
+    if pair is not None:
+        df = df.filter(bad_json | (F.col("_p.payload.symbol") == pair))
     out = df.select(*keep, F.col("_p.payload.symbol").alias("pair"), price.alias("price"),
                     (bad_json | (has_value & price.isNull())).alias("is_error"))
-    wanted = F.col("pair").isNotNull() if pair is None else (F.col("pair") == pair)
-    return out.filter(F.col("is_error") | (wanted & F.col("price").isNotNull()))
+    return out.filter(F.col("is_error") | (F.col("pair").isNotNull() & F.col("price").isNotNull()))

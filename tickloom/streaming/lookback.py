@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.features import MAX_AGE, SPOT_MEMORY
+from tickloom.plans.staging import remove_folder
 
 
 def _previous(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -22,14 +23,16 @@ def _previous(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def stream_features(ticks: DataFrame, compute: Callable[[DataFrame], DataFrame], dst: str,
-                    checkpoint: str, *, time: str = "t", scale: int = 1, window_len: int = 300,
-                    available_now: bool = True) -> StreamingQuery:
+                    checkpoint: str, *, time: str = "t", series: str = "series_key", scale: int = 1,
+                    window_len: int = 300, forget: int = 86400, available_now: bool = True) -> StreamingQuery:
     """Append ``compute`` output for every new tick to ``dst`` (one folder per batch).
 
     The look-back is the spot memory plus the as-of age, which is all any feature frame can
-    reach, counted back from the newest tick seen; one window length is allowed for ticks that
-    arrive late. It is kept per batch id: re-running a batch after a failure reads the same
-    look-back and overwrites the same folders, so the result does not change.
+    reach, counted back from the newest tick of the same series, so a series that trails the others
+    keeps its own; one window length is allowed for ticks that arrive late. A series whose newest
+    tick is ``forget`` (times scale) behind the newest of all is over, and its look-back goes. It is kept
+    per batch id: re-running a batch after a failure reads the same look-back and overwrites the
+    same folders, so the result does not change. Older ones are removed.
     """
     reach = (SPOT_MEMORY + MAX_AGE) * scale + window_len
     history = f"{checkpoint}/history"
@@ -42,9 +45,12 @@ def stream_features(ticks: DataFrame, compute: Callable[[DataFrame], DataFrame],
         try:
             out = compute(both).filter("_new").drop("_new")
             out.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
-            newest = both.agg(F.max(time)).first()[0]
-            kept = both.filter(F.col(time) >= newest - reach) if newest is not None else both
-            kept.drop("_new").write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+            newest = both.groupBy(series).agg(F.max(time).alias("_newest"))
+            last = newest.agg(F.max("_newest")).first()[0]
+            alive = newest if last is None else newest.filter(F.col("_newest") >= last - reach - forget * scale)
+            kept = both.join(alive, series).filter(F.col(time) >= F.col("_newest") - reach)
+            kept.select(*batch.columns).write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+            remove_folder(spark, f"{history}/batch={batch_id - 2}")
         finally:
             both.unpersist()
 

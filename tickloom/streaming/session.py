@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from tickloom.plans.staging import stage_root
+from tickloom.plans.staging import stage_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,5 +19,5 @@ def prepare_streaming(spark: SparkSession) -> SparkSession:
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder below the shared checkpoint root."""
-    return f"{stage_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """New folder among the tables the application has staged; ``release`` removes it with them."""
+    return f"{stage_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

@@ -108,10 +108,14 @@ STALE_OUTPUT = "key string, at bigint, state string"
 
 
 class Staleness(StatefulProcessor):
-    """Emits 'stale' when a key had no update for max_age seconds and 'fresh' on recovery."""
+    """Emits 'stale' when a key had no update for max_age seconds and 'fresh' on recovery.
 
-    def __init__(self, max_age: int) -> None:
-        self.max_age = max_age
+    A stale key keeps its last time for ``forget`` seconds of event time; then its state is removed, and
+    an update after that starts the key anew, with 'fresh' as well.
+    """
+
+    def __init__(self, max_age: int, forget: int) -> None:
+        self.max_age, self.forget = max_age, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -135,49 +139,80 @@ class Staleness(StatefulProcessor):
         self.seen.update((last, stale))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.seen.exists():
+            return
         last, stale = self.seen.get()
-        if not stale and expiredTimerInfo.getExpiryTimeInMs() == (last + self.max_age) * 1000:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if not stale and due == (last + self.max_age) * 1000:
             self.seen.update((last, True))
+            self.handle.registerTimer((last + self.max_age + self.forget) * 1000)
             yield Row(key=key[0], at=last + self.max_age, state="stale")
+        elif stale and due >= (last + self.max_age + self.forget) * 1000:
+            self.seen.clear()
 
 
 def stream_staleness(updates: DataFrame, max_age: int, *, key: str = "key", time: str = "ts",
-                     delay: str = "0 seconds") -> DataFrame:
-    """Freshness transitions per key from event time; ``time`` is a timestamp column."""
+                     delay: str = "1 hour", forget: int = 86400) -> DataFrame:
+    """Freshness transitions per key from event time; ``time`` is a timestamp column.
+
+    ``delay`` is how far the slowest key may trail the fastest one before its rows count as late; a
+    'stale' by timer comes out that much later. Rows beyond it are dropped by the watermark and counted
+    by Spark as ``numRowsDroppedByWatermark`` of the query's progress (see :func:`late_rows`).
+    """
     rows = updates.withWatermark(time, delay).select(
         F.col(key).cast("string").alias("key"), F.unix_seconds(time).alias("at"), time)
     return rows.groupBy("key").transformWithState(
-        statefulProcessor=Staleness(max_age), outputStructType=STALE_OUTPUT, outputMode="Append",
+        statefulProcessor=Staleness(max_age, forget), outputStructType=STALE_OUTPUT, outputMode="Append",
         timeMode="EventTime")
 
 
+def late_rows(progress) -> int:
+    """Rows the watermark dropped, over all operators and batches of a query's ``recentProgress``."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
+
+
 FINAL_ACTIONS = ("ENTER", "ABORT_DATA", "ABORT_VOL")
 SIGNAL_OUTPUT = "series_key string, ws bigint, t bigint, cand string, cand_ask double"
 
 
 class FirstSignal(StatefulProcessor):
-    """At most one entry signal per window; an abort closes the window, a band miss may retry."""
+    """At most one entry signal per window; an abort closes the window, a band miss may retry.
+
+    The earliest final verdict decides, whatever order rows and batches come in: it is held until the
+    watermark has passed its time, when nothing earlier can arrive any more.
+    """
 
     def __init__(self, window_len: int) -> None:
         self.window_len = window_len
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.closed = handle.getValueState("closed", "done boolean")
+        self.first = handle.getValueState("first", "t bigint, action string, cand string, cand_ask double, told boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.closed.exists():
+        held = self.first.get() if self.first.exists() else None
+        if held is None:
+            self.handle.registerTimer((key[1] + self.window_len) * 1000)
+        elif held[4]:
             return
         first = min(rows, key=lambda r: r.t)
-        self.closed.update((True,))
-        self.handle.registerTimer((key[1] + self.window_len) * 1000)
-        if first.gated_action == "ENTER":
-            yield Row(series_key=key[0], ws=key[1], t=first.t, cand=first.cand, cand_ask=first.cand_ask)
+        if held is None or first.t < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0] * 1000)
+            self.handle.registerTimer(first.t * 1000)
+            self.first.update((first.t, first.gated_action, first.cand, first.cand_ask, False))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # the watermark passed the window's end: nothing of it can arrive any more
-        self.closed.clear()
-        yield from ()
+        if not self.first.exists():
+            return
+        t, action, cand, ask, told = self.first.get()
+        if not told:
+            self.first.update((t, action, cand, ask, True))
+            if action == "ENTER":
+                yield Row(series_key=key[0], ws=key[1], t=t, cand=cand, cand_ask=ask)
+        if expiredTimerInfo.getExpiryTimeInMs() >= (key[1] + self.window_len) * 1000:
+            self.first.clear()  # the watermark passed the window's end
 
 
 def stream_first_signal(judged: DataFrame, *, window_len: int = 300, delay: str = "300 seconds"
