@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from testbed import fixtures as fx
 from testbed.fixtures import DAY, SCALE, WINDOW, big, r6
-from testbed.q_windows import AGE, LABEL_SQL, REPLAY_SQL, SUMMARY_COLS, SUMMARY_SELECT, no_vol, replayed, sql_asof
+from testbed.q_windows import AGE, LABEL_SQL, no_vol, replayed, sql_asof
 from testbed.registry import register
 from tickloom.functions import book
 from tickloom.functions.numeric import ten_dp
 from tickloom.operators import asof, labels, ledger, studies, triggers
-from tickloom.params import parameter_grid, parameter_set
+from tickloom.params import parameter_grid, series_overrides
 
 NOW = 1706659200  # fixed reference time: 2024-01-31 00:00 UTC
 
@@ -92,41 +92,22 @@ def j6(spark, sf):
         *WINDOW, "t", r6("gap").alias("gap"), "flagged")
 
 
-GRID = parameter_grid({"take_profit_price": [0.5, 0.94], "max_entry": [0.25, 0.3]})
+GRID = parameter_grid({"take_profit_price": [0.5, 0.94], "max_entry": [0.25, 0.3]},
+                      by_series=series_overrides("max_entry", {"click": 0.28, "view": 0.2}))
 
 
 @register("J7_param_cross", """
-with p as (select 'g0' || row_number() over (order by tp, me) - 1 as x, tp, me from (values (0.5, 0.25), (0.5, 0.3), (0.94, 0.25), (0.94, 0.3)) v(tp, me))
-select case when tp = 0.5 then case when me = 0.25 then 'g00' else 'g01' end else case when me = 0.25 then 'g02' else 'g03' end end as param_id,
-  series_key, count(*) as n, count(case when cand_ask < me::double and cand_ask > 0.15::double then 1 end) as in_band
-from v_clean, p group by 1, 2
+with p as (select * from (values ('g00', 0.5, 0.25), ('g01', 0.5, 0.3), ('g02', 0.94, 0.25), ('g03', 0.94, 0.3)) v(param_id, tp, me))
+select param_id, series_key, t, tp::double as take_profit,
+  case series_key when 'click' then 0.28 when 'view' then 0.2 else me end::double as max_entry,
+  coalesce(cand_ask < case series_key when 'click' then 0.28 when 'view' then 0.2 else me end::double and cand_ask > 0.15::double, false) as in_band
+from v_clean, p
 """)
 def j7(spark, sf):
     df = triggers.param_cross(fx.clean(spark, sf), GRID)
     inside = (F.col("cand_ask") < F.col("p.max_entry")) & (F.col("cand_ask") > F.col("p.min_entry"))
-    return df.groupBy(F.col("p.param_id").alias("param_id"), "series_key").agg(
-        F.count("*").alias("n"), F.count_if(inside).alias("in_band"))
-
-
-TIGHT = f"""with {REPLAY_SQL},
-tight as (select series_key, ws from (select *, row_number() over (partition by series_key, ws order by t) as rn2 from tk
-    where elapsed between 25920 and 43200 and cand_ask < 0.22::double and cand_ask > 0.15::double) q where rn2 = 1
-    and cand_ask_size >= greatest(cast(ceil(round(200.0::double / round(cand_ask * 100), 9)) as bigint), 5))
-"""
-
-
-@register("J8_marginal_split", TIGHT + f"""
-select 'filtered' as split_group, series_key, {SUMMARY_SELECT} from res
-where size > 0 and (series_key, ws) not in (select (series_key, ws) from tight) group by series_key
-""")
-def j8(spark, sf):
-    sets = {"loose": parameter_set(take_profit_price=0.94, stop_loss_price=0.06),
-            "tight": parameter_set(take_profit_price=0.94, stop_loss_price=0.06, max_entry=0.22)}
-    split = studies.run_summary(
-        triggers.marginal_split(replayed(spark, sf, sets), "loose", "tight", WINDOW),
-        ["split_group", "series_key"])
-    return split.filter("split_group = 'filtered'").select(
-        "split_group", "series_key", "n", *[r6(c).alias(c) for c in SUMMARY_COLS])
+    return df.select("p.param_id", "series_key", "t", F.col("p.take_profit_price").alias("take_profit"),
+                     F.col("p.max_entry").alias("max_entry"), F.coalesce(inside, F.lit(False)).alias("in_band"))
 
 
 def _crosscheck_sql(pick: str) -> str:

@@ -104,6 +104,23 @@ def _param_rows(sets) -> str:
         for pid, p in sets.items())
 
 
+MARGINAL = {"loose": parameter_set(take_profit_price=0.94, stop_loss_price=0.06),
+            "tight": parameter_set(take_profit_price=0.94, stop_loss_price=0.06, max_entry=0.22)}
+
+
+@register("J8_marginal_split", f"""
+with {param_replay_sql(_param_rows(MARGINAL))},
+tight as (select series_key, ws from pres where param_id = 'tight' and size > 0),
+tagged as (select case when param_id = 'tight' then 'kept' else 'filtered' end as split_group, pres.* from pres
+  where size > 0 and (param_id = 'tight' or (series_key, ws) not in (select (series_key, ws) from tight)))
+select split_group, series_key, {SUMMARY_SELECT} from tagged group by 1, 2
+""")
+def j8(spark, sf):
+    results = triggers.replay(no_vol(fx.clean(spark, sf)), fx.windows(spark, sf), MARGINAL, WINDOW, time_scale=SCALE)
+    split = studies.run_summary(triggers.marginal_split(results, "loose", "tight", WINDOW), ["split_group", "series_key"])
+    return split.select("split_group", "series_key", "n", *[r6(c).alias(c) for c in SUMMARY_COLS])
+
+
 @register("A3_param_sweep", f"with {param_replay_sql(_param_rows(SWEEP))} select param_id, series_key, {SUMMARY_SELECT} from pres group by 1, 2")
 def a3(spark, sf):
     out = grid_plan.param_sweep(no_vol(fx.clean(spark, sf)), fx.windows(spark, sf), SWEEP, WINDOW,

@@ -133,3 +133,51 @@ def test_capture_window_and_entry_flag(rows):
 def test_parameter_names_are_checked():
     with pytest.raises(ValueError):
         parameter_set(max_volume=3)
+
+
+def test_series_overrides_and_batches_of_sets(spark, rows, monkeypatch):
+    from tickloom import params
+
+    ticks = rows([("a", 0.27), ("b", 0.27)], "series_key string, cand_ask double")
+    sets = params.parameter_grid({"max_entry": [0.2, 0.3, 0.4]}, by_series=params.series_overrides("max_entry", {"b": 0.1}))
+    sets["plain"] = params.parameter_set(max_entry=0.25)
+    monkeypatch.setattr(params, "PARAM_BATCH", 2)
+    got = {(r.series_key, r.param_id): r.max_entry for r in triggers.param_cross(ticks, sets).select("series_key", "p.*").collect()}
+    assert got == {("a", "g00"): 0.2, ("a", "g01"): 0.3, ("a", "g02"): 0.4, ("b", "g00"): 0.1, ("b", "g01"): 0.1,
+                   ("b", "g02"): 0.1, ("a", "plain"): 0.25, ("b", "plain"): 0.25}
+    assert params.envelope(sets)["max_entry"] == 0.4
+    with pytest.raises(ValueError):
+        params.parameter_set(by_series={"a": {"max_entrance": 1}})
+
+
+def test_unknown_score_weights_are_refused():
+    from tickloom.functions.score import reversal_score
+
+    with pytest.raises(ValueError):
+        reversal_score({"near_extreme": 1.0})
+
+
+def test_fractional_shares_and_market_orders(spark, rows):
+    from tickloom.functions.numeric import notional, taker_fee
+    from tickloom.operators.execution import depth_walk, market_buy_need
+
+    r = rows([(2.5, 0.5)], "n double, p double").select(taker_fee(F.col("n"), F.col("p")).alias("fee"), notional(F.col("n"), F.col("p")).alias("cost")).first()
+    assert (float(r.fee), float(r.cost)) == (0.04375, 1.25)
+    levels = rows([("x", "ask", 0.4, 3.0), ("x", "ask", 0.5, 3.0), ("x", "bid", 0.3, 2.0)], "asset string, side string, price double, size double")
+    orders = rows([(1, "x", "BUY", "FAK", None, 4.0), (2, "x", "BUY", "FAK", 0.45, None), (3, "x", "SELL", "FAK", None, None),
+                   (4, "y", "BUY", "FAK", None, 1.0)],
+                  "order_id int, asset string, side string, order_type string, limit_price double, notional double")
+    orders = market_buy_need(orders, levels).withColumn("need", F.coalesce(F.when(F.col("notional").isNotNull(), F.col("need")), F.lit(5.0)))
+    got = {r.order_id: (r.filled, r.status) for r in depth_walk(orders, levels).collect()}
+    assert got == {1: (6.0, "PARTIAL"), 2: (3.0, "CANCELED"), 3: (2.0, "PARTIAL"), 4: (0.0, "FAILED")}
+
+
+def test_a_released_job_leaves_no_folder(spark, rows):
+    import os
+
+    from tickloom.plans import staging
+
+    folder = staging.stage_folder(spark).removeprefix("file:")
+    assert staging.stage(rows([(1,)], "a int")).count() == 1 and os.listdir(folder)
+    staging.release(spark)
+    assert not os.path.exists(folder)

@@ -32,8 +32,8 @@ def twap_window_stats(updates: DataFrame, key: str, time: str, value: str, *, se
 
 def stream_freshness_audit(rows: DataFrame, stream: str, time: str, now: Column,
                            names: DataFrame | None = None, stall: int = STALL_SECONDS) -> DataFrame:
-    """Newest row per stream against a given time: ok, stalled, or no data."""
-    g = rows.groupBy(stream).agg(F.max(time).alias("newest"))
+    """Newest row per stream up to a given time: ok, stalled, or no data."""
+    g = rows.filter(F.col(time) <= now).groupBy(stream).agg(F.max(time).alias("newest"))
     if names is not None:
         g = names.select(stream).distinct().join(g, stream, "left")
     age = now - F.col("newest")
