@@ -10,13 +10,12 @@ at the end of the application it is removed anyway.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWNED: dict[str, SparkSession] = {}
+_MARKED: set[str] = set()
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -49,10 +48,13 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """This application's folder below the root."""
+    """This application's folder below the root; removed when its driver ends."""
     folder = f"{stage_root(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
-    if folder not in _OWNED:
-        _OWNED[folder] = spark
+    if folder not in _MARKED:
+        where, system = _hadoop_path(spark, folder)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _MARKED.add(folder)
     return folder
 
 
@@ -65,16 +67,7 @@ def release(spark: SparkSession) -> None:
     """Remove all tables this application staged; whatever still reads them fails from then on."""
     folder = stage_folder(spark)
     remove_folder(spark, folder)
-    _OWNED.pop(folder, None)
-
-
-@atexit.register
-def _release_all() -> None:
-    for folder, spark in list(_OWNED.items()):
-        try:
-            remove_folder(spark, folder)
-        except Exception:  # the session is gone already; nothing can be removed through it
-            _OWNED.pop(folder, None)
+    _MARKED.discard(folder)
 
 
 def stage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
