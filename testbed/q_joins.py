@@ -17,14 +17,12 @@ NOW = 1706659200  # fixed reference time: 2024-01-31 00:00 UTC
 
 
 @register("J1_ticks_with_outcome", """
-select series_key, outcome, count(*) as n, sum(t)::bigint as sum_t, round(sum(spot), 6) as sum_spot
-from v_clean join v_windows using (series_key, ws) where outcome in ('Up', 'Down') group by 1, 2
+select series_key, t, outcome, round(spot, 6) as spot
+from v_clean join v_windows using (series_key, ws) where outcome in ('Up', 'Down')
 """)
 def j1(spark, sf):
     df = triggers.ticks_with_outcome(fx.clean(spark, sf), fx.windows(spark, sf), WINDOW)
-    return df.groupBy("series_key", "outcome").agg(
-        F.count("*").alias("n"), F.sum("t").alias("sum_t"),
-        r6(F.sum(F.col("spot").cast("decimal(18,2)"))).alias("sum_spot"))
+    return df.select("series_key", "t", "outcome", r6("spot").alias("spot"))
 
 
 @register("J2_asof_value", f"""

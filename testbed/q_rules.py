@@ -188,14 +188,12 @@ from (select *, {RNG} as rng from v_clean) x
 
 
 @register("P13_classify_entry", f"""
-select series_key, action, count(*) as n, sum(elapsed)::bigint as sum_elapsed
-from ({_BASE}) y group by 1, 2
+select series_key, t, action from ({_BASE}) y
 """)
 def p13(spark, sf):
     df = fx.clean(spark, sf).withColumn("rng", F.expr(RNG))
     judged = triggers.entry_decisions(df, {"base": parameter_set()}, time_scale=fx.SCALE)
-    return judged.groupBy("series_key", "action").agg(
-        F.count("*").alias("n"), F.sum("elapsed").alias("sum_elapsed"))
+    return judged.select("series_key", "t", "action")
 
 
 @register("P14_classify_entry_gated", f"""
@@ -203,9 +201,9 @@ with b as (select *, case when event_id % 3 = 0 then null else event_id % 7 - 2
              case when cand_ask is not null and cand_ask_size > 0 and fav_bid > 0 and fav_bid_size > 0
                then round(cand_ask * cand_ask_size / (fav_bid * fav_bid_size), 10) end as depth from ({_BASE}) y),
 p as (select * from (values ('off', null, null), ('score', 2, null), ('depth', null, 0.27::double), ('both', 1, 0.4::double)) t(param_id, ms, md)),
-g as (select param_id, series_key, case when action = 'ENTER' and ((ms is not null and (score is null or score < ms))
+g as (select param_id, series_key, t, case when action = 'ENTER' and ((ms is not null and (score is null or score < ms))
         or (md is not null and (depth is null or depth < md))) then 'OBSERVE' else action end as gated_action from b, p)
-select param_id, series_key, gated_action, count(*) as n from g group by 1, 2, 3
+select param_id, series_key, t, gated_action from g
 """)
 def p14(spark, sf):
     df = triggers.with_depth_ratio(fx.clean(spark, sf)).withColumn("rng", F.expr(RNG)).withColumn(
@@ -215,16 +213,15 @@ def p14(spark, sf):
             "both": parameter_set(min_reversal_score=1, min_depth_ratio=0.4)}
     judged = triggers.entry_decisions(df, sets, score="score", depth="depth_ratio",
                                       time_scale=fx.SCALE)
-    return judged.groupBy(F.col("p.param_id").alias("param_id"), "series_key", "gated_action").agg(
-        F.count("*").alias("n"))
+    return judged.select("p.param_id", "series_key", "t", "gated_action")
 
 
 @register("P15_exit_flags", """
 with p as (select * from (values ('fixed', 0.65::double, null, 0.1::double), ('multiple', 0.99::double, 2.5::double, 0.0::double)) t(param_id, tp, mult, sl)),
-x as (select param_id, series_key, coalesce(bu >= case when mult is not null and cand_ask is not null
+x as (select param_id, series_key, t, coalesce(bu >= case when mult is not null and cand_ask is not null
         then least(round(cand_ask * mult, 10), 0.99::double) else tp end, false) as take_profit,
         coalesce(sl > 0 and bu <= sl, false) as stop from v_clean, p)
-select param_id, series_key, take_profit, stop, count(*) as n from x group by 1, 2, 3, 4
+select param_id, series_key, t, take_profit, stop from x
 """)
 def p15(spark, sf):
     sets = {"fixed": parameter_set(take_profit_price=0.65, stop_loss_price=0.1),
@@ -232,10 +229,9 @@ def p15(spark, sf):
     p = lambda n: F.col(f"p.{n}")
     df = triggers.param_cross(fx.clean(spark, sf), sets)
     return df.select(
-        p("param_id").alias("param_id"), "series_key",
+        p("param_id").alias("param_id"), "series_key", "t",
         decision.take_profit_hit(F.col("bu"), F.col("cand_ask"), p).alias("take_profit"),
-        decision.stop_hit(F.col("bu"), p).alias("stop"),
-    ).groupBy("param_id", "series_key", "take_profit", "stop").agg(F.count("*").alias("n"))
+        decision.stop_hit(F.col("bu"), p).alias("stop"))
 
 
 @register("P16_would_enter_filter", """
