@@ -270,3 +270,19 @@ def test_perspectives_render_whole_dialogues(spark, monkeypatch):
     assert "".join(r.segment for r in got[(1, "bob")]) == (
         "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\nhé 🙂<|end|>\n<|user name=ann|>\n<|end|>\n<|user name=eve|>\nx<|end|>\n")
     assert perspectives.rotate_perspectives(frame.limit(0)).count() == 0
+
+
+def test_bitmaps_of_all_widths_lose_no_similar_pair():
+    rng = np.random.default_rng(1)
+    sets = []
+    for size in (3, 50, 500, 530, 1000, 3000) * 4:
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        sets += [np.sort(rng.choice(base, size=max(1, int(len(base) * rng.uniform(0.75, 1))), replace=False)) for _ in range(4)]
+    n, named = np.array([len(s) for s in sets]), np.arange(len(sets)) % 90
+    got = set(trie_join.close_in_group(n, named, [trie_join.parity_bitmap(s) for s in sets]))
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if named[i] != named[j] and 100 * both >= 80 * (n[i] + n[j] - both):
+                assert (i, j) in got
+    assert all(named[i] != named[j] for i, j in got) and len(got) < 0.1 * len(sets) ** 2 / 2

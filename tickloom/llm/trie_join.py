@@ -35,7 +35,9 @@ from tickloom.plans.staging import stage
 PERCENT, WORDS = 80, 5
 #: First shingles of a set that are counted to find frequent ones, and how many sets make one frequent.
 SKETCH, FREQUENT = 16, 64
-BITMAP_BITS = 2048
+LEAST_BITS = 1024
+#: Words of the broadcast sieve; shingles of a head beyond twice the prefix.
+SIEVE_WORDS, HEAD_SPARE = 1 << 16, 32
 #: Sets per block of a large group; rows one Python call gets.
 BLOCK, CALL_ROWS = 256, 512
 
@@ -126,8 +128,8 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
     return out
 
 
-SET = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
-                    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bitmap", T.ArrayType(T.LongType()))])
+NAME = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+BEGIN = T.StructType([T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bitmap", T.ArrayType(T.LongType()))])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -137,46 +139,75 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def parity_bitmap(items: np.ndarray) -> np.ndarray:
-    bits = np.bincount((items & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    """Parity of the hashes in each of at least 2n places, a power of two; half the places fold into the other half."""
+    width = max(LEAST_BITS, 1 << (2 * len(items) - 1).bit_length())
+    bits = np.bincount((items & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-@F.arrow_udf(SET)
-def _summary(texts: pa.Array) -> pa.Array:
-    sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2:]
+    return words
+
+
+def _named(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two 64-bit sums that stand for a whole set."""
     spin = [int(np.bitwise_xor.reduce(s * np.uint64(0xFF51AFD7ED558CCD))) if len(s) else 0 for s in sets]
     total = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-    signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
+    return [pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (total, spin))]
+
+
+@F.arrow_udf(NAME)
+def _set_name(texts: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(_named([shingle_set(t, WORDS) for t in texts.to_pylist()]), NAME.names)
+
+
+@F.arrow_udf(T.StructType([*NAME.fields, *BEGIN.fields]))
+def _set_begin(texts: pa.Array) -> pa.Array:
+    sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
     return pa.StructArray.from_arrays(
-        [pa.array([len(s) for s in sets], pa.int32()), signed(total), signed(spin),
-         _lists([s[: prefix_length(len(s))] for s in sets]), _lists([parity_bitmap(s) for s in sets])],
-        ["n", "s1", "s2", "prefix", "bitmap"])
+        [*_named(sets), _lists([s[: prefix_length(len(s))] for s in sets]), _lists([parity_bitmap(s) for s in sets])],
+        [*NAME.names, *BEGIN.names])
+
 
+@F.arrow_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("items", T.ArrayType(T.LongType()))]))
+def _head(texts: pa.Array, spare: pa.Array) -> pa.Array:
+    """The first shingles of a set, by hash: its prefix twice and ``spare`` more."""
+    sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
+    return pa.StructArray.from_arrays(
+        [pa.array([len(s) for s in sets], pa.int32()),
+         _lists([s[: 2 * prefix_length(len(s)) + int(more)] for s, more in zip(sets, spare.to_pylist())])], ["n", "items"])
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _whole_set(texts: pa.Array) -> pa.Array:
-    return _lists([shingle_set(t, WORDS) for t in texts.to_pylist()])
 
+def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts whose id may be among the wanted ``rep``: all that are, and few others.
 
-def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, items): whole sets of the wanted representatives, made anew from their texts."""
-    return texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", _whole_set("text").alias("items"))
+    A table of at most SIEVE_WORDS words of 64 bits, whatever the input, is broadcast; so most texts stay
+    out of the joins that follow without being moved. It drops nothing that is wanted.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * SIEVE_WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {64 * SIEVE_WORDS}) % 64 as int))")
+    sieve = wanted.select(F.floor(place("rep") / 64).alias("__word"), bit("rep").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    tagged = texts.withColumn("__word", F.floor(place("doc_id") / 64))
+    return (tagged.join(F.broadcast(sieve), "__word").where(F.col("__bits").bitwiseAND(bit("doc_id")) != 0)
+            .select(F.col("doc_id").alias("rep"), "text"))
 
 
-def _joined(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _joined(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) of a prefix tree per group. ``groups``: g, rep; groups have bounded size."""
     calls = max(1, -(-groups.count() // CALL_ROWS))
-    rows = groups.join(sets, "rep").withColumn("call", F.pmod(F.xxhash64("g"), F.lit(calls)))
+    rows = (groups.join(_among(texts, groups.select("rep").distinct()), "rep")
+            .withColumn("call", F.pmod(F.xxhash64("g"), F.lit(calls))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, part in pdf.groupby("g", sort=False):
+            part = part.sort_values("rep", kind="stable")
             reps = part["rep"].to_numpy()
-            order = np.argsort(reps, kind="stable")
-            items = part["items"].to_numpy()
-            for i, j in links([np.asarray(items[k]).view(np.uint64) if len(items[k]) else np.zeros(0, np.uint64) for k in order]):
-                a.append(int(reps[order[i]]))
-                b.append(int(reps[order[j]]))
+            for i, j in links([shingle_set(t, WORDS) for t in part["text"]]):
+                a.append(int(reps[i]))
+                b.append(int(reps[j]))
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return rows.groupBy("call").applyInPandas(run, "a bigint, b bigint")
@@ -191,22 +222,30 @@ def _blocked(groups: DataFrame, key: list[str], size: str) -> DataFrame:
             .drop("__blocks", "__own", "__other"))
 
 
+def _frequent_in(heads: DataFrame, frequent: DataFrame, touched: DataFrame) -> DataFrame:
+    """(rep, last): the frequent shingles in the heads of touched sets, by hash."""
+    return (heads.select("rep", F.explode("items").alias("token")).join(frequent, "token")
+            .groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("last")).join(touched, "rep", "left_semi"))
+
+
 def _ordered_prefixes(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, rep, n) for the first shingles of every set in the global order."""
+    """(token, rep) for the first shingles of every set in the global order."""
     counted = reps.select(F.explode(F.slice("prefix", 1, SKETCH)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     frequent = stage(counted.where(F.col("c") > FREQUENT).select("token"))
-    plain = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    touched = stage(plain.join(frequent, "token").select("rep").distinct())
-    # sets with a frequent shingle among their first ones are put into the global order whole
-    whole = stage(_sets_of(texts, touched))
-    last = (whole.select("rep", F.explode("items").alias("token")).join(frequent, "token")
-            .groupBy("rep").agg(F.collect_list("token").alias("last")))
-    moved = (whole.join(last, "rep").withColumn("last", F.array_sort("last"))
-             .select("rep", F.size("items").alias("n"), F.concat(F.array_except("items", "last"), "last").alias("ordered")))
-    moved = moved.select("rep", "n", F.explode(F.expr(
-        f"slice(ordered, 1, cast(n - ceil({PERCENT} * n / 100.0D) + 1 as int))")).alias("token"))
-    return (reps.join(touched, "rep", "left_anti").select("rep", "n", F.explode("prefix").alias("token"))
-            .unionByName(moved).select("token", "rep", "n"))
+    touched = stage(reps.select("rep", F.explode("prefix").alias("token")).join(frequent, "token").select("rep").distinct())
+    # a set with frequent shingles among its first ones needs later ones in their place: mostly those of a
+    # longer head, otherwise (many frequent shingles) those of the whole set
+    p = F.expr(f"cast(n - ceil({PERCENT} * n / 100.0D) + 1 as int)")
+    heads = stage(_among(texts, touched).select("rep", _head("text", F.lit(HEAD_SPARE)).alias("h")).select("rep", "h.n", "h.items"))
+    last = stage(_frequent_in(heads, frequent, touched))
+    short = heads.where(F.size("items") < F.col("n")).select("rep", (F.size("items") - p).alias("spare"))
+    deep = stage(short.join(last.select("rep", F.size("last").alias("k")), "rep").where("k > spare").select("rep").distinct())
+    whole = stage(_among(texts, deep).select("rep", _head("text", F.lit(1 << 30)).alias("h")).select("rep", "h.n", "h.items"))
+    moved = (heads.join(last.join(deep, "rep", "left_anti"), "rep")
+             .unionByName(whole.join(_frequent_in(whole, frequent, deep), "rep")))
+    ordered = F.slice(F.concat(F.array_except("items", "last"), "last"), F.lit(1), p)
+    return (reps.join(touched, "rep", "left_anti").select("rep", F.explode("prefix").alias("token"))
+            .unionByName(moved.select("rep", F.explode(ordered).alias("token"))).select("token", "rep"))
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,17 +254,19 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``component_id`` is the smallest id reachable over links of at least PERCENT percent similarity,
     the own id included. A text shorter than WORDS words is one shingle; empty and null texts have none and
     are linked with nothing. A row without id has no component and links nothing. Repeated rows are
-    rows of the same class; different texts under one id are different members with the same
-    id. Whole texts are read. Other columns are ignored; no rows give no rows.
+    rows of the same class; different texts under one id are in one class too. Whole texts are read.
+    Other columns are ignored; no rows give no rows.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    all_sets = stage(texts.select("doc_id", _summary("text").alias("s")).select("doc_id", "s.*"))
-    same = (all_sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    members = stage(all_sets.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left")
-                    .select("doc_id", "n", "rep"))
-    reps = stage(all_sets.join(same.withColumnRenamed("rep", "doc_id"), ["n", "s1", "s2", "doc_id"])
-                 .select(F.col("doc_id").alias("rep"), "n", "prefix", "bitmap").dropDuplicates(["rep"]))
+    names = stage(texts.select("doc_id", _set_name("text").alias("s")).select("doc_id", "s.*"))
+    same = names.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    members = stage(names.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"))
+    # the beginning of one set of each name; copies are combined before the shuffle
+    begun = texts.where("doc_id is not null").select("doc_id", _set_begin("text").alias("s")).where("s.n > 0")
+    reps = stage(begun.select("s.n", "s.s1", "s.s2", F.struct("doc_id", "s.prefix", "s.bitmap").alias("b"))
+                 .groupBy("n", "s1", "s2").agg(F.min("b").alias("b"))
+                 .select(F.col("b.doc_id").alias("rep"), "n", "b.prefix", "b.bitmap"))
     facts = reps.select("rep", "n", "bitmap")
 
     by_token = _ordered_prefixes(texts, reps).repartition("token")
@@ -235,9 +276,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = met.where("rep <> pivot").select("pivot", "rep").distinct()
     left = facts.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("bitmap").alias("pb"))
     possible = f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)"
-    apart = "aggregate(zip_with(bitmap, pb, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+    half = lambda c, d: (f"case when size({c}) > size({d}) then zip_with(slice({c}, 1, size({d})), slice({c}, size({d}) + 1, size({d})),"
+                         f" (x, y) -> x ^ y) else {c} end")
+    apart = f"aggregate(zip_with({half('bitmap', 'pb')}, {half('pb', 'bitmap')}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
     most_apart = f"n + pn - 2 * cast(ceil({PERCENT} * (n + pn) / {100.0 + PERCENT}D) as int)"
-    stars = stage(stars.join(facts, "rep").join(left, "pivot").where(f"{possible} and {apart} <= {most_apart}").select("pivot", "rep"))
+    stars = stage(stars.join(facts, "rep").join(left, "pivot").where(possible).where(f"{apart} <= {most_apart}").select("pivot", "rep"))
     first = _linked_stars(texts, stars)
     classes = stage(components(first))
 
@@ -262,8 +305,29 @@ def _linked_stars(texts: DataFrame, stars: DataFrame) -> DataFrame:
     cut = stars.join(load, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep")
     whole = stage(cut.unionByName(cut.select("pivot", "block", F.col("pivot").alias("rep")).distinct())
                   .select(F.xxhash64("pivot", "block").alias("g"), "rep"))
-    sets = _sets_of(texts, whole.select("rep").distinct())
-    return stage(_joined(whole, sets))
+    return stage(_joined(whole, texts))
+
+
+def close_in_group(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs i < j of different classes that lengths and bitmaps let be similar; bitmaps meet at the smaller width."""
+    widths = np.array([len(m) for m in maps])
+    folded, place = {}, {}
+    for w in np.unique(widths):
+        among = np.flatnonzero(widths >= w)
+        folded[w] = np.stack([_folded(maps[k], w) for k in among])
+        place[w] = np.full(len(maps), -1)
+        place[w][among] = np.arange(len(among))
+    out = []
+    for i in range(len(maps) - 1):
+        later = np.flatnonzero((named[i + 1:] != named[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= PERCENT * np.maximum(n[i], n[i + 1:]))) + i + 1
+        for w in folded:
+            if w > widths[i]:
+                continue
+            js = later[widths[later] >= w] if w == widths[i] else later[widths[later] == w]
+            if len(js):
+                apart = np.bitwise_count(folded[w][place[w][js]] ^ folded[w][place[w][i]]).sum(axis=1)
+                out.extend((i, int(j)) for j in js[apart <= n[i] + n[js] - 2 * needed_overlap(n[i], n[js])])
+    return out
 
 
 def _close_pairs(groups: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -276,15 +340,11 @@ def _close_pairs(groups: DataFrame, facts: DataFrame, classes: DataFrame) -> Dat
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, part in pdf.groupby("g", sort=False):
-            reps, n, named = part["rep"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["class"].to_numpy()
-            maps = np.stack(part["bitmap"].to_numpy()).view(np.uint64)
-            for i in range(len(reps) - 1):
-                total = n[i] + n[i + 1:]
-                ok = (named[i + 1:] != named[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= PERCENT * np.maximum(n[i], n[i + 1:]))
-                ok &= np.bitwise_count(maps[i + 1:] ^ maps[i]).sum(axis=1) <= total - 2 * needed_overlap(n[i], n[i + 1:])
-                for j in np.flatnonzero(ok) + i + 1:
-                    a.append(int(min(reps[i], reps[j])))
-                    b.append(int(max(reps[i], reps[j])))
+            reps = part["rep"].to_numpy()
+            maps = [np.asarray(w).view(np.uint64) for w in part["bitmap"]]
+            for i, j in close_in_group(part["n"].to_numpy().astype(np.int64), part["class"].to_numpy(), maps):
+                a.append(int(min(reps[i], reps[j])))
+                b.append(int(max(reps[i], reps[j])))
         return pd.DataFrame({"pivot": np.array(a, np.int64), "rep": np.array(b, np.int64)}).drop_duplicates()
 
     return stage(rows.groupBy("call").applyInPandas(run, "pivot bigint, rep bigint").distinct())
