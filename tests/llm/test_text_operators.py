@@ -87,6 +87,17 @@ def test_fingerprints_estimate_similarity(spark):
     assert next(r for r in rows if r.i == 202).l == 0.0
 
 
+def test_likeness_of_unequal_short_texts_is_not_biased(spark):
+    # (shingles of the shorter, shingles of the longer text, which adds words at its end)
+    sizes = [(2, 3), (3, 4), (4, 5), (5, 6), (2, 5)]
+    pairs = [(f"{m}/{n}", " ".join(f"k{i}m{m}n{n}w{j}" for j in range(m + 4)), " ".join(f"k{i}m{m}n{n}w{j}" for j in range(n + 4)))
+             for m, n in sizes for i in range(200)]
+    frame = spark.createDataFrame(pairs, "kind string, a string, b string").repartition(8)
+    got = fingerprints.fingerprint(fingerprints.fingerprint(frame, "a", "fa"), "b", "fb")
+    means = {r.kind: r.l for r in got.groupBy("kind").agg(F.avg(fingerprints.likeness("fa", "fb")).alias("l")).collect()}
+    assert all(abs(means[f"{m}/{n}"] - m / n) < 0.02 for m, n in sizes), means
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4, 8])
 def test_likeness_counts_lanes(spark, bits):
     rng = np.random.default_rng(bits)

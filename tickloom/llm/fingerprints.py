@@ -4,7 +4,8 @@ All in Spark's built-in functions. Every five-word shingle is hashed once; the t
 bin, and a bin keeps its smallest hash. To find the minima of all bins in one sort, one upper
 bound per bin is added to the hashes: after sorting, the first value of each bin is its minimum,
 or the bound if the bin is empty. An empty bin takes the value of the first occupied bin in its
-own random probing order. Of each minimum the low-order bits are kept, packed into 64-bit words;
+own random order of all bins: ``PROBES`` drawn bins, then the rest by the hash of (empty bin, bin). The order
+is the same for all texts, so two texts choose alike. Of each minimum the low-order bits are kept, packed into 64-bit words;
 comparing two fingerprints is an exclusive or and a bit count per word, and the share of equal
 lanes is corrected for lanes that are equal by chance.
 """
@@ -74,11 +75,12 @@ def fingerprint(docs: DataFrame, text: str, out: str, lane_bits: int = LANE_BITS
     docs = docs.withColumn(dense, F.expr(
         f"filter({ordered}, (v, i) -> i = 0 or shiftrightunsigned(v, {_LOW}) != shiftrightunsigned({ordered}[i - 1], {_LOW}))"))
     docs = docs.withColumn(full, F.expr(f"filter({dense}, v -> not ({empty}))"))
-    # four probes directly, the rest in a loop, at last any occupied bin
+    # four probes directly, the rest in a loop, at last the occupied bin with the smallest hash for this bin
+    last = f"array_min(transform({full}, f -> struct(xxhash64(p, shiftrightunsigned(f, {_LOW})) as h, f as v))).v"
     docs = docs.withColumn(codes, F.expr(
         f"case when size({full}) = 0 then cast(array() as array<bigint>) else transform({dense}, (v, p) -> cast((case when not ({empty}) then v else coalesce({choice},"
         f" aggregate({later}, cast(null as bigint), (got, t) -> coalesce(got, {probed('t', 'p')})),"
-        f" {full}[pmod(xxhash64(p), size({full}))]) end) & {low}L as bigint)) end"))
+        f" {last}) end) & {low}L as bigint)) end"))
     lanes = " | ".join(f"shiftleft({codes}[{per_word} * i + {j}], {lane_bits * j})" for j in range(per_word))
     docs = docs.withColumn(out, F.expr(
         f"case when size({full}) = 0 then cast(array() as array<bigint>)"
