@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tickloom.llm import fingerprints, language, neighbours, pieces, quality
+from tickloom.llm import fingerprints, language, neighbours, pieces, quality, queries
 from tickloom.llm.common import held_out, table
 
 SF = "/root/testdata/sf0.01"
@@ -98,6 +98,18 @@ def test_likeness_of_unequal_short_texts_is_not_biased(spark):
     assert all(abs(means[f"{m}/{n}"] - m / n) < 0.02 for m, n in sizes), means
 
 
+def test_null_and_repeated_ids_are_one_row_each(spark, tmp_path):
+    rows = [(1, "one a b c d e"), (2, "two x y"), (2, "two z"), (2, "two z"), (None, "none one"), (None, None), (3, "three")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    twins = [r for r in got if r.n_chars == 5 and r.doc_id == 2]
+    assert len({r.fingerprint for r in twins}) == 1 and 1.0 in [r.near_next for r in twins]
+    whole = spark.createDataFrame(rows, "doc_id bigint, text string")
+    alone = {r.f for r in fingerprints.fingerprint(whole, "text", "fp").select(fingerprints.as_text("fp").alias("f")).collect()}
+    assert {r.fingerprint for r in got} == alone
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4, 8])
 def test_likeness_counts_lanes(spark, bits):
     rng = np.random.default_rng(bits)

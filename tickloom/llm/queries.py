@@ -48,19 +48,26 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = stage(neighbours.next_ids(docs.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))))
+    # file and place in it stand for a row, as ids may be null or repeated
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("uid"))
+    # rows in id order, those of one id by text
+    place = F.struct("doc_id", F.xxhash64("text").alias("mark"), "uid").alias("place")
+    order = neighbours.next_ids(docs.select(place, F.char_length("text").cast("bigint").alias("n_chars")), "place")
+    order = stage(order.select("place.doc_id", "place.uid", F.col("next_place.uid").alias("next_uid"), "n_chars"))
     # each text goes to its own row, and its beginning to the row before
-    own = docs.join(order, "doc_id")
-    heads = docs.join(order.select(F.col("doc_id").alias("for_id"), F.col("next_doc_id").alias("doc_id"), "n_chars"), "doc_id")
-    heads = heads.select(F.col("for_id").alias("doc_id"), F.expr("left(text, cast(n_chars div 2 as int))").alias("head"))
-    pairs = own.join(heads, "doc_id").select(
-        "doc_id", "next_doc_id", "n_chars", "text",
+    texts = docs.select("uid", "text")
+    own = texts.join(order, "uid")
+    heads = texts.join(order.select(F.col("uid").alias("for_uid"), F.col("next_uid").alias("uid"), "n_chars"), "uid")
+    heads = heads.select(F.col("for_uid").alias("uid"), F.expr("left(text, cast(n_chars div 2 as int))").alias("head"))
+    pairs = own.join(heads, "uid").select(
+        "uid", "next_uid", "doc_id", "n_chars", "text",
         F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), head)").alias("edited"))
     marked = fingerprints.fingerprint(pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "text", "fp")
     marked = stage(fingerprints.fingerprint(marked, "edited", "edited_fp").drop("text", "edited"))
-    after = marked.select(F.col("doc_id").alias("next_doc_id"), F.col("fp").alias("next_fp"))
-    return marked.join(after, "next_doc_id").select(
+    after = marked.select(F.col("uid").alias("next_uid"), F.col("fp").alias("next_fp"))
+    return marked.join(after, "next_uid").select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_text("fp").alias("fingerprint"),
         fingerprints.as_text("edited_fp").alias("edited_fingerprint"),
         fingerprints.likeness("fp", "edited_fp").alias("near_edited"),
