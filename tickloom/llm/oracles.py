@@ -54,7 +54,7 @@ def mixing(weights: dict, share: tuple[int, int], max_epochs: int, seed: int) ->
     levels = ("domain", "lang", "source")
     parts = [f"""
 d as (select doc_id, lang, source, 'd' || cast(coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') as bigint), 0) % 4 as varchar) as domain,
-  cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as n_tokens from documents),
+  cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from documents),
 f as (select * replace (coalesce(lang, '?') as lang, coalesce(source, '?') as source), lang as lang0, source as source0,
   md5('{seed}:' || coalesce(cast(doc_id as varchar), '')) as key from d),
 l as (select domain, lang, source, cast(sum(n_tokens) as hugeint) as supply from f group by all),
@@ -84,3 +84,77 @@ select doc_id, domain, lang0 as lang, source0 as source, n_tokens, leaf_tokens,
   cast(case when leaf_tokens = 0 then 0 else leaf_budget // leaf_tokens
     + case when run <= leaf_budget % leaf_tokens and leaf_budget // leaf_tokens < {max_epochs} then 1 else 0 end end as integer) as copies
 from b"""
+
+
+def _crc_table() -> list[int]:
+    """The reflected CRC-32 of each byte, by its polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+#: crc32 is folded over the bytes; letter runs hold no byte but letters, so the hex form of the bytes is cut in pairs.
+VARIANTS = r"""
+with recursive r as (
+  select coalesce(cast(doc_id as varchar), '') as id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run
+  from documents),
+g as (select id, run, count(*) as c from r where length(run) >= 7 group by all),
+h as (
+  select run, c, xor(list_reduce(list_transform(range(1, length(hex(encode(id || ':' || run))) // 2 + 1),
+      lambda i: cast('0x' || substr(hex(encode(id || ':' || run)), 2 * i - 1, 2) as bigint)),
+    lambda x, b: xor(x >> 8, ([""" + ",".join(map(str, _crc_table())) + r"""])[(xor(x, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as h
+  from g),
+w as (
+  select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, c
+  from h),
+v as (select word, cast(sum(c) as bigint) as n from w where length(word) >= 7 group by 1 having sum(c) >= 2),
+d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+p as (
+  select a.word, b.word as near, b.n as near_n from d a join d b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from d a join v b on a.cut = b.word
+  union select b.word, a.word, a.n from d a join v b on a.cut = b.word),
+b as (select word, count(*) as n_near, max(near_n) as top, arg_min(near, (-near_n, near)) as near from p group by 1),
+f as (
+  select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when b.top >= 10 * v.n then b.near end as form,
+    case when b.top >= 10 * v.n then b.top end as form_n
+  from v left join b on v.word = b.word),
+c as (select word, word as root, 0 as depth from f union all
+  select c.word, f.form, c.depth + 1 from c join f on f.word = c.root where f.form is not null)
+select f.word, f.form, arg_max(c.root, c.depth) as root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from f join c on c.word = f.word group by f.word, f.form, f.n, f.n_near, f.form_n
+"""
+
+COLLOCATIONS = r"""
+with t as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from t),
+s as (select unnest(range(1, 6)) as m),
+g as (
+  select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) as phrase
+  from w, s where len(ws) >= m),
+f as (select lang, m, phrase, count(*) as a from g group by all having count(*) >= 100),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by 1),
+c as (select lang, m, phrase, a, string_split(phrase, ' ') as ws from f where m >= 2),
+k as (
+  select c.*, k, array_to_string(ws[1:k], ' ') as x, array_to_string(ws[k + 1:m], ' ') as y
+  from c, (select unnest(range(1, 5)) as k) where k < m),
+q as (
+  select k.lang, k.phrase, k.m, k.a, k.k, x.a as l, y.a as r, n.n,
+    cast((1000::hugeint * k.a * n.n) // (x.a::hugeint * y.a) as bigint) as score
+  from k join f x on x.lang = k.lang and x.phrase = k.x join f y on y.lang = k.lang and y.phrase = k.y join n on n.lang = k.lang),
+o as (select * from q qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+z as (
+  select c.lang, array_to_string(ws[i:i + j - 1], ' ') as phrase, max(a) as held
+  from c, (select unnest(range(2, 5)) as j), (select unnest(range(1, 5)) as i) where j < m and i + j - 1 <= m group by 1, 2),
+u as (
+  select o.*, row_number() over (partition by o.lang order by score desc, a desc, o.phrase) as rank
+  from o left join z on z.lang = o.lang and z.phrase = o.phrase where z.held is null or 100 * z.held < 100 * a)
+select lang, rank, phrase, a, l, r, n, score from u where rank <= 2000
+"""

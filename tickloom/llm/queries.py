@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, language, mixing, neighbours, oracles, perspectives, pieces, quality, sharding, trie_join, url_rules, vptree
+from tickloom.llm import (
+    fingerprints, language, mixing, neighbours, oracles, perspectives, phrases, pieces, quality, sharding, spelling,
+    token_automata, trie_join, url_rules, vptree)
 from tickloom.llm.common import held_out, table, word_count
 from tickloom.plans.staging import stage
 
@@ -17,6 +19,8 @@ ORACLES: dict[str, str] = {}
 
 SHARDS = 40
 TOKENIZER = "piece_bpe_32k.model"
+COUNT_TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 512
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 3, "fr": 3, "es": 3}}
 
 
@@ -127,6 +131,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "copies"))
 
 
+@query
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.col("n_tokens")
+    return (token_automata.count_tokens(docs, public_tokenizers.path(COUNT_TOKENIZER))
+            .select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), n,
+                    (n > TOKEN_LIMIT).alias("over_limit")))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op5_perspectives"] = oracles.PERSPECTIVES
 ORACLES["op8_trie_join"] = oracles.TRIE_JOIN
+ORACLES["op11_variants"] = oracles.VARIANTS
+ORACLES["op13_collocations"] = oracles.COLLOCATIONS
 ORACLES["op10_mixing"] = oracles.mixing(MIX_WEIGHTS, (3, 5), 2, 11)
