@@ -1,6 +1,7 @@
 """As-of, rolling and label operators on hand-computed rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,32 @@ def test_value_ranks_with_a_hot_value(rows):
     assert med == (ordered[499] + ordered[500]) / 2
 
 
+def test_close_values_are_cut_into_even_ranges(spark):
+    values = spark.range(1_000_000).selectExpr("1 as k", "65000 + id * 0.0005D as v", "1L as n")
+    sizes = [r.c for r in ranks.even_ranges(values, ["k"], "v", "b").groupBy("b").agg(F.count("*").alias("c")).collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) == ranks.WAYS and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_full_ranges_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40)
+    monkeypatch.setattr(ranks, "WAYS", 4)
+    # most values close together, some far, one key small, one value in a third of the rows
+    made = [(i % 9 == 0, v) for i, v in enumerate([1 + i * 1e-9 for i in range(3000)] + [10.0 ** i for i in range(-9, 9)] + [7.0] * 1500)]
+    df = spark.createDataFrame([("a", p, v) for p, v in made] + [("b", True, 2.0), ("b", False, None)], "k string, p boolean, v double")
+    got = {(r.k, r.v): r for r in ranks.value_ranks(df, ["k"], "v", {"pos": F.count_if("p")}).collect()}
+    values = sorted({v for _, v in made})
+    assert len(got) == len(values) + 1 and got["b", 2.0].total == 1
+    below = pos = 0
+    counts, hits = Counter(v for _, v in made), Counter(v for p, v in made if p)
+    for v in values:
+        r = got["a", v]
+        assert (r.n, r.below, r.pos, r.pos_below, r.total) == (counts[v], below, hits[v], pos, len(made))
+        below, pos = below + counts[v], pos + hits[v]
+    largest = (ranks.even_ranges(df.where("v is not null").groupBy("k", "v").count(), ["k"], "v", "b")
+               .groupBy("k", "b").count().agg(F.max("count")).first()[0])
+    assert largest <= 40
+
+
 def test_row_number_by_chunk(rows):
     ts = random.Random(1).sample(range(10_000), 500)
     df = rows([("k", t) for t in ts], "k string, t bigint")

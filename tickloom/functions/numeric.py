@@ -1,4 +1,4 @@
-"""Rounding, money and order-preserving bucketing expressions."""
+"""Rounding and money expressions."""
 
 from __future__ import annotations
 
@@ -51,13 +51,3 @@ def breakeven_price(ask: Column) -> Column:
 def hold_to_settle_ev(ask: Column, won: Column) -> Column:
     """Per-share result of one row: 1-ask-fee when won, -(ask+fee) otherwise."""
     return F.when(won, F.lit(1.0) - breakeven_price(ask)).otherwise(-breakeven_price(ask))
-
-
-def log_bucket(x: Column) -> Column:
-    """Order-preserving integer bucket of a double: 256 buckets per factor of two.
-
-    Built from monotone steps only, so a < b implies bucket(a) <= bucket(b). The number of
-    buckets is bounded by the double range (about 535k), however large the data is.
-    """
-    magnitude = F.floor(F.lit(256.0) * F.log2(F.lit(1.0) + F.abs(x) * F.lit(1048576.0)))
-    return (F.signum(x) * magnitude).cast("int")

@@ -8,15 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import breakeven_price, hold_to_settle_ev
-from tickloom.operators.ranks import (
-    at_fraction,
-    median,
-    order_statistics,
-    row_number_by_chunk,
-    value_ranks,
-)
+from tickloom.operators.ranks import at_fraction, at_position, median, median_of, order_statistics, row_number_by_chunk, value_ranks
 from tickloom.operators.skew import salted_join
 from tickloom.params import MIN_SAMPLE, STUDY_BAND, STUDY_SECONDS, TRAIN_FRACTION
+from tickloom.plans.staging import stage
 
 WINS = ("TAKE_PROFIT", "SETTLE_WIN")
 EXIT_KINDS = ("NO_ENTRY", "NO_ENTRY_DEPTH", "TAKE_PROFIT", "STOP_LOSS", "SETTLE_WIN", "SETTLE_LOSE")
@@ -284,20 +279,20 @@ def equal_frequency_buckets(long: DataFrame, keys: Sequence[str], tie: Sequence[
     A key with fewer rows than buckets comes out as one row without bucket and with n = 0.
     """
     sums = _label_sums()
-    every = value_ranks(long, keys, "value", carry=sums)
-    few = every.filter(F.col("total") < buckets).select(*keys).distinct()
-    ranks = every.filter(F.col("total") >= buckets)
+    ranks = stage(value_ranks(long, keys, "value", carry=sums))
+    enough = F.col("total") >= buckets
 
     def slot(pos: Column, total: Column) -> Column:
         # bucket b starts at b*total//buckets, so pos lies in (buckets*(pos+1)-1)//total
         return F.floor((F.lit(buckets) * (pos + 1) - 1) / total).cast("bigint")
 
     placed = ranks.withColumns({
-        "b_lo": slot(F.col("below"), F.col("total")),
-        "b_hi": slot(F.col("below") + F.col("n") - 1, F.col("total"))})
-    whole = placed.filter("b_lo = b_hi").select(*keys, F.col("b_lo").alias("bucket"), "value", "n", *sums)
+        "b_lo": F.when(enough, slot(F.col("below"), F.col("total"))),
+        "b_hi": F.when(enough, slot(F.col("below") + F.col("n") - 1, F.col("total")))})
+    # keys with too few rows keep a null bucket
+    whole = placed.filter("b_lo <=> b_hi").select(*keys, F.col("b_lo").alias("bucket"), "value", "n", *sums)
     edge = placed.filter("b_lo < b_hi").select(*keys, "value", "below", "total")
-    edge_rows = salted_join(long, edge, [*keys, "value"], list(tie))
+    edge_rows = salted_join(long, stage(edge), [*keys, "value"], list(tie))
     numbered = row_number_by_chunk(edge_rows, [*keys, "value"], [F.col(c) for c in tie], tie_chunk, "_rn")
     split = (numbered.withColumn("bucket", slot(F.col("below") + F.col("_rn") - 1, F.col("total")))
              .groupBy(*keys, "bucket", "value")
@@ -305,14 +300,13 @@ def equal_frequency_buckets(long: DataFrame, keys: Sequence[str], tie: Sequence[
     g = whole.unionByName(split).groupBy(*keys, "bucket").agg(
         F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
         *[F.sum(c).alias(c) for c in sums])
-    n = F.col("n")
-    filled = g.select(
-        *keys, (F.col("bucket") + 1).alias("bucket"), "n", "low", "high",
-        _share(F.col("entries"), n).alias("entry_rate"), _share(F.col("wins"), n).alias("win_rate"),
-        *[F.when(F.col(f"c_{x}") > 0, F.col(f"s_{x}") / F.col(f"c_{x}")).alias(x) for x in LABELS],
+    held = F.col("bucket").isNotNull()
+    n = F.when(held, F.col("n")).otherwise(F.lit(0)).cast("bigint")
+    return g.select(
+        *keys, (F.col("bucket") + 1).alias("bucket"), n.alias("n"), *[F.when(held, F.col(c)).alias(c) for c in ("low", "high")],
+        F.when(held, _share(F.col("entries"), n)).alias("entry_rate"), F.when(held, _share(F.col("wins"), n)).alias("win_rate"),
+        *[F.when(held & (F.col(f"c_{x}") > 0), F.col(f"s_{x}") / F.col(f"c_{x}")).alias(x) for x in LABELS],
         (n < MIN_SAMPLE).alias("small"))
-    return filled.unionByName(few.select(*keys, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("small")),
-                              allowMissingColumns=True)
 
 
 def null_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -335,33 +329,28 @@ def monotonicity_rho(buckets: DataFrame, keys: Sequence[str], label: str = "futu
     return g.select(*keys, rho.alias("rho"))
 
 
-def bucket_edges(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 5) -> DataFrame:
-    """Edges sorted[min(i*k//buckets, k-1)] for i = 0..buckets, as columns e0..eN."""
-    t = F.col("total")
-    at = {f"e{i}": F.least(F.floor(F.lit(i) * t / buckets), t - 1).cast("bigint")
-          for i in range(buckets + 1)}
-    return order_statistics(value_ranks(df, keys, value), keys, value, at).drop("total")
+def bucket_edges(df: DataFrame, keys: Sequence[str], values: Sequence[str], buckets: int = 5) -> DataFrame:
+    """Edges sorted[min(i*k//buckets, k-1)] for i = 0..buckets of every value column, as arrays e_<column>; one pass for all."""
+    long = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(list(keys), list(values), "feature", "value")
+    t, by = F.col("total"), [*keys, "feature"]
+    edges = value_ranks(long, by, "value").groupBy(*by).agg(F.array(*[
+        at_position("value", F.least(F.floor(F.lit(i) * t / buckets), t - 1).cast("bigint")) for i in range(buckets + 1)]).alias("e"))
+    return edges.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == v, F.col("e"))).alias(f"e_{v}") for v in values])
 
 
 def crosstab_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by: Sequence[str],
                 buckets: int = 5) -> DataFrame:
     """n, win rate and mean 60 s return per cell; bucket = last edge not above the value."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    placed = salted_join(both, stage(bucket_edges(both, keys, [x, y], buckets)), keys, spread_by)
 
-    def rename(edges: DataFrame, tag: str) -> DataFrame:
-        return edges.select(*keys, F.array(*[f"e{i}" for i in range(buckets)]).alias(tag))
-
-    edges = rename(bucket_edges(both, keys, x, buckets), "_ex").join(
-        rename(bucket_edges(both, keys, y, buckets), "_ey"), list(keys))
-    placed = salted_join(both, edges, keys, spread_by)
-
-    def slot(v: str, tag: str) -> Column:
+    def slot(v: str) -> Column:
         hit = F.lit(0)
         for i in range(1, buckets):
-            hit = F.when(F.col(v) >= F.get(F.col(tag), F.lit(i)), F.lit(i)).otherwise(hit)
+            hit = F.when(F.col(v) >= F.get(F.col(f"e_{v}"), F.lit(i)), F.lit(i)).otherwise(hit)
         return hit.cast("bigint")
 
-    g = (placed.groupBy(*keys, slot(x, "_ex").alias("x_bucket"), slot(y, "_ey").alias("y_bucket"))
+    g = (placed.groupBy(*keys, slot(x).alias("x_bucket"), slot(y).alias("y_bucket"))
          .agg(F.count("*").alias("n"),
               F.sum(_flag(F.col("final_outcome") == F.col("cand"))).alias("_w"),
               F.avg("future_return_60").alias("ret60")))
@@ -409,14 +398,19 @@ def class_ranks(long: DataFrame, keys: Sequence[str], value: str, positive: Colu
         "pos": F.sum(_flag(positive)), "neg": F.sum(_flag(~positive))})
 
 
+def _auc(aggregates: DataFrame, *columns: str | Column) -> DataFrame:
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg")
+    return aggregates.select(*columns, F.when(pairs > 0, F.col("_u") / pairs).otherwise(F.lit(float("nan"))).alias("auc"))
+
+
+def _auc_aggregates() -> list[Column]:
+    wins = F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2)
+    return [F.sum(wins).alias("_u"), F.max("pos_total").alias("n_pos"), F.max("neg_total").alias("n_neg")]
+
+
 def auc_mann_whitney(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tie-averaged rank AUC from distinct values: ties count one half."""
-    wins = F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2)
-    g = ranks.groupBy(*keys).agg(F.sum(wins).alias("_u"), F.max("pos_total").alias("n_pos"),
-                                 F.max("neg_total").alias("n_neg"))
-    pairs = F.col("n_pos").cast("double") * F.col("n_neg")
-    return g.select(*keys, "n_pos", "n_neg",
-                    F.when(pairs > 0, F.col("_u") / pairs).otherwise(F.lit(float("nan"))).alias("auc"))
+    return _auc(ranks.groupBy(*keys).agg(*_auc_aggregates()), *keys, "n_pos", "n_neg")
 
 
 def separation_profile(df: DataFrame, keys: Sequence[str], features: Sequence[str], positive: str,
@@ -424,15 +418,11 @@ def separation_profile(df: DataFrame, keys: Sequence[str], features: Sequence[st
     """Medians per class, effect size and AUC for each feature with enough rows per class."""
     long = unpivot_features(df, features, [*keys, positive])
     by = [*keys, "feature"]
-    ranks = class_ranks(long, by, "value", F.col(positive))
-    pick = {"n": "pos", "below": "pos_below", "total": "pos_total"}
-    pos_med = median(ranks, by, "value", "median_pos", **pick).drop("total")
-    neg_med = median(ranks, by, "value", "median_neg",
-                     **{k: v.replace("pos", "neg") for k, v in pick.items()}).drop("total")
+    per_feature = class_ranks(long, by, "value", F.col(positive)).groupBy(*by).agg(
+        *_auc_aggregates(), median_of("value", "pos").alias("median_pos"), median_of("value", "neg").alias("median_neg"))
     effect = long.groupBy(*by).agg(cohens_d(F.col("value"), F.col(positive)).alias("d"))
-    return (auc_mann_whitney(ranks, by)
-            .filter((F.col("n_pos") >= min_class) & (F.col("n_neg") >= min_class))
-            .join(pos_med, by).join(neg_med, by).join(effect, by))
+    enough = per_feature.filter((F.col("n_pos") >= min_class) & (F.col("n_neg") >= min_class))
+    return _auc(enough, *by, "n_pos", "n_neg", "median_pos", "median_neg").join(effect, by)
 
 
 def rank_top(df: DataFrame, metric: Column, n: int, tie: Sequence[str]) -> DataFrame:
@@ -450,58 +440,52 @@ def rank_top_per_key(df: DataFrame, keys: Sequence[str], metric: Column, n: int,
 THRESHOLD_FRACTIONS = (0.25, 0.5, 0.75)
 
 
-def quantile_thresholds(df: DataFrame, keys: Sequence[str], features: Sequence[str],
-                        min_rows: int) -> DataFrame:
-    """Thresholds sorted[int(n*q)] per feature, one row per (key, feature, q)."""
-    long = unpivot_features(df, features, keys)
-    by = [*keys, "feature"]
-    names = {f"t{int(q * 100)}": at_fraction(q) for q in THRESHOLD_FRACTIONS}
-    stats = order_statistics(value_ranks(long, by, "value"), by, "value", names)
-    pairs = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"t{int(q * 100)}").alias("threshold"))
-                      for q in THRESHOLD_FRACTIONS])
-    return stats.filter(F.col("total") >= min_rows).select(*by, F.inline(pairs))
-
-
-def _kept(direction: Column) -> Column:
-    return F.when(direction > 0, F.col("value") >= F.col("threshold")).otherwise(
-        F.col("value") <= F.col("threshold"))
+def _threshold_sums(rows: DataFrame, keys: Sequence[str], features: Sequence[str], profile: DataFrame,
+                    min_rows: int) -> DataFrame:
+    """What each quantile threshold keeps of the judged rows: keep_n, keep_won, keep_known, keep_ask.
 
-
-def _keep_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str], rules: DataFrame,
-                aggs: Mapping[str, Column]) -> DataFrame:
-    """Aggregates over the rows each threshold rule keeps."""
-    # rows of one distinct value are combined before they meet the thresholds
-    long = unpivot_features(df.withColumn("ask_paid", F.col("cand_ask")), features,
-                            [*keys, "ask_paid", "won", "known"])
-    thin = (long.groupBy(*keys, "feature", "value")
-            .agg(F.count("*").alias("c"), F.sum("ask_paid").alias("ask_sum"),
-                 F.sum(F.col("won").cast("bigint")).alias("w"),
-                 F.sum(F.col("known").cast("bigint")).alias("k")))
-    met = salted_join(thin, rules, [*keys, "feature"], ["value"])
-    return (met.filter(_kept(F.col("d")))
-            .groupBy(*keys, "feature", "q", "threshold", "d")
-            .agg(*[c.alias(n) for n, c in aggs.items()]))
-
-
-def _keep_aggs() -> dict[str, Column]:
-    return {"keep_n": F.sum("c"), "keep_won": F.sum("w"), "keep_known": F.sum("k"),
-            "keep_ask": F.sum("ask_sum")}
+    ``rows`` have flags ``learn`` (thresholds are sorted[int(n*q)] of these) and ``judge``, and ``won``, ``known``.
+    Running sums along the ranks of all values hold the answer at the threshold's own row, so a threshold is
+    one lookup and no value meets the thresholds. The direction is the sign of the profile's effect.
+    """
+    long = unpivot_features(rows.withColumn("ask_paid", F.col("cand_ask")), features,
+                            [*keys, "learn", "judge", "ask_paid", "won", "known"])
+    by = [*keys, "feature"]
+    judged = lambda c: F.coalesce(F.sum(F.when(F.col("judge"), c)), F.lit(0))
+    sums = {"keep_n": judged(F.lit(1)), "keep_won": judged(_flag(F.col("won"))), "keep_known": judged(_flag(F.col("known"))),
+            "keep_ask": judged(F.col("ask_paid"))}
+    ranks = stage(value_ranks(long, by, "value", {"learnt": F.sum(_flag(F.col("learn"))), **sums}))
+    total = F.col("learnt_total")
+    stats = ranks.groupBy(*by).agg(F.max(total).alias("_learnt"), *[
+        at_position("value", F.floor(total * F.lit(q)).cast("bigint"), "learnt", "learnt_below").alias(f"t{i}")
+        for i, q in enumerate(THRESHOLD_FRACTIONS)])
+    cuts = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"t{i}").alias("value")) for i, q in enumerate(THRESHOLD_FRACTIONS)])
+    rules = (stats.filter(F.col("_learnt") >= min_rows).select(*by, F.inline(cuts))
+             .join(profile.select(*by, "d"), by))
+    at = ranks.join(stage(rules), [*by, "value"])
+    from_here = {c: F.when(F.col("d") > 0, F.col(f"{c}_total") - F.col(f"{c}_below")).otherwise(F.col(f"{c}_below") + F.col(c))
+                 for c in sums}
+    return at.select(*by, "q", F.col("value").alias("threshold"), "d", *[e.alias(c) for c, e in from_here.items()])
 
 
 def rule_threshold_sweep(train: DataFrame, val: DataFrame, keys: Sequence[str],
                          profile: DataFrame, features: Sequence[str], *, min_train: int = 500,
                          min_keep: int = 200) -> DataFrame:
     """Thresholds from train, direction from the profile's effect sign, judged on val."""
-    rules = quantile_thresholds(train, keys, features, min_train).join(
-        profile.select(*keys, "feature", "d"), [*keys, "feature"])
-    v = val.withColumns({"won": F.col("win_label"), "known": F.lit(True)})
-    kept = _keep_stats(v, keys, features, rules, _keep_aggs())
-    base = v.groupBy(*keys).agg(F.count_if(F.col("won")).alias("_pos"),
-                                F.count_if(~F.col("won")).alias("_neg"))
+    def narrow(rows: DataFrame, learn: bool) -> DataFrame:
+        return rows.select(*keys, *features, F.col("cand_ask").alias("_ask"), F.col("win_label").alias("won"),
+                           F.lit(True).alias("known"), F.lit(learn).alias("learn"), F.lit(not learn).alias("judge"))
+
+    both = narrow(train, True).unionByName(narrow(val, False))
+    if "cand_ask" not in features:
+        both = both.withColumnRenamed("_ask", "cand_ask")
+    kept = _threshold_sums(both, keys, features, profile, min_train)
+    base = val.groupBy(*keys).agg(F.count_if(F.col("win_label")).alias("_pos"),
+                                  F.count_if(~F.col("win_label")).alias("_neg"))
     n, win = F.col("keep_n"), F.col("keep_won")
     rate = win / n
     ask = F.col("keep_ask") / n
-    return (kept.filter(n >= min_keep).join(base, list(keys)).select(
+    return (kept.filter((n > 0) & (n >= min_keep)).join(base, list(keys)).select(
         *keys, "feature", "q", "threshold", F.signum("d").cast("int").alias("direction"),
         n.alias("n"), rate.alias("win_rate"), (rate - breakeven_price(ask)).alias("ev"),
         rate.alias("precision"), _share(win, F.col("_pos")).alias("recall"),
@@ -518,10 +502,8 @@ def filter_tradeoff(rows: DataFrame, keys: Sequence[str], profile: DataFrame,
     """
     r = rows.withColumns({
         "won": F.coalesce(F.col("final_outcome") == F.col("cand"), F.lit(False)),
-        "known": F.col("final_outcome").isNotNull()})
-    rules = quantile_thresholds(r, keys, features, min_rows).join(
-        profile.select(*keys, "feature", "d"), [*keys, "feature"])
-    kept = _keep_stats(r, keys, features, rules, _keep_aggs())
+        "known": F.col("final_outcome").isNotNull(), "learn": F.lit(True), "judge": F.lit(True)})
+    kept = _threshold_sums(r, keys, features, profile, min_rows)
     base = r.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("won").alias("_won"),
                                 F.count_if("known").alias("_known"))
     n = F.col("keep_n")
@@ -546,11 +528,10 @@ def hard_negative_profile(val: DataFrame, keys: Sequence[str], features: Sequenc
                                      F.count_if(~F.col("win_label")).alias("_neg"))
     long = unpivot_features(tagged.filter(F.col("_hard") | F.col("win_label")), features, [*keys, "_hard"])
     by = [*keys, "feature"]
-    ranks = class_ranks(long, by, "value", F.col("_hard"))
-    med_h = median(ranks, by, "value", "median_hard", n="pos", below="pos_below", total="pos_total")
-    med_w = median(ranks, by, "value", "median_winner", n="neg", below="neg_below", total="neg_total")
-    return (med_h.filter(F.col("total") >= min_rows).withColumnRenamed("total", "n_values")
-            .join(med_w.drop("total"), by, "left").join(base, list(keys))
+    medians = class_ranks(long, by, "value", F.col("_hard")).groupBy(*by).agg(
+        F.max("pos_total").alias("n_values"), median_of("value", "pos").alias("median_hard"),
+        median_of("value", "neg").alias("median_winner"))
+    return (medians.filter(F.col("n_values") >= min_rows).join(base, list(keys))
             .select(*by, "n_hard", _share(F.col("n_hard"), F.col("_neg")).alias("share_of_losers"),
                     "n_values", "median_hard", "median_winner"))
 
@@ -600,26 +581,28 @@ def inclusive_quintiles(df: DataFrame, keys: Sequence[str], value: str, exclusiv
 
     This is the published form; ``exclusive`` gives half-open fifths whose counts add up.
     """
-    t = F.col("total")
-    at = {}
-    for i in range(parts):
-        at[f"lo{i}"] = F.floor(t * F.lit(i / parts)).cast("bigint")
-        at[f"hi{i}"] = F.floor(t * F.lit((i + 1) / parts)).cast("bigint") - (0 if exclusive else 1)
-    ranks = value_ranks(df, keys, value, {"w": F.sum(F.col("won").cast("bigint")), "a": F.sum("cand_ask")})
-    edges = order_statistics(ranks, keys, value, at)
-    last = parts - 1
-    slots = F.array(*[F.struct(
-        F.lit(i + 1).cast("bigint").alias("bucket"), F.col(f"lo{i}").alias("lo"),
-        (F.lit(float("inf")) if i == last else F.col(f"hi{i}")).alias("hi")) for i in range(parts)])
-    edges = edges.select(*keys, F.inline(slots))
-    v = F.col(value)
-    inside = (v >= F.col("lo")) & ((v < F.col("hi")) if exclusive else (v <= F.col("hi")))
-    g = (salted_join(ranks.select(*keys, value, "n", "w", "a"), edges, keys, [value])
-         .filter(inside).groupBy(*keys, "bucket", "lo", "hi")
-         .agg(F.sum("n").alias("n"), F.sum("w").alias("_w"), F.sum("a").alias("_a")))
-    win, ask = F.col("_w") / F.col("n"), F.col("_a") / F.col("n")
-    return g.select(*keys, "bucket", "lo", F.when(F.col("hi") < float("inf"), F.col("hi")).alias("hi"),
-                    "n", win.alias("win_rate"), ask.alias("mean_ask"),
+    ranks = stage(value_ranks(df, keys, value, {"w": F.sum(F.col("won").cast("bigint")), "a": F.sum("cand_ask")}))
+    t, last = F.col("total"), parts - 1
+
+    def at(share: float, back: int) -> Column:
+        return at_position(value, F.floor(t * F.lit(share)).cast("bigint") - back)
+
+    edges = ranks.groupBy(*keys).agg(*[at(i / parts, 0).alias(f"lo{i}") for i in range(parts)],
+                                     *[at((i + 1) / parts, 0 if exclusive else 1).alias(f"hi{i}") for i in range(last)])
+    # sums up to an edge stand at the edge's own row; the last fifth ends with the totals
+    bounds = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("bucket"), F.lit(end).alias("_end"), F.col(f"{end}{i}").alias(value))
+                       for i in range(parts) for end in ("lo", "hi") if (end, i) != ("hi", last)])
+    met = ranks.join(stage(edges).select(*keys, F.inline(bounds)), [*keys, value])
+    lower, names = F.col("_end") == "lo", {"n": "", "w": "w_", "a": "a_"}
+    upto = {n: F.col(f"{b}below") + (F.lit(0) if exclusive else F.col(n)) for n, b in names.items()}
+    g = met.groupBy(*keys, "bucket").agg(
+        F.max(F.when(lower, F.col(value))).alias("lo"), F.max(F.when(~lower, F.col(value))).alias("hi"),
+        *[F.max(F.when(lower, F.col(f"{b}below"))).alias(f"_from_{n}") for n, b in names.items()],
+        *[F.coalesce(F.max(F.when(~lower, upto[n])), F.max(f"{b}total")).alias(f"_to_{n}") for n, b in names.items()])
+    g = g.select(*keys, "bucket", "lo", "hi", *[(F.col(f"_to_{n}") - F.col(f"_from_{n}")).alias(n) for n in names]).filter(
+        (F.col("n") > 0) & ((F.col("bucket") == parts) | F.col("hi").isNotNull()))
+    win, ask = F.col("w") / F.col("n"), F.col("a") / F.col("n")
+    return g.select(*keys, "bucket", "lo", "hi", "n", win.alias("win_rate"), ask.alias("mean_ask"),
                     (win - breakeven_price(ask)).alias("ev"))
 
 
