@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.asof import dedupe_ticks
 from tickloom.operators.features import clean_ticks
 from tickloom.session import prepare
+from tickloom.streaming.session import fresh_folder
 
 SCALE = 288
 DAY = 86400
@@ -22,8 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_time_order(df: DataFrame, time: Column, files: int) -> DataFrame:
+    """A table as a stream of files cut in time, whatever series and windows the cuts fall into; one file per batch."""
+    folder = fresh_folder(df.sparkSession, "input")
+    first, last = df.agg(F.min(time), F.max(time)).first()
+    cut = F.least(F.floor((time - F.lit(first)) * files / F.lit(last - first + 1)), F.lit(files - 1))
+    for i in range(files):  # one after the other, as the stream takes them by age
+        df.filter(cut == i).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The events table as a stream."""
+    if files > 1:
+        return in_time_order(table(spark, sf_dir, "events"), seconds(F.col("ts")), files)
     schema = table(spark, sf_dir, "events").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
             .option("maxFilesPerTrigger", 1).parquet(sf_dir))
@@ -170,6 +183,15 @@ def event_log(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) ->
     return ev.select(eid.alias("line_id"), line.alias("line"), name.alias("file_name"))
 
 
+def event_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as text files in folders of a day."""
+    folder = fresh_folder(spark, "log")
+    lines = event_log(spark, sf_dir)
+    (lines.select(F.col("line").alias("value"), F.split_part("file_name", F.lit("_"), F.lit(1)).alias("date"))
+     .repartition("date").write.partitionBy("date").text(folder))
+    return folder
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgment log lines as JSON text; some carry a bad action or an unregistered tag."""
     ev = table(spark, sf_dir, "events")

@@ -10,7 +10,9 @@ from testbed.q_windows import REPLAY_SQL, TP94, replayed
 from testbed.registry import register
 from tickloom.operators import audits, execution, ledger, studies
 from tickloom.params import parameter_set
+from tickloom.plans.staging import stage
 from tickloom.sources import event_log, frames, judgments, klines, metadata, tables
+from tickloom.streaming.session import fresh_folder
 
 
 @register("S1_read_windows", """
@@ -89,16 +91,21 @@ def s6_meta(spark, sf):
 
 
 @register("S7_compact_day", """
-select dt as date, count(*) as rows_to_write from v_book
-where dt <> '2024-01-30' and dt not in ('2024-01-02', '2024-01-03') group by dt
+select dt as date, epoch_us(ts) as ts_us, kind, asset_id, market, side, round(price, 6) as price, round(size, 6) as size, null as payload
+from v_book where dt < '2024-01-30'
+union all select dt, epoch_us(ts), 'WindowMeta', null, null, null, null, null, '{"window_start":' || line_id || '}' from v_log
+where kind_no = 4 and dt < '2024-01-30'
 """)
 def s7(spark, sf):
-    """Rows each sealed, not yet written date contributes (writing itself is covered by tests)."""
-    log = event_log.decode_event_log(fx.event_log(spark, sf))
-    done = log.filter(F.col("date").isin("2024-01-02", "2024-01-03")).select("date")
-    dates = event_log.sealed_dates(log, "2024-01-30", done)
-    return (event_log.flatten_book(log.join(dates, "date", "left_semi"))
-            .groupBy("date").agg(F.count("*").alias("rows_to_write")))
+    """What lies on disk after two runs, the second with one more sealed day."""
+    src, dst = fx.event_log_folder(fx.prepare(spark), sf), fresh_folder(spark, "compact")
+    for today in ("2024-01-29", "2024-01-30"):
+        event_log.compact_days(spark, src, dst, today)
+    stored = lambda name: spark.read.parquet(f"{dst}/{name}").withColumn("date", F.col("date").cast("string"))
+    book = stored("book").select("date", F.unix_micros("ts").alias("ts_us"), "kind", "asset_id", "market", "side",
+                                 r6("price").alias("price"), r6("size").alias("size"))
+    meta = stored("meta").select("date", F.unix_micros("ts").alias("ts_us"), F.col("type").alias("kind"), "payload")
+    return book.unionByName(meta, allowMissingColumns=True)
 
 
 @register("S8_compaction_audit", """
@@ -110,9 +117,9 @@ select l.dt as date, count(*) as n_lines, count(case when kind_no is null then 1
 from v_log l left join b on b.dt = l.dt left join full_b on full_b.dt = l.dt group by l.dt
 """)
 def s8(spark, sf):
-    log = event_log.decode_event_log(fx.event_log(spark, sf))
-    book = event_log.flatten_book(log, ("line_id",)).filter("line_id % 1009 <> 3")
-    audit = event_log.compaction_audit(log, book, event_log.flatten_meta(log))
+    rows = stage(event_log.event_rows(event_log.decode_event_log(fx.event_log(spark, sf)), ("line_id",)))
+    book = event_log.book_of(rows, ("line_id",)).filter("line_id % 1009 <> 3")
+    audit = event_log.audit_rows(rows, book, event_log.meta_of(rows))
     return audit.select("date", "n_lines", "n_bad", "book_rows", "meta_rows", "verified", "deletable")
 
 

@@ -47,39 +47,37 @@ select dt as date, kind, side, count(*) as n, round(sum(price), 6) as sum_price,
 union all select dt, 'meta', 'WindowMeta', count(*), null, null from v_log where kind_no = 4 group by dt
 """)
 def t1(spark, sf):
-    prepare_streaming(fx.prepare(spark))
-    log = event_log.decode_event_log(fx.event_log(spark, sf, fx.event_stream(spark, sf)))
+    src = fx.event_log_folder(prepare_streaming(fx.prepare(spark)), sf)
     folder = fresh_folder(spark, "book")
-    for q in ingest.stream_book_rows(log, folder, f"{folder}/log"):
-        q.awaitTermination()
+    ingest.stream_book_rows(ingest.tail_event_log(spark, src, 20), f"{folder}/rows", f"{folder}/log").awaitTermination()
     cents = F.sum(F.col("price").cast("decimal(18,6)")).cast("double")
-    book = spark.read.parquet(f"{folder}/book").groupBy(
-        F.col("date").cast("string").alias("date"), "kind", "side").agg(
+    book = ingest.tailed(spark, f"{folder}/rows", "book").groupBy("date", "kind", "side").agg(
         F.count("*").alias("n"), r6(cents).alias("sum_price"), F.sum("size").cast("bigint").alias("sum_size"))
-    meta = spark.read.parquet(f"{folder}/meta").groupBy(
-        F.col("date").cast("string").alias("date"), F.lit("meta").alias("kind"), F.col("type").alias("side")).agg(
-        F.count("*").alias("n"))
+    meta = ingest.tailed(spark, f"{folder}/rows", "meta").groupBy(
+        "date", F.lit("meta").alias("kind"), F.col("type").alias("side")).agg(F.count("*").alias("n"))
     return book.unionByName(meta, allowMissingColumns=True)
 
 
 @register("T2_stream_book_state", """
-with ls as (select asset_id, max(line_id) as sid from v_log where kind_no in (0, 2) group by 1),
-snap as (select b.asset_id, b.side, b.price, b.size from v_book b join ls on b.line_id = ls.sid),
-dl as (select b.asset_id, side, price, arg_max(size, line_id) as size from v_book b join ls on b.asset_id = ls.asset_id where kind = 'pchange' and line_id > sid group by 1, 2, 3),
-lv as (select * from dl union all select s.* from snap s where not exists (select 1 from dl where dl.asset_id = s.asset_id and dl.side = s.side and dl.price = s.price)),
-bs as (select asset_id, side, case when side = 'bid' then max(price) else min(price) end as price from lv where size > 0 group by 1, 2)
-select a.asset_id, b.price as best_bid, lb.size as bid_size, k.price as best_ask, la.size as ask_size from (select distinct asset_id from ls) a
-left join bs b on b.asset_id = a.asset_id and b.side = 'bid' left join lv lb on lb.asset_id = b.asset_id and lb.side = 'bid' and lb.price = b.price
-left join bs k on k.asset_id = a.asset_id and k.side = 'ask' left join lv la on la.asset_id = k.asset_id and la.side = 'ask' and la.price = k.price
+with e as (select line_id, asset_id, epoch_us(ts) as ts, kind_no in (0, 2) as snap from v_log where kind_no in (0, 1, 2)),
+se as (select *, max(case when snap then line_id end) over (partition by asset_id order by line_id) as sid from e),
+sn as (select asset_id, line_id as sid, lead(line_id) over (partition by asset_id order by line_id) as until from e where snap),
+c as (select b.asset_id, b.side, b.price, b.size, b.line_id, se.sid from v_book b join se on se.line_id = b.line_id where b.kind <> 'trade' and se.sid is not null),
+i as (select c.*, least(coalesce(lead(c.line_id) over (partition by c.asset_id, c.sid, side, price order by c.line_id), 9223372036854775807),
+    coalesce(sn.until, 9223372036854775807)) as gone from c join sn on sn.sid = c.sid),
+t as (select se.line_id, max(case when side = 'bid' then price end) as bid, min(case when side = 'ask' then price end) as ask,
+    arg_max(case when side = 'bid' then size end, case when side = 'bid' then price end) as bid_size,
+    arg_min(case when side = 'ask' then size end, case when side = 'ask' then price end) as ask_size
+  from se join i on i.sid = se.sid and i.line_id <= se.line_id and se.line_id < i.gone and i.size > 0 group by 1)
+select se.asset_id, se.line_id as seq, se.ts, se.sid is not null as ready, bid as best_bid, bid_size, ask as best_ask, ask_size
+from se left join t on t.line_id = se.line_id
 """)
 def t2(spark, sf):
-    """Top of every book after the last event."""
+    """Top of book after every event; the log comes in four files cut in time, so inside every asset."""
     prepare_streaming(fx.prepare(spark))
-    log = event_log.decode_event_log(fx.event_log(spark, sf, fx.event_stream(spark, sf)))
+    log = event_log.decode_event_log(fx.event_log(spark, sf, fx.event_stream(spark, sf, files=4)))
     events = state.book_state_events(log.withColumnRenamed("line_id", "seq"))
-    tops = finish(state.stream_book_state(events))
-    return tops.groupBy("asset_id").agg(F.max_by(F.struct(
-        "best_bid", "bid_size", "best_ask", "ask_size"), F.struct("ts", "seq")).alias("b")).select("asset_id", "b.*")
+    return finish(state.stream_book_state(events, forget=60 * DAY))
 
 
 @register("T3_stream_twap_stats", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import decision, markets
 from tickloom.operators import execution, ledger
 from tickloom.sources import event_log, frames, judgments, klines, metadata
+from tickloom.streaming import ingest
 
 DAY = "2031-03-0{}"
 
@@ -64,7 +65,7 @@ def test_flatten_all_shapes(rows):
     assert log.filter("is_bad").count() == 1
 
 
-def test_compaction_end_to_end(spark, tmp_path):
+def test_compaction_end_to_end(spark, tmp_path, monkeypatch):
     src, dst = tmp_path / "log", str(tmp_path / "tables")
     src.mkdir()
 
@@ -83,9 +84,46 @@ def test_compaction_end_to_end(spark, tmp_path):
     assert audit[DAY.format(1)].verified and audit[DAY.format(1)].deletable
     assert audit[DAY.format(2)].verified and not audit[DAY.format(2)].deletable and audit[DAY.format(2)].n_bad == 1
     assert stored() == {DAY.format(1): 7, DAY.format(2): 3}
-    # a second run only adds the new day and leaves the others alone
-    event_log.compact_days(spark, str(src), dst, DAY.format(4))
+    # a second run opens the files of the new day alone
+    opened = []
+    monkeypatch.setattr(event_log, "read_event_log", lambda spark, paths, read=event_log.read_event_log: opened.extend(paths) or read(spark, paths))
+    (src / f"{DAY.format(1)}_market.jsonl").write_text("{ changed")
+    again = event_log.compact_days(spark, str(src), dst, DAY.format(4))
+    assert [p.rsplit("/", 1)[1] for p in opened] == [f"{DAY.format(3)}_market.jsonl"] and again.count() == 3
     assert stored() == {DAY.format(1): 7, DAY.format(2): 3, DAY.format(3): 4}
+    event_log.compact_days(spark, str(src), dst, DAY.format(4))
+    assert len(opened) == 1, "nothing is new"
+
+
+def test_a_line_is_decoded_once(spark, rows):
+    log = _log(rows, _snapshot("north", 3))
+    plan = event_log.event_rows(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson") == 1
+
+
+def test_log_dates():
+    from pyspark.sql import SparkSession
+    names = ["2031-03-04_market.jsonl", "s3://b/2031-03-05_x.jsonl", "/a/date=2031-03-06/part-0.txt", "/a/other.txt"]
+    frame = SparkSession.getActiveSession().createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in frame.select(event_log.log_date(F.col("n"))).collect()] == ["2031-03-04", "2031-03-05", "2031-03-06", ""]
+
+
+def test_a_killed_batch_repeats_nothing(spark, tmp_path):
+    src, dst, marks = tmp_path / "log", str(tmp_path / "rows"), tmp_path / "marks"
+    src.mkdir()
+
+    def run():
+        ingest.stream_book_rows(ingest.tail_event_log(spark, str(src), 1), dst, str(marks)).awaitTermination()
+        return sorted(map(str, ingest.tailed(spark, dst, "book").collect())), sorted(map(str, ingest.tailed(spark, dst, "meta").collect()))
+
+    for day in (1, 2):
+        (src / f"{DAY.format(day)}_market.jsonl").write_text("\n".join(json.dumps(e) for e in (
+            _snapshot("north", 3, day), _polled("south", 5, day), _window(4, day, window_start=day))) + "\n{")
+    book, meta = run()
+    assert len(book) == 14 and len(meta) == 2
+    for mark in (marks / "commits").glob("*1*"):  # the second batch was written, but its end not noted
+        mark.unlink()
+    assert run() == (book, meta)
 
 
 def test_frames(rows):

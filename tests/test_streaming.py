@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import audits, features, triggers
 from tickloom.params import parameter_set
+from tickloom.sources import event_log
 from tickloom.streaming import ingest, lookback, state
 from tickloom.streaming.session import prepare_streaming
 
@@ -54,6 +55,57 @@ def test_book_state(spark, rows, tmp_path):
         (True, .60, 10., .63), (False, None, None, None), (False, None, None, None), (True, .60, 10., .62)]
 
 
+BOOK = ("asset_id string, ts bigint, seq bigint, kind string, bids array<struct<price:double,size:double>>, "
+        "asks array<struct<price:double,size:double>>, side string, price double, size double")
+
+
+def test_a_forgotten_book_waits_for_a_snapshot(spark, rows, tmp_path):
+    hour = 3_600_000_000
+    snap = lambda asset, ts: (asset, ts, ts, "snapshot", [(.4, 7.)], [(.6, 8.)], None, None, None)
+    delta = lambda asset, ts: (asset, ts, ts, "delta", [], [], "bid", .45, 3.)
+    parts = [rows([snap("a", hour), snap("b", hour)], BOOK), rows([delta("b", 2 * hour)], BOOK),
+             rows([snap("c", 5 * hour)], BOOK), rows([snap("c", 6 * hour)], BOOK),  # time passes
+             rows([delta("a", 6 * hour + 1), delta("b", 6 * hour + 2)], BOOK)]
+    out = _finish(state.stream_book_state(_feed(spark, tmp_path, parts), delay="1 second", forget=3600), tmp_path).collect()
+    got = {(r.asset_id, r.ts): (r.ready, r.best_bid) for r in out}
+    assert got["b", 2 * hour] == (True, .45) and got["a", 6 * hour + 1] == (False, None) and got["b", 6 * hour + 2] == (False, None)
+
+
+def test_a_book_follows_a_plain_one(spark, rows, tmp_path):
+    rnd = random.Random(8)
+    price = lambda: rnd.randint(1, 12) / 100
+    events, levels, ready, want = [], {"bid": {}, "ask": {}}, False, []
+    for i in range(240):
+        kind = rnd.choice(["delta"] * 12 + ["snapshot", "disconnect"])
+        if kind == "snapshot":
+            new = {s: {price(): float(i + j) for j in range(4)} for s in levels}
+            events.append(("a", i + 1, i, kind, list(new["bid"].items()), list(new["ask"].items()), None, None, None))
+            levels, ready = new, True
+        elif kind == "disconnect":
+            events.append(("a", i + 1, i, kind, [], [], None, None, None))
+            ready = False
+        else:
+            side, p, size = rnd.choice(["bid", "ask"]), price(), rnd.choice([0., 0., float(i)])
+            events.append(("a", i + 1, i, kind, [], [], side, p, size))
+            if ready:
+                levels[side].pop(p, None)
+                if size:
+                    levels[side][p] = size
+        bid, ask = (max(levels["bid"], default=None), min(levels["ask"], default=None)) if ready else (None, None)
+        want.append((i, ready, bid, levels["bid"].get(bid), ask, levels["ask"].get(ask)))
+    parts = [rows(events[i: i + 80], BOOK) for i in (0, 80, 160)]
+    out = _finish(state.stream_book_state(_feed(spark, tmp_path, parts)), tmp_path).orderBy("seq").collect()
+    assert [(r.seq, r.ready, r.best_bid, r.bid_size, r.best_ask, r.ask_size) for r in out] == want
+
+
+def test_a_lost_connection_invalidates_books(spark, rows):
+    lines = ['{"recv_ts": "2031-03-04T10:00:00+00:00", "type": "WsDisconnected", "event": {"asset_id": "a"}}',
+             '{"recv_ts": "2031-03-04T10:00:01+00:00", "type": "WsIdleTimeout"}', '{"recv_ts": "2031-03-04T10:00:02+00:00", "type": "Other"}']
+    log = event_log.decode_event_log(rows([(i, x, "2031-03-04_m.jsonl") for i, x in enumerate(lines)], "seq int, line string, file_name string"))
+    got = [(r.seq, r.asset_id, r.kind) for r in state.book_state_events(log, assets=["a", "b"]).orderBy("seq", "asset_id").collect()]
+    assert got == [(0, "a", "disconnect"), (1, "a", "disconnect"), (1, "b", "disconnect")]
+
+
 def test_staleness(spark, rows, tmp_path):
     data = [("a", 0), ("a", 5), ("b", 3), ("a", 40), ("b", 41), ("b", 100)]
     start = 1000

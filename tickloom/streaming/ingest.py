@@ -6,30 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.sources.event_log import decode_event_log, flatten_book, flatten_meta
+from tickloom.sources.event_log import decode_event_log, event_rows
 
 
 def tail_event_log(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Stream of decoded lines from day-sliced JSON files as they appear."""
-    lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
-             .select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name")))
+    """Stream of decoded lines from day-sliced JSON files, or folders of a day, as they appear."""
+    lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
+             .option("recursiveFileLookup", "true").load(path)
+             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_name")))
     return decode_event_log(lines)
 
 
-def stream_book_rows(log: DataFrame, dst: str, checkpoint: str, *, available_now: bool = True
-                     ) -> list[StreamingQuery]:
-    """Append book and meta rows by date; the same flattening as the batch job.
+def stream_book_rows(log: DataFrame, dst: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Append book and meta rows; the same flattening as the batch job. Read them with :func:`tailed`.
 
-    Each table has its own query and checkpoint, so a restart neither loses nor repeats rows.
+    A batch decodes its lines once and writes both tables in one job, into folders of its own number. A batch that was
+    killed and runs again replaces its folders, so nothing is lost or repeated.
     """
-    started = []
-    for name, rows in (("book", flatten_book(log)), ("meta", flatten_meta(log))):
-        writer = (rows.writeStream.format("parquet").outputMode("append")
-                  .option("checkpointLocation", f"{checkpoint}/{name}").partitionBy("date")
-                  .option("path", f"{dst}/{name}"))
-        writer = writer.trigger(availableNow=True) if available_now else writer
-        started.append(writer.start())
-    return started
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = event_rows(batch)
+        book = F.transform("rows", lambda x: F.struct(
+            F.lit("book").alias("table"), x["kind"].alias("kind"), F.col("asset_id").alias("asset_id"), F.col("market").alias("market"),
+            x["side"].alias("side"), x["price"].alias("price"), x["size"].alias("size"),
+            F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("payload")))
+        nothing = {c: F.lit(None).cast("string").alias(c) for c in ("kind", "asset_id", "market", "side")}
+        meta = F.array(F.struct(
+            F.lit("meta").alias("table"), *nothing.values(), *[F.lit(None).cast("double").alias(c) for c in ("price", "size")],
+            F.col("type").alias("type"), F.col("payload").alias("payload")))
+        both = rows.select("date", "ts", F.inline(F.when(F.col("payload").isNotNull(), meta).otherwise(book)))
+        (both.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("table", "date", "batch").parquet(dst))
+
+    writer = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
+def tailed(spark: SparkSession, dst: str, table: str) -> DataFrame:
+    """The ``book`` or ``meta`` rows :func:`stream_book_rows` has written."""
+    columns = {"book": ("kind", "asset_id", "market", "side", "price", "size"), "meta": ("type", "payload")}[table]
+    return (spark.read.parquet(dst).filter(F.col("table") == table)
+            .select(F.col("date").cast("string").alias("date"), "ts", *columns))
 
 
 def stream_twap_stats(updates: DataFrame, *, key: str = "pair", time: str = "recv_ts",

@@ -7,8 +7,9 @@ maxOffsetsPerTrigger), not by the size of the stream.
 
 from __future__ import annotations
 
+import bisect
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -22,86 +23,163 @@ BOOK_OUTPUT = ("asset_id string, ts bigint, seq bigint, ready boolean, best_bid
                "bid_size double, best_ask double, ask_size double")
 
 
+class _Side:
+    """One side of a book during a batch: the best level is known, the others are read when it goes away."""
+
+    def __init__(self, stored, sign: int, best: tuple | None) -> None:
+        self.stored, self.sign, self.best = stored, sign, best
+        self.pending: dict[float, float | None] = {}
+        self.cleared = False
+        self.prices: list[float] | None = None  # signed, best first, once read
+        self.sizes: dict[float, float] = {}
+
+    def _read(self) -> None:
+        if self.prices is None:
+            self.sizes = {} if self.cleared else {k[0]: v[0] for k, v in self.stored.iterator()}
+            for price, size in self.pending.items():
+                if size is None:
+                    self.sizes.pop(price, None)
+                else:
+                    self.sizes[price] = size
+            self.prices = sorted(self.sign * p for p in self.sizes)
+
+    def replace(self, levels) -> None:
+        self.cleared, self.prices, self.sizes = True, None, {}
+        self.pending = {x["price"]: x["size"] for x in levels if x["price"] is not None}
+        first = min(self.pending, key=lambda p: self.sign * p, default=None)
+        self.best = None if first is None else (first, self.pending[first])
+
+    def set(self, price: float, size: float) -> None:
+        self.pending[price] = size
+        if self.prices is not None:
+            if price not in self.sizes:
+                bisect.insort(self.prices, self.sign * price)
+            self.sizes[price] = size
+        if self.best is None or self.sign * price <= self.sign * self.best[0]:
+            self.best = (price, size)
+
+    def remove(self, price: float) -> None:
+        self.pending[price] = None
+        if self.prices is not None and self.sizes.pop(price, None) is not None:
+            del self.prices[bisect.bisect_left(self.prices, self.sign * price)]
+        if self.best is not None and self.best[0] == price:
+            self._read()
+            first = self.sign * self.prices[0] if self.prices else None
+            self.best = None if first is None else (first, self.sizes[first])
+
+    def write(self) -> None:
+        if self.cleared:
+            self.stored.clear()
+        for price, size in self.pending.items():
+            if size is not None:
+                self.stored.updateValue((price,), (size,))
+            elif not self.cleared and self.stored.containsKey((price,)):
+                self.stored.removeKey((price,))
+
+
 class BookState(StatefulProcessor):
-    """Level-2 book per asset: a snapshot replaces, a delta sets or removes one level."""
+    """Level-2 book per asset: a snapshot replaces, a delta sets or removes one level.
+
+    A batch touches the levels that change; the whole side is read only when its best level is removed. A
+    book without events for ``forget`` seconds of event time is removed by a timer.
+    """
+
+    def __init__(self, forget: int) -> None:
+        self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "size double")
-        self.ready = handle.getValueState("ready", "flag boolean")
+        self.handle = handle
+        self.stored = {s: handle.getMapState(f"{s}s", "price double", "size double") for s in ("bid", "ask")}
+        self.top = handle.getValueState(
+            "top", "ready boolean, bid double, bid_size double, ask double, ask_size double, due bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        ready = bool(self.ready.get()[0]) if self.ready.exists() else False
-        before = {tuple(k): v[0] for k, v in self.levels.iterator()} if self.levels.exists() else {}
-        book = dict(before)
+        ready, bid, bid_size, ask, ask_size, due = self.top.get() if self.top.exists() else (False, *[None] * 5)
+        sides = {"bid": _Side(self.stored["bid"], -1, None if bid is None else (bid, bid_size)),
+                 "ask": _Side(self.stored["ask"], 1, None if ask is None else (ask, ask_size))}
+        last = 0
         for r in sorted(rows, key=lambda x: (x.ts, x.seq)):
+            last = r.ts
             if r.kind == "snapshot":
-                book = {("bid", x["price"]): x["size"] for x in r.bids}
-                book.update({("ask", x["price"]): x["size"] for x in r.asks})
+                sides["bid"].replace(r.bids)
+                sides["ask"].replace(r.asks)
                 ready = True
             elif r.kind == "disconnect":
                 ready = False
-            elif ready:
-                level = (r.side, r.price)
+            elif ready and r.price is not None:
                 if r.size == 0:
-                    book.pop(level, None)
+                    sides[r.side].remove(r.price)
                 else:
-                    book[level] = r.size
-            yield self._top(key[0], r, book, ready)
-        for level in before.keys() - book.keys():
-            self.levels.removeKey(level)
-        for level, size in book.items():
-            if before.get(level) != size:
-                self.levels.updateValue(level, (size,))
-        self.ready.update((ready,))
-
-    @staticmethod
-    def _top(asset: str, r: Row, book: dict, ready: bool) -> Row:
-        bids = [p for s, p in book if s == "bid"] if ready else []
-        asks = [p for s, p in book if s == "ask"] if ready else []
-        bid, ask = max(bids, default=None), min(asks, default=None)
-        return Row(asset_id=asset, ts=r.ts, seq=r.seq, ready=ready, best_bid=bid,
-                   bid_size=book.get(("bid", bid)), best_ask=ask, ask_size=book.get(("ask", ask)))
-
-
-def stream_book_state(events: DataFrame) -> DataFrame:
+                    sides[r.side].set(r.price, r.size)
+            best = [sides[s].best or (None, None) if ready else (None, None) for s in ("bid", "ask")]
+            yield Row(asset_id=key[0], ts=r.ts, seq=r.seq, ready=ready, best_bid=best[0][0], bid_size=best[0][1],
+                      best_ask=best[1][0], ask_size=best[1][1])
+        for side in sides.values():
+            side.write()
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = max(last // 1000 + self.forget * 1000, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(due)
+        kept = [sides[s].best or (None, None) for s in ("bid", "ask")]
+        self.top.update((ready, *kept[0], *kept[1], due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.top.exists() and self.top.get()[5] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.top.clear()
+            for stored in self.stored.values():
+                stored.clear()
+        return iter(())
+
+
+def stream_book_state(events: DataFrame, *, delay: str = "1 hour", forget: int = 86400) -> DataFrame:
     """Top of book after every event.
 
-    ``events``: asset_id, ts, seq, kind (snapshot, delta, disconnect), bids and asks
-    (array<struct<price double, size double>>), side (bid or ask), price, size.
+    ``events``: asset_id, ts (microseconds), seq, kind (snapshot, delta, disconnect), bids and asks
+    (array<struct<price double, size double>>), side (bid or ask), price, size. A book that had no event for
+    ``forget`` seconds is dropped and waits for a snapshot again; events more than ``delay`` behind the newest are late.
     """
-    return events.groupBy("asset_id").transformWithState(
-        statefulProcessor=BookState(), outputStructType=BOOK_OUTPUT, outputMode="Append",
-        timeMode="None")
+    rows = events.withColumn("_at", F.timestamp_micros("ts")).withWatermark("_at", delay)
+    return rows.groupBy("asset_id").transformWithState(
+        statefulProcessor=BookState(forget), outputStructType=BOOK_OUTPUT, outputMode="Append",
+        timeMode="EventTime")
+
 
+# Event types after which a feed's books are no longer valid.
+LOST_TYPES = ("WsDisconnected", "WsIdleTimeout")
 
-def book_state_events(log: DataFrame, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """Decoded event log to the input of :func:`stream_book_state`."""
-    level = "array<struct<price:string,size:string>>"
-    kind, event = F.col("kind"), F.col("event")
-    parsed = log.withColumns({
-        "_flat": F.from_json(F.when(kind.isNotNull(), event), "asset_id string, side string, price string, size string"),
-        "_push": F.from_json(F.when(kind == "book", event), f"bids {level}, asks {level}"),
-        "_map": F.from_json(F.when(kind == "restbook", event), "bids map<string,string>, asks map<string,string>")})
+
+def book_state_events(log: DataFrame, keep: tuple[str, ...] = ("seq",), assets: Sequence[str] = ()) -> DataFrame:
+    """Decoded event log to the input of :func:`stream_book_state`.
+
+    A lost connection invalidates every book of its feed: the event's own asset if it names one, else all ``assets``.
+    """
+    kind, record = F.col("kind"), F.col("record")
+    field = lambda path, as_type="string": F.try_variant_get(record, f"$.event.{path}", as_type)
 
     def number(x):
         return x.try_cast("double")
 
     def levels(name: str):
-        push = F.transform(F.col(f"_push.{name}"), lambda x: F.struct(
+        push = F.transform(field(name, "array<struct<price:string,size:string>>"), lambda x: F.struct(
             number(x["price"]).alias("price"), number(x["size"]).alias("size")))
-        rest = F.transform(F.map_entries(F.col(f"_map.{name}")), lambda x: F.struct(
+        rest = F.transform(F.map_entries(field(name, "map<string,string>")), lambda x: F.struct(
             number(x["key"]).alias("price"), number(x["value"]).alias("size")))
         return F.coalesce(push, rest, F.array().cast("array<struct<price:double,size:double>>"))
 
-    side = F.when(F.upper(F.col("_flat.side")) == "BUY", F.lit("bid")).otherwise(F.lit("ask"))
-    snapshot = kind.isin("book", "restbook")
-    row = F.struct(
-        F.col("_flat.asset_id").alias("asset_id"), F.unix_micros("ts").alias("ts"),
-        F.when(snapshot, F.lit("snapshot")).otherwise(F.lit("delta")).alias("kind"),
-        levels("bids").alias("bids"), levels("asks").alias("asks"), side.alias("side"),
-        number(F.col("_flat.price")).alias("price"), number(F.col("_flat.size")).alias("size"))
-    wanted = snapshot | (kind == "pchange")
-    return parsed.select(*keep, F.inline(F.when(wanted, F.array(row))))
+    side = F.when(F.upper(field("side")) == "BUY", F.lit("bid")).otherwise(F.lit("ask"))
+    snapshot, lost = kind.isin("book", "restbook"), F.col("type").isin(*LOST_TYPES)
+
+    def row(asset, what):
+        return F.struct(
+            asset.alias("asset_id"), F.unix_micros("ts").alias("ts"), what.alias("kind"),
+            levels("bids").alias("bids"), levels("asks").alias("asks"), side.alias("side"),
+            number(field("price")).alias("price"), number(field("size")).alias("size"))
+
+    named = field("asset_id")
+    hit = F.when(named.isNotNull(), F.array(named)).otherwise(F.array(*[F.lit(a) for a in assets]).cast("array<string>"))
+    rows = (F.when(snapshot, F.array(row(named, F.lit("snapshot")))).when(kind == "pchange", F.array(row(named, F.lit("delta"))))
+            .when(lost, F.transform(hit, lambda a: row(a, F.lit("disconnect")))))
+    return log.select(*keep, F.inline(rows))
 
 
 STALE_OUTPUT = "key string, at bigint, state string"
