@@ -198,10 +198,11 @@ def _plain_collocations(docs, least, covered=100, top=2000):
     return out
 
 
-@pytest.mark.parametrize("shard, block", [(24 << 20, 1 << 19), (400, 64)])
-def test_collocations_equal_plain_counting(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
-    monkeypatch.setattr(phrases, "BLOCK_BITS", block)
+@pytest.mark.parametrize("size, bits, shards", [(24 << 20, 1 << 19, 8), (400, 64, 3), (400, 1 << 19, 20)])
+def test_collocations_equal_plain_counting(spark, monkeypatch, size, bits, shards):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", size)
+    monkeypatch.setattr(phrases, "BLOCK_BITS", bits)
+    monkeypatch.setattr(phrases, "SHARDS", shards)
     rng = random.Random(6)
     words = ["new", "york", "city", "Éa", "A b", "of", "the"]
     docs = [(rng.choice(["en", "fr", None]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t ", ", ", "\n"]) for _ in range(60)))

@@ -1,19 +1,17 @@
 """Phrase collocations by partitioning: mine shards completely, unite what is frequent in one, count the union exactly.
 
-A phrase that stands ``min_count`` times in a language stands at least min_count * share times in one shard, where the shares (here of
-the language's bytes) sum to one. So
-
-1. every shard is mined level by level, with that lowered support: a phrase can only be frequent where the two phrases
-   one word shorter are, so most of the text has dropped out after two levels;
-2. the locally frequent phrases are united;
-3. every shard counts all phrases of the union that occur in it, and the counts are summed.
-
-A shard is what one task holds, about SHARD_BYTES of text, whatever the number and size of the input's partitions. The union
-reaches the tasks as a bitmap of hashes, sixteen bits or more a phrase up to MOST_BITS in all. The bitmap only saves work: a
-phrase outside the union that slips through has less than min_count and goes with the others that have.
-
-The support is absolute, so on a corpus of more than min_count shards the local one is 1 and the first pass hands on every phrase: then
-min_count should grow with the corpus.
+A phrase that stands ``min_count`` times in a language stands at least min_count / SHARDS times in one of SHARDS shards. So
+
+1. every shard is mined with that lowered support: first its words and pairs, then the phrases of three to five words all
+   of whose pairs are frequent. A shard may be larger than a task: its tasks count blocks of text, and a shuffle on
+   (shard, hash) adds the blocks up. Hashes of 64 bits do here, as two phrases with one hash can only add a candidate;
+2. the locally frequent phrases are united, without those that cannot reach min_count with the most their other
+   shards can hold;
+3. all texts are read once more and the phrases of the union counted, now by their words, and the counts summed.
+
+Task memory is bounded by BLOCK_BYTES of text (or one text). The union reaches the tasks as a bitmap of hashes, sixteen bits or more
+a phrase up to MOST_BITS in all. The bitmap only saves work: a phrase outside the union that slips through has less
+than min_count and goes with the others that have. What is shuffled grows with the text, not with the square of anything.
 """
 
 from __future__ import annotations
@@ -24,13 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.staging import stage
 
-#: Bytes of text that are mined together in one task.
-SHARD_BYTES = 24 << 20
+#: Shards; a partition of the input belongs to one by its number.
+SHARDS = 8
+#: Bytes of text a task works on at once, and rows of an Arrow batch it gives back.
+BLOCK_BYTES = 24 << 20
+BATCH_ROWS = 1 << 18
 LONGEST = 5
 #: Most bits of the bitmap (128 MB), and bits of the blocks in which it is put together.
 MOST_BITS = 1 << 30
@@ -54,73 +56,54 @@ class _Ids(dict):
         return value
 
 
-class Shard:
-    """Words of a bounded part of the documents as numbers; phrases never cross pieces, documents or languages."""
-
-    def __init__(self) -> None:
-        self.langs, self.words = _Ids(), _Ids()
-        self.whole: list[int] = []
-        self.held: list[int] = []
-        self.parts: list[np.ndarray] = []
-        self.part_langs: list[int] = []
-        self.bytes = 0
-
-    def add(self, lang: str, whole: int, text: str) -> None:
-        lang_id = self.langs[lang]
-        if lang_id == len(self.whole):
-            self.whole.append(whole)
-            self.held.append(0)
-        size = len(text.encode())
-        self.held[lang_id] += size
-        self.bytes += size + 1
-        found = split_words(text)
-        ids = self.words
-        got = np.fromiter((-1 if w == _BREAK else ids[w] for w in found), np.int64, len(found))
-        self.parts.append(np.append(got, -1))
-        self.part_langs.append(lang_id)
-
-    def close(self) -> None:
-        """Lay the words in one row; -1 stands at breaks. The first key joins word and language."""
-        self.row = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
-        self.lang_of = np.repeat(np.array(self.part_langs, np.int64), [len(p) for p in self.parts])
-        self.vocabulary = list(self.words)
-        self.names = list(self.langs)
-        self.parts = []
-
-    def word_totals(self) -> np.ndarray:
-        return np.bincount(self.lang_of[self.row >= 0], minlength=len(self.names))
+class Block:
+    """Words of some documents of one language as numbers; -1 stands between pieces and documents."""
+
+    def __init__(self, lang: str, parts: list[np.ndarray], vocabulary: list[bytes], word_hash: np.ndarray) -> None:
+        self.lang, self.vocabulary, self.word_hash = lang, vocabulary, word_hash
+        self.row = np.concatenate(parts)
+        self.seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+
+    def hashes(self, n: int, first: np.ndarray) -> np.ndarray:
+        """Hash of the language and the n words from each position on."""
+        return phrase_hash(self.seed, [self.word_hash[self.row[first + j]] for j in range(n)])
+
+    def phrases(self, n: int, first: np.ndarray) -> list[str]:
+        words = self.vocabulary
+        return [b" ".join([words[i] for i in run]).decode() for run in self.row[first[:, None] + np.arange(n)].tolist()]
+
+    def positions(self, n: int) -> np.ndarray:
+        """Where n words of one piece begin."""
+        whole = self.row >= 0
+        if n == 2:
+            whole = whole[:-1] & whole[1:]
+        return np.flatnonzero(whole)
 
     def levels(self, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(words, first position, count) of the distinct phrases of each length that ``keep(words, first, count)`` leaves."""
-        key = np.where(self.row >= 0, self.row * len(self.names) + self.lang_of, -1)
+        """(words, first position, count) of the distinct phrases that ``keep(words, positions)`` leaves, length by length.
+
+        A phrase is only looked at where both phrases one word shorter were kept.
+        """
+        number = np.full(len(self.row), -1, np.int64)  # of the kept phrase of the present length that begins here
         for n in range(1, LONGEST + 1):
-            at = np.flatnonzero(key >= 0)
+            if n == 1:
+                at = self.positions(1)
+                key = self.row[at]
+            else:
+                at = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
+                key = number[at] * (int(number.max(initial=0)) + 1) + number[at + 1]
             if not len(at):
                 return
-            _, first, place, count = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
+            _, first, place, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             first = at[first]
-            good = keep(n, first, count)
-            number = np.where(good, np.cumsum(good) - 1, -1)
-            here = np.full(len(key), -1, np.int64)
-            here[at] = number[place]
+            good = keep(n, first)
+            number[:] = -1
+            number[at] = np.where(good, np.cumsum(good) - 1, -1)[place]
             yield n, first[good], count[good]
-            # the next length starts where a kept phrase begins and another one word further
-            following = np.append(here[1:], -1)
-            key = np.where((here >= 0) & (following >= 0), here * (int(good.sum()) + 1) + following, -1)
-
-    def phrases(self, n: int, first: np.ndarray) -> list[str]:
-        words = self.vocabulary
-        return [b" ".join([words[i] for i in run]).decode() for run in self.row[first[:, None] + np.arange(n)].tolist()]
-
-    def hashes(self, n: int, first: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "word_hash"):
-            self.word_hash = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))
-            self.lang_hash = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in self.names), np.uint64, len(self.names))
-        return phrase_hash(self.lang_hash[self.lang_of[first]], [self.word_hash[self.row[first + j]] for j in range(n)])
 
 
-def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    mixed = lang.copy()
+def phrase_hash(seed: np.uint64, words: list[np.ndarray]) -> np.ndarray:
+    mixed = np.full(len(words[0]), seed, np.uint64)
     for w in words:
         mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD + w
     mixed ^= mixed >> np.uint64(32)
@@ -128,41 +111,86 @@ def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    shard = Shard()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of (lang, text) rows, one per language for about every BLOCK_BYTES of text."""
+    ids, langs, size = _Ids(), {}, 0
+
+    def close() -> Iterator[Block]:
+        vocabulary = list(ids)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
+        for lang, parts in langs.items():
+            yield Block(lang, parts, vocabulary, hashes)
+
     for batch in batches:
-        for lang, whole, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            shard.add(lang, whole, text.as_py())
-            if shard.bytes >= SHARD_BYTES:
-                shard.close()
-                yield shard
-                shard = Shard()
-    shard.close()
-    yield shard
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
+            found = split_words(text)
+            langs.setdefault(lang, []).append(np.fromiter(
+                (-1 if w == _BREAK else ids[w] for w in (*found, _BREAK)), np.int32, len(found) + 1))
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield from close()
+                ids, langs, size = _Ids(), {}, 0
+    yield from close()
+
 
+class _Marks:
+    """Reader of a bitmap of hashes."""
 
-def _rows(shard: Shard, first: np.ndarray, count: np.ndarray, phrases: list[str], hashes: np.ndarray) -> pa.RecordBatch:
-    langs = pa.array(shard.names, pa.string()).take(pa.array(shard.lang_of[first]))
-    return pa.RecordBatch.from_arrays(
-        [langs, pa.array(phrases, pa.string()), pa.array(hashes.view(np.int64)), pa.array(count.astype(np.int64))],
-        names=["lang", "phrase", "hash", "a"])
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes % np.uint64(8 * len(self.bits))
+        return (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
-_OUT = "lang string, phrase string, hash bigint, a bigint"
 
+def _local_counts(hashes: np.ndarray, shard: int) -> Iterator[pa.RecordBatch]:
+    values, counts = np.unique(hashes, return_counts=True)
+    for lo in range(0, len(values), BATCH_ROWS):
+        part = values[lo: lo + BATCH_ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part.view(np.int64)), pa.array(np.full(len(part), shard, np.int32)), pa.array(counts[lo: lo + BATCH_ROWS].astype(np.int64))],
+            names=["hash", "shard", "c"])
 
-def locally_frequent(texts: DataFrame, min_count: int) -> DataFrame:
-    """Phrases (one word included) that reach their shard's share of ``min_count``; texts: lang, whole (bytes), text."""
 
+def _locally_frequent(texts: DataFrame, count, least: int) -> DataFrame:
+    """hash, shard, c of the phrases whose blocks' counts reach ``least`` in their shard."""
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            share = np.array(shard.held, float) / np.maximum(1, np.array(shard.whole, float))
-            # never above the exact share, whatever the rounding
-            least = np.maximum(1, np.ceil(min_count * share - 1e-6))
-            for n, first, count in shard.levels(lambda n, first, count: count >= least[shard.lang_of[first]]):
-                yield _rows(shard, first, count, shard.phrases(n, first), shard.hashes(n, first))
+        shard = TaskContext.get().partitionId() % SHARDS
+        for block in _blocks(batches):
+            for hashes in count(block):
+                yield from _local_counts(hashes, shard)
+
+    # rows of a block are distinct already, so nothing is combined before the shuffle
+    parts = texts.mapInArrow(mine, "hash bigint, shard int, c bigint").repartition("hash", "shard")
+    return stage(parts.groupBy("hash", "shard").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+
 
-    return texts.mapInArrow(mine, _OUT)
+def mine_shards(texts: DataFrame, min_count: int) -> DataFrame:
+    """hash of every phrase (lang, text rows) that can reach ``min_count``: locally frequent somewhere, and enough in all."""
+    least = -(-min_count // SHARDS)
+
+    def short(block: Block) -> Iterator[np.ndarray]:
+        for n in (1, 2):
+            yield block.hashes(n, block.positions(n))
+
+    pairs = _locally_frequent(texts, short, least)
+    sent = texts.sparkSession.sparkContext.broadcast(union_bitmap(pairs))
+
+    def long(block: Block) -> Iterator[np.ndarray]:
+        at = block.positions(2)
+        good = np.zeros(len(block.row), bool)
+        good[at[_Marks(sent.value)(block.hashes(2, at))]] = True
+        whole = good
+        for n in range(3, LONGEST + 1):
+            whole = whole[:-1] & good[n - 2:]
+            yield block.hashes(n, np.flatnonzero(whole))
+
+    every = pairs.unionByName(_locally_frequent(texts, long, least))
+    # a shard that does not tell a phrase holds it at most least - 1 times
+    most = F.sum(F.col("c") - (least - 1)) + SHARDS * (least - 1)
+    return stage(every.groupBy("hash").agg(most.alias("most")).where(F.col("most") >= min_count).select("hash"))
 
 
 def union_bitmap(union: DataFrame) -> np.ndarray:
@@ -194,25 +222,23 @@ def union_bitmap(union: DataFrame) -> np.ndarray:
 
 
 def count_union(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Local counts of the phrases whose hashes are marked, and under the empty phrase the number of words."""
+    """lang, phrase, a: counts by block of the phrases whose hashes are marked; under the empty phrase the number of words."""
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = sent.value
-
-        def marked(shard: Shard, n: int, first: np.ndarray) -> np.ndarray:
-            bit = shard.hashes(n, first) % np.uint64(8 * len(marks))
-            return (marks[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+    def rows(lang: str, phrases: list[str], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(phrases), BATCH_ROWS):
+            part = phrases[lo: lo + BATCH_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()),
+                                              pa.array(counts[lo: lo + BATCH_ROWS].astype(np.int64))], names=["lang", "phrase", "a"])
 
-        for shard in _shards(batches):
-            total = shard.word_totals()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.names, pa.string()), pa.array([""] * len(total), pa.string()),
-                 pa.array(np.zeros(len(total), np.int64)), pa.array(total.astype(np.int64))], names=["lang", "phrase", "hash", "a"])
-            for n, first, found in shard.levels(lambda n, first, count: marked(shard, n, first)):
-                yield _rows(shard, first, found, shard.phrases(n, first), shard.hashes(n, first))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = _Marks(sent.value)
+        for block in _blocks(batches):
+            yield from rows(block.lang, [""], np.array([np.count_nonzero(block.row >= 0)]))
+            for n, first, found in block.levels(lambda n, first: marked(block.hashes(n, first))):
+                yield from rows(block.lang, block.phrases(n, first), found)
 
-    return texts.mapInArrow(count, _OUT)
+    return texts.mapInArrow(count, "lang string, phrase string, a bigint")
 
 
 def mine_collocations(docs: DataFrame, min_count: int = 100, covered: int = 100, top: int = 2000) -> DataFrame:
@@ -225,11 +251,7 @@ def mine_collocations(docs: DataFrame, min_count: int = 100, covered: int = 100,
     other columns are not read. Order: score and a descending, phrase by its bytes.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = stage(texts.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("bigint").alias("whole")))
-    size = whole.agg(F.sum("whole")).first()[0] or 0
-    # tasks of a shard's size however finely the input is cut; larger partitions are cut by the task itself
-    texts = texts.join(whole, "lang").select("lang", "whole", "text").coalesce(max(1, -(-size // SHARD_BYTES)))
-    union = stage(locally_frequent(texts, min_count).select("lang", "phrase", "hash").distinct())
+    union = mine_shards(texts, min_count)
     counted = count_union(texts, union_bitmap(union)).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     counted = stage(counted.where((F.col("phrase") == "") | (F.col("a") >= min_count)))
     return rank_collocations(counted, covered, top)
