@@ -122,8 +122,7 @@ carried as (select series_key, ws, t,
 def _memory(spark, sf):
     w = ordered(WINDOW)
     df = holey(spark, sf)
-    df = df.withColumns(rolling.memory_extremes(F.col("spot"), F.col("t"), w, MEM))
-    found = rolling.extremes_of(F.col("mem_v"), F.col("mem_t"))
+    found = rolling.memory_extremes(F.col("spot"), F.col("t"), w, MEM)
     df = df.withColumns({f"m_{k}": c for k, c in found.items()})
     return df.withColumns({k: rolling.carry(F.col(f"m_{k}"), w) for k in found})
 
@@ -150,7 +149,7 @@ tw as (select series_key, ts, round_even(avg(close) over (partition by series_ke
 @register("W7_twap", f"with {TWAP_SQL} select series_key, ts, twap from tw")
 def w7(spark, sf):
     return rolling.rolling_mean_rows(fx.bars(spark, sf), ["series_key"], "ts", "close", "twap",
-                                     rows=ROWS, chunk=5 * fx.DAY, block=64).select(
+                                     rows=ROWS, chunk=5 * fx.DAY).select(
         "series_key", "ts", "twap")
 
 

@@ -1,6 +1,7 @@
 """Event log decoding, compaction, frames, judgments, ledgers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,26 @@ def test_depth_walk(rows):
     assert got["whole"].filled == 0 and got["rest"].unfilled == 1 and got["deep"].filled == 34
 
 
+def test_depth_walk_equals_a_plain_walk_for_hot_assets(rows, monkeypatch):
+    monkeypatch.setattr(execution, "HOT_ORDERS", 30)
+    rnd = random.Random(11)
+    made = [(a, side, rnd.randint(1, 40) / 100, float(rnd.randint(1, 30))) for a in "pq" for side in ("bid", "ask") for _ in range(25)]
+    asked = [(i, rnd.choice("ppppq"), rnd.choice(["BUY", "SELL"]), float(rnd.randint(1, 500)), rnd.choice(["FAK", "FOK", "GTC"]),
+              rnd.choice([None, rnd.randint(1, 40) / 100])) for i in range(150)]
+    out = execution.depth_walk(rows(asked, "order_id int, asset string, side string, need double, order_type string, limit_price double"),
+                               rows(made, "asset string, side string, price double, size double")).collect()
+    assert len(out) == len(asked)
+    for r in out:
+        sign, opposite = (1, "ask") if r.side == "BUY" else (-1, "bid")
+        left, paid = r.need, 0.0
+        for _, _, price, size in sorted((x for x in made if x[0] == r.asset and x[1] == opposite), key=lambda x: sign * x[2]):
+            if r.limit_price is None or sign * price <= sign * r.limit_price:
+                paid, left = paid + min(left, size) * price, left - min(left, size)
+        if r.order_type == "FOK" and left:
+            left = r.need
+        assert r.filled == r.need - left and (r.vwap is None if not r.filled else r.vwap == pytest.approx(paid / r.filled))
+
+
 def test_latest_state_merges_columns(rows):
     log = rows([(1, 1, ["slug"], "a", None), (1, 2, ["winner"], None, "Up"), (1, 3, ["winner"], None, None)],
                "k int, seq int, changed array<string>, slug string, winner string")

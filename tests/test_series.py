@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tickloom.operators import asof, labels, ranks, rolling, studies
 
 
@@ -54,7 +55,6 @@ def test_new_extremes_and_memory(rows):
     out = df.withColumn("p", rolling.recent_values(F.col("v"), w, 10)).withColumn(
         "c", rolling.new_extreme_counts(F.col("p"))).withColumns(
         rolling.memory_extremes(F.col("v"), F.col("t"), w, 3))
-    out = out.withColumns(rolling.extremes_of(F.col("mem_v"), F.col("mem_t")))
     assert (_at(out, 5).c.highs, _at(out, 5).c.lows) == (2, 2)
     assert (_at(out, 0).c.highs, _at(out, 0).c.lows) == (0, 0)
     assert _at(out, 2).t_high == 1, "the earliest of tied highs counts"
@@ -62,35 +62,48 @@ def test_new_extremes_and_memory(rows):
     assert _at(out, 6).high is None, "no value, no trimming"
 
 
-def test_rolling_mean_is_over_rows_and_blocks_do_not_matter(rows):
+@pytest.mark.parametrize("chunk", [4, 50, 10_000])
+def test_rolling_mean_is_over_rows_and_chunks_do_not_matter(rows, chunk):
     rnd = random.Random(3)
     points = [(t * rnd.randint(1, 3) + t, rnd.randint(0, 1000) / 10) for t in range(300)]
     points = sorted({t: v for t, v in points}.items())
     df = _series(rows, points)
     got = {r.t: r.m for r in rolling.rolling_mean_rows(
-        df, ["k"], "t", "v", "m", rows=6, chunk=50, block=7).collect()}
+        df, ["k"], "t", "v", "m", rows=6, chunk=chunk).collect()}
     assert len(got) == len(points)
     for i, (t, _) in enumerate(points):
         window = [v for _, v in points[max(0, i - 5):i + 1]]
         assert got[t] == pytest.approx(sum(window) / len(window), abs=2e-6)
 
 
+@pytest.mark.parametrize("max_age", [30, None])
 @pytest.mark.parametrize("chunk", [3, 17, 1000])
-def test_asof_join_equals_brute_force_for_any_chunk(rows, chunk):
+def test_asof_join_equals_brute_force_for_any_chunk(rows, chunk, max_age):
     rnd = random.Random(7)
     left = sorted({(rnd.choice("ab"), rnd.randint(0, 200)) for _ in range(120)})
     right = sorted({(rnd.choice("ab"), rnd.randint(-40, 200)) for _ in range(25)})
     out = asof.asof_join(
         rows(left, "k string, t bigint"), rows([(k, t, t * 10) for k, t in right], "k string, rt bigint, v bigint"),
-        ["k"], "t", "rt", ["v"], max_age=30, chunk=chunk)
+        ["k"], "t", "rt", ["v"], max_age=max_age, chunk=chunk)
     got = {(r.k, r.t): r.v for r in out.collect()}
     assert len(got) == len(left)
     for k, t in left:
         best = max((rt for rk, rt in right if rk == k and rt <= t), default=None)
-        want = None if best is None or t - best > 30 else best * 10
+        want = None if best is None or max_age is not None and t - best > max_age else best * 10
         assert got[(k, t)] == want
 
 
+# making the inputs (a row per second, bars per hour) takes two of J3's shuffles and three of W9's
+@pytest.mark.parametrize("name, shuffles", [("J3_asof_join", 3), ("W9_running_range", 7)])
+def test_tables_are_read_and_dealt_once(spark, name, shuffles):
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    steps = [line for line in plan.splitlines() if "ReusedExchange" not in line]
+    assert sum("FileScan" in line for line in steps) == 2
+    assert sum("Exchange hashpartitioning" in line for line in steps) == shuffles
+
+
 def test_value_ranks_with_a_hot_value(rows):
     rnd = random.Random(5)
     data = [0.25] * 400 + [round(rnd.uniform(-3, 3), 3) for _ in range(600)]

@@ -43,41 +43,41 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
               chunk: int = 86400) -> DataFrame:
     """Attach the latest right row at or before each left row.
 
-    A long or hot series is cut into time chunks so that no task holds a whole series: rows
-    meet inside their chunk, and the state at a chunk's start comes from a per-chunk summary
-    (one row per series and chunk). ``<right_time>_asof`` and the right columns are added.
+    Both sides are merged in time order. A long or hot series is cut into time chunks so that no task holds a
+    whole series. With ``max_age`` a right row also goes to the later chunks it can reach by arithmetic; without, the last
+    right row of a chunk is repeated in all chunks up to the next one that has right rows, and right rows are dealt
+    by (keys, chunk) once, for the merge and for those ends. ``<right_time>_asof`` and the right columns are added.
     """
     stamp = f"{right_time}_asof"
-    payload = F.struct(F.col(right_time).alias(stamp), *[F.col(c) for c in right_cols])
-    rows_r = right.select(
-        *keys, F.col(right_time).alias("_t"), payload.alias("_r"))
-    rows_l = left.withColumn("_t", F.col(left_time)).withColumn("_l", F.struct(*left.columns))
-    both = (
-        rows_l.select(*keys, "_t", "_l", F.lit(1).alias("_side"))
-        .unionByName(rows_r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-        .withColumn("_chunk", F.floor(F.col("_t") / chunk))
-    )
-
-    # latest right row of every chunk, then of all earlier chunks
-    ends = right.groupBy(*keys, F.floor(F.col(right_time) / chunk).alias("_chunk")).agg(
-        F.max(right_time).alias(stamp), *[F.max_by(c, right_time).alias(c) for c in right_cols])
-    summary = ends.select(*keys, "_chunk", F.struct(stamp, *right_cols).alias("_end"))
-    touched = both.select(*keys, "_chunk").distinct()
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = (touched.join(summary, [*keys, "_chunk"], "left")
-             .withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier))
-             .select(*keys, "_chunk", "_carry"))
-
+    place = F.floor(F.col("_t") / chunk)
+    rows_l = left.withColumn("_t", F.col(left_time)).withColumns({"_chunk": place, "_side": F.lit(1)})
+    rows_r = right.select(*keys, F.col(right_time).alias("_t"), *[F.col(c).alias(f"_r_{c}") for c in right_cols])
+    if max_age is not None:
+        served = F.sequence(place, F.floor((F.col("_t") + max_age) / chunk))
+        parts = [rows_r.withColumn("_chunk", F.explode(served))]
+    else:
+        dealt = rows_r.withColumn("_chunk", place).repartition(*keys, "_chunk")
+        ends = dealt.groupBy(*keys, "_chunk").agg(
+            F.max("_t").alias("_t"), *[F.max_by(f"_r_{c}", "_t").alias(f"_r_{c}") for c in right_cols])
+        following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+        last = F.lit(rows_l.agg(F.max("_chunk")).first()[0]).cast("bigint")
+        ends = ends.withColumn("_until", F.coalesce(following, F.greatest("_chunk", last)))
+        later = F.when(F.col("_until") > F.col("_chunk"), F.sequence(F.col("_chunk") + 1, F.col("_until")))
+        parts = [dealt, ends.withColumn("_chunk", F.explode(later)).drop("_until").repartition(*keys, "_chunk")]
+        rows_l = rows_l.repartition(*keys, "_chunk")
+
+    def seen(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, "_t", "_chunk", F.lit(0).alias("_side"),
+                           F.struct(F.col("_t").alias(stamp), *[F.col(f"_r_{c}").alias(c) for c in right_cols]).alias("_r"))
+
+    both = rows_l
+    for part in parts:
+        both = both.unionByName(seen(part), allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_side").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    matched = (
-        both.join(carry, [*keys, "_chunk"])
-        .withColumn("_hit", F.coalesce(F.last("_r", ignorenulls=True).over(inside), "_carry"))
-        .filter(F.col("_side") == 1)
-    )
+    matched = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
     if max_age is not None:
         fresh = F.col("_t") - F.col(f"_hit.{stamp}") <= max_age
         matched = matched.withColumn("_hit", F.when(fresh, F.col("_hit")))
-    return matched.select("_l.*", F.col(f"_hit.{stamp}").alias(stamp),
+    return matched.select(*left.columns, F.col(f"_hit.{stamp}").alias(stamp),
                           *[F.col(f"_hit.{c}").alias(c) for c in right_cols])

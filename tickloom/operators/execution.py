@@ -4,9 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.plans.staging import stage
+
+
+#: Orders of one asset that go to one task.
+HOT_ORDERS = 1_000_000
+
+
+def not_above(values: Column, x: Column) -> Column:
+    """How many of the ascending ``values`` are at most ``x``, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    fits = lambda at, step: (at + step <= F.size(values)) & (F.get(values, at + step - 1) <= x)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def book_depth(levels: DataFrame, asset: str = "asset") -> DataFrame:
+    """One row per book side: ``toward`` (prices from the best on, bids negated), ``depth`` and ``paid`` running sums."""
+    toward = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
+    merged = levels.withColumn("_toward", toward).groupBy(asset, "side", "_toward").agg(F.sum("size").alias("_size"))
+    upto = Window.partitionBy(asset, "side").orderBy("_toward").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = merged.select(asset, "side", F.struct(
+        F.col("_toward").alias("toward"), F.sum("_size").over(upto).alias("depth"),
+        F.sum(F.col("_size") * F.abs("_toward")).over(upto).alias("paid")).alias("_l"))
+    rows = sums.groupBy(asset, "side").agg(F.array_sort(F.collect_list("_l")).alias("_l"))
+    return rows.select(asset, "side", *[F.col(f"_l.{c}").alias(c) for c in ("toward", "depth", "paid")])
+
 
 def depth_walk(orders: DataFrame, levels: DataFrame, *, order_id: str = "order_id",
                asset: str = "asset") -> DataFrame:
@@ -17,40 +42,42 @@ def depth_walk(orders: DataFrame, levels: DataFrame, *, order_id: str = "order_i
     FOK fills completely or not at all. A limit FAK cancels the rest; a market order (no
     limit_price) that runs out of depth stays PARTIAL. Without any level on the other side a market
     order fails, and a limit order that crosses nothing stays open.
+
+    A book side is one row of running sums, in which an order finds its limit and its end by binary search, so an
+    order stays one row. The orders of an asset with more than HOT_ORDERS of them are dealt to several copies of its book.
     """
-    opposite = F.when(F.col("side") == "BUY", F.lit("ask")).otherwise(F.lit("bid"))
-    wanted = orders.withColumn("_book_side", opposite)
-    book = levels.select(asset, F.col("side").alias("_book_side"), "price", F.col("size").alias("_size"))
+    hot = stage(orders.groupBy(asset).agg(F.ceil(F.count("*") / HOT_ORDERS).cast("int").alias("_parts")).filter("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
     buy = F.col("side") == "BUY"
-    crosses = (F.col("limit_price").isNull()
-               | F.when(buy, F.col("price") <= F.col("limit_price"))
-               .otherwise(F.col("price") >= F.col("limit_price")))
-    toward = F.when(buy, F.col("price")).otherwise(-F.col("price"))
-    walk = Window.partitionBy(order_id).orderBy(toward)
-    before = walk.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(order_id)
-    met = (wanted.join(book, [asset, "_book_side"]).withColumn("_crosses", crosses))
-    fill = F.greatest(F.lit(0.0), F.least(
-        F.col("need") - F.coalesce(F.sum("_size").over(before), F.lit(0.0)), F.col("_size")))
-    walked = (met.filter("_crosses").withColumn("_fill", fill)
-              .withColumn("_available", F.sum("_size").over(everything)))
-    refused = (F.col("order_type") == "FOK") & (F.col("_available") < F.col("need"))
-    walked = walked.withColumn("_fill", F.when(refused, F.lit(0.0)).otherwise(F.col("_fill")))
-    done = walked.groupBy(order_id).agg(
-        F.sum("_fill").alias("_filled"), F.sum(F.col("_fill") * F.col("price")).alias("_paid"))
-    seen = met.groupBy(order_id).agg(F.lit(True).alias("_seen"))
-    filled = F.coalesce("_filled", F.lit(0.0))
+    wanted = orders.join(hot, asset, "left").withColumns({
+        "_part": F.pmod(F.xxhash64(order_id), parts).cast("int"), "_book_side": F.when(buy, F.lit("ask")).otherwise(F.lit("bid"))})
+    books = (book_depth(levels, asset).withColumnRenamed("side", "_book_side").join(hot, asset, "left")
+             .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))))
+    met = wanted.drop("_parts").join(books.drop("_parts"), [asset, "_book_side", "_part"], "left")
+
+    sum_of = lambda sums, n: F.when(n > 0, F.get(sums, n - 1)).otherwise(F.lit(0.0))
+    limit = F.when(buy, F.col("limit_price")).otherwise(-F.col("limit_price"))
+    seen = F.col("depth").isNotNull()
+    met = met.withColumn("_crossed", F.when(limit.isNull(), F.size("depth")).otherwise(not_above(F.col("toward"), limit)))
+    crossed = F.when(seen, F.col("_crossed")).otherwise(F.lit(0))
+    available = sum_of(F.col("depth"), crossed)
+    refused = (F.col("order_type") == "FOK") & (available < F.col("need"))
+    filled = F.when(refused | (crossed == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.col("need"), available)))
+    met = met.withColumns({"_crossed": crossed, "_filled": filled})
+    met = met.withColumn("_full", F.when(F.col("_filled") > 0, F.least(not_above(F.col("depth"), F.col("_filled")), F.col("_crossed"))))
+    rest = F.col("_filled") - sum_of(F.col("depth"), F.col("_full"))
+    paid = sum_of(F.col("paid"), F.col("_full")) + F.when(
+        rest > 0, rest * F.abs(F.get("toward", F.col("_full")))).otherwise(F.lit(0.0))
+    filled = F.col("_filled")
     status = (
-        F.when(F.col("_seen").isNull() & F.col("limit_price").isNull(), F.lit("FAILED"))
-        .when(F.col("_filled").isNull(), F.lit("OPEN"))
+        F.when(~seen & F.col("limit_price").isNull(), F.lit("FAILED"))
+        .when(F.col("_crossed") == 0, F.lit("OPEN"))
         .when(filled >= F.col("need"), F.lit("FILLED"))
         .when((F.col("order_type") == "FOK")
               | ((F.col("order_type") == "FAK") & F.col("limit_price").isNotNull()), F.lit("CANCELED"))
         .otherwise(F.lit("PARTIAL")))
-    return (orders.join(done, order_id, "left").join(seen, order_id, "left")
-            .select(*orders.columns, filled.alias("filled"),
-                    (F.col("need") - filled).alias("unfilled"),
-                    F.when(filled > 0, F.col("_paid") / filled).alias("vwap"), status.alias("status")))
+    return met.select(*orders.columns, filled.alias("filled"), (F.col("need") - filled).alias("unfilled"),
+                      F.when(filled > 0, paid / filled).alias("vwap"), status.alias("status"))
 
 
 def market_buy_need(orders: DataFrame, levels: DataFrame, asset: str = "asset") -> DataFrame:

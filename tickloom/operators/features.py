@@ -14,7 +14,6 @@ from tickloom.operators.asof import asof, ordered
 from tickloom.operators.rolling import (
     add_rolling_slopes,
     carry,
-    extremes_of,
     freshness,
     memory_extremes,
     new_extreme_counts,
@@ -85,10 +84,8 @@ def trend_features(df: DataFrame, keys: Sequence[str], *, spot: str = "spot", ti
     step1["feed_fresh"] = freshness(v, w, window=60 * scale, min_samples=min_samples, max_age=age)
     for n in EXTREME_SECONDS:
         step1[f"_pts{n}"] = recent_values(v, w, n * scale)
-    step1 |= {f"_{k}": c for k, c in memory_extremes(v, F.col(time), w, SPOT_MEMORY * scale).items()}
-    out = df.withColumns(step1)
-    found = extremes_of(F.col("_mem_v"), F.col("_mem_t"))
-    out = out.withColumns({f"_m_{k}": c for k, c in found.items()}).drop("_mem_v", "_mem_t")
+    found = memory_extremes(v, F.col(time), w, SPOT_MEMORY * scale)
+    out = df.withColumns(step1 | {f"_m_{k}": c for k, c in found.items()})
     out = out.withColumns({f"_c_{k}": carry(F.col(f"_m_{k}"), w) for k in found})
     out = add_rolling_slopes(out, w, spot, elapsed, {f"_slope{n}": n * scale for n in SLOPE_SECONDS})
 

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import half_even, ten_dp
-from tickloom.operators.asof import asof, asof_join
-from tickloom.operators.ranks import row_number_by_chunk
+from tickloom.operators.asof import asof
 
 
 def trailing(w: WindowSpec, n: int) -> WindowSpec:
@@ -83,22 +82,17 @@ def recent_values(value: Column, w: WindowSpec, n: int) -> Column:
 
 
 def memory_extremes(value: Column, time: Column, w: WindowSpec, memory: int) -> dict[str, Column]:
-    """Ordered values and their times over the retained memory, input of :func:`extremes_of`.
+    """High, low and the time of the earliest high and low of the values in the retained memory.
 
     Memory is only trimmed when a value arrives, so on a row without a value the columns are
-    NULL here and :func:`carry` brings the last result forward.
+    NULL here and :func:`carry` brings the last result forward. One number pair per extreme is kept, no list.
     """
     frame = w.rangeBetween(-memory, 0)
     present = value.isNotNull()
-    return {"mem_v": F.when(present, F.collect_list(value).over(frame)),
-            "mem_t": F.when(present, F.collect_list(F.when(present, time)).over(frame))}
-
-
-def extremes_of(mem_v: Column, mem_t: Column) -> dict[str, Column]:
-    """High, low and the time of the earliest high and low of the remembered values."""
-    high, low = F.array_max(mem_v), F.array_min(mem_v)
-    first = lambda v: F.get(mem_t, (F.array_position(mem_v, v) - 1).cast("int"))
-    return {"high": high, "low": low, "t_high": first(high), "t_low": first(low)}
+    top = F.max(F.when(present, F.struct(value.alias("v"), (-time).alias("t")))).over(frame)
+    bottom = F.max(F.when(present, F.struct((-value).alias("v"), (-time).alias("t")))).over(frame)
+    return {"high": F.when(present, top["v"]), "low": F.when(present, -bottom["v"]),
+            "t_high": F.when(present, -top["t"]), "t_low": F.when(present, -bottom["t"])}
 
 
 def carry(value: Column, w: WindowSpec) -> Column:
@@ -107,25 +101,27 @@ def carry(value: Column, w: WindowSpec) -> Column:
 
 
 def rolling_mean_rows(bars: DataFrame, keys: Sequence[str], time: str, value: str, out: str,
-                      rows: int = 60, digits: int = 6, chunk: int = 86400,
-                      block: int = 7200) -> DataFrame:
+                      rows: int = 60, digits: int = 6, chunk: int = 86400) -> DataFrame:
     """Mean of the last ``rows`` bars (rows, not seconds) along the whole series.
 
-    The series is cut into blocks of ``block`` consecutive bars; each block also receives the
-    last rows-1 bars of the block before it, which is all a row frame can reach. So a series
-    of any length is spread over many tasks and the result equals one unbroken frame.
+    The series is cut into time chunks; each also receives the rows-1 bars before it, which is all a row frame can
+    reach. They come from the ends of as many earlier chunks, as a chunk has at least one bar. So a series of any
+    length is spread over many tasks, the result equals one unbroken frame, and bars are read and dealt once.
     """
-    if block < rows:
-        raise ValueError("block must not be smaller than rows")
-    ranked = row_number_by_chunk(bars, keys, [F.col(time)], F.floor(F.col(time) / chunk), "_rn")
-    home = F.floor((F.col("_rn") - 1) / block)
-    reaches_next = (F.col("_rn") - 1) % block >= block - (rows - 1)
-    spread = ranked.withColumn(
-        "_block", F.explode(F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home))))
-    w = Window.partitionBy(*keys, "_block").orderBy("_rn").rowsBetween(-(rows - 1), 0)
-    return (spread.withColumn(out, half_even(F.avg(value).over(w), digits))
-            .filter(F.col("_block") == home)
-            .drop("_rn", "_block"))
+    dealt = bars.withColumn("_chunk", F.floor(F.col(time) / chunk)).repartition(*keys, "_chunk")
+    backwards = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(time))
+    ends = (dealt.withColumn("_back", F.row_number().over(backwards)).filter(F.col("_back") < rows)
+            .groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(*bars.columns)).alias("_end")))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-(rows - 1), -1)
+    newest = lambda a, b: F.when(a[time] > b[time], -1).when(a[time] < b[time], 1).otherwise(0)
+    reach = ends.withColumn("_reach", F.collect_list("_end").over(earlier)).select(
+        "_chunk", F.array_sort(F.flatten("_reach"), newest).alias("_reach"))
+    carried = (reach.select("_chunk", F.explode(F.slice("_reach", 1, rows - 1)).alias("_b"))
+               .select("_b.*", "_chunk", F.lit(False).alias("_home")).repartition(*keys, "_chunk"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(time).rowsBetween(-(rows - 1), 0)
+    return (dealt.withColumn("_home", F.lit(True)).unionByName(carried)
+            .withColumn(out, half_even(F.avg(value).over(w), digits))
+            .filter("_home").drop("_chunk", "_home"))
 
 
 def window_coverage_gate(ticks: DataFrame, bars: DataFrame, window_cols: Sequence[str],
@@ -165,19 +161,31 @@ def running_range(value: Column, w: WindowSpec, digits: int = 2) -> Column:
 def tick_volatility(ticks: DataFrame, bars: DataFrame, *, series: str = "series_key",
                     start: str = "ws", time: str = "t", bar_time: str = "ts",
                     close: str = "close", rows: int = 60, lead: int = 60, first_within: int = 59,
-                    step: int = 1, window_len: int = 300, chunk: int = 86400) -> DataFrame:
-    """Add ``twap`` and ``rng`` to ticks: rolling bar mean as of the tick, gated, then its range."""
-    means = rolling_mean_rows(bars, [series], bar_time, close, "twap", rows, chunk=chunk)
-    gate = window_coverage_gate(ticks, bars, [series, start], series, start, time, bar_time,
-                                lead=lead, first_within=first_within, step=step,
-                                window_len=window_len)
-    joined = asof_join(ticks, means, [series], time, bar_time, ["twap"], chunk=chunk)
-    in_lead = F.col(f"{bar_time}_asof") >= F.col(start) - lead
-    gated = (joined.join(gate.select(series, start, "covered"), [series, start], "left")
-             .withColumn("twap", F.when(F.col("covered") & in_lead, F.col("twap"))))
-    w = Window.partitionBy(series, start).orderBy(time)
-    return (gated.withColumn("rng", running_range(F.col("twap"), w))
-            .drop("covered", f"{bar_time}_asof"))
+                    step: int = 1, min_share: float = 0.95, window_len: int = 300, chunk: int = 86400) -> DataFrame:
+    """Add ``twap`` and ``rng`` to ticks: rolling bar mean as of the tick, gated, then its range.
+
+    The mean looks along the whole series. After that, every bar goes to the windows it can serve by arithmetic (its own and
+    those whose lead it lies in), where one merge with the ticks gives the as-of mean and the
+    coverage of :func:`window_coverage_gate`; nothing is joined.
+    """
+    means = rolling_mean_rows(bars.select(series, bar_time, close), [series], bar_time, close, "_mean", rows, chunk=chunk)
+    own = (F.col(bar_time) - F.pmod(F.col(bar_time), F.lit(window_len))).cast("bigint")
+    served = F.array(*[own + F.lit(i * window_len) for i in range(-(-lead // window_len) + 1)])
+    offered = (means.select(series, F.col(bar_time).alias("_bar"), "_mean", F.explode(served).alias(start))
+               .filter(F.col("_bar") >= F.col(start) - lead)
+               .select(series, start, F.col("_bar").alias("_at"), "_bar", "_mean", F.lit(0).alias("_side")))
+    both = ticks.withColumns({"_at": F.col(time), "_side": F.lit(1)}).unionByName(offered, allowMissingColumns=True)
+    whole = Window.partitionBy(series, start)
+    upto = whole.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_last", F.max(F.when(F.col("_side") == 1, F.col("_at"))).over(whole))
+    serves = F.when(F.col("_at") <= F.col("_last"), F.col("_bar"))
+    n, first = F.count(serves).over(whole), F.min(serves).over(whole)
+    span = (F.col("_last") - (F.col(start) - lead)) / step + 1
+    covered = (n >= span * min_share) & (n > 0) & (first <= F.col(start) - first_within)
+    out = both.withColumns({"_covered": F.coalesce(covered, F.lit(False)), "_seen": F.last("_mean", ignorenulls=True).over(upto)})
+    out = out.filter("_side = 1").withColumn("twap", F.when(F.col("_covered"), F.col("_seen")))
+    w = whole.orderBy(time)
+    return out.select(*ticks.columns, "twap", running_range(F.col("twap"), w).alias("rng"))
 
 
 def freshness(value: Column, w: WindowSpec, *, window: int = 60, min_samples: int = 45,
