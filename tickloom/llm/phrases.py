@@ -2,11 +2,12 @@
 
 A phrase that stands ``min_count`` times in a language stands at least min_count / SHARDS times in one of SHARDS shards. So
 
-1. every shard is mined with that lowered support: first its words and pairs, then the phrases of three to five words all
-   of whose pairs are frequent. A shard may be larger than a task: its tasks count blocks of text, and a shuffle on
-   (shard, hash) adds the blocks up. Hashes of 64 bits do here, as two phrases with one hash can only add a candidate;
-2. the locally frequent phrases are united, without those that cannot reach min_count with the most their other
-   shards can hold;
+1. every shard is mined with a part (one in SLACK) of that lowered support: first its words and pairs, then the phrases of
+   three to five words all of whose pairs can be frequent. A shard may be larger than a task: its tasks count blocks of text,
+   and a shuffle on (shard, hash) adds the blocks up. Hashes of 64 bits do here, as two phrases with one hash can only add a
+   candidate;
+2. the locally frequent phrases are united, without those that cannot reach min_count with the most the shards that do not
+   name them can hold. The lower the support of the shards, the less that is, and the closer the union is to the result;
 3. all texts are read once more and the phrases of the union counted, now by their words, and the counts summed.
 
 Task memory is bounded by BLOCK_BYTES of text (or one text). The union reaches the tasks as a bitmap of hashes, sixteen bits or more
@@ -30,8 +31,10 @@ from tickloom.plans.staging import stage
 
 #: Shards; a partition of the input belongs to one by its number.
 SHARDS = 8
+#: Shards are mined with this part of the support at which a frequent phrase must show in one of them.
+SLACK = 4
 #: Bytes of text a task works on at once, and rows of an Arrow batch it gives back.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 BATCH_ROWS = 1 << 18
 LONGEST = 5
 #: Most bits of the bitmap (128 MB), and bits of the blocks in which it is put together.
@@ -154,28 +157,31 @@ def _local_counts(hashes: np.ndarray, shard: int) -> Iterator[pa.RecordBatch]:
             names=["hash", "shard", "c"])
 
 
-def _locally_frequent(texts: DataFrame, count, least: int) -> DataFrame:
-    """hash, shard, c of the phrases whose blocks' counts reach ``least`` in their shard."""
+def _promising(texts: DataFrame, count, min_count: int) -> DataFrame:
+    """hash of the phrases that are frequent in a shard and can reach ``min_count`` in all."""
+    least = -(-min_count // (SHARDS * SLACK))
+
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % SHARDS
         for block in _blocks(batches):
             for hashes in count(block):
                 yield from _local_counts(hashes, shard)
 
-    # rows of a block are distinct already, so nothing is combined before the shuffle
-    parts = texts.mapInArrow(mine, "hash bigint, shard int, c bigint").repartition("hash", "shard")
-    return stage(parts.groupBy("hash", "shard").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+    # rows of a block are distinct already, so nothing is combined before the shuffle, which also serves the last sum
+    parts = texts.mapInArrow(mine, "hash bigint, shard int, c bigint").repartition("hash")
+    frequent = parts.groupBy("hash", "shard").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    # a shard that does not name a phrase holds it at most least - 1 times
+    most = F.sum(F.col("c") - (least - 1)) + SHARDS * (least - 1)
+    return stage(frequent.groupBy("hash").agg(most.alias("most")).where(F.col("most") >= min_count).select("hash"))
 
 
 def mine_shards(texts: DataFrame, min_count: int) -> DataFrame:
-    """hash of every phrase (lang, text rows) that can reach ``min_count``: locally frequent somewhere, and enough in all."""
-    least = -(-min_count // SHARDS)
-
+    """hash of every phrase (of lang, text rows) that can reach ``min_count``, and of few others."""
     def short(block: Block) -> Iterator[np.ndarray]:
         for n in (1, 2):
             yield block.hashes(n, block.positions(n))
 
-    pairs = _locally_frequent(texts, short, least)
+    pairs = _promising(texts, short, min_count)
     sent = texts.sparkSession.sparkContext.broadcast(union_bitmap(pairs))
 
     def long(block: Block) -> Iterator[np.ndarray]:
@@ -187,10 +193,7 @@ def mine_shards(texts: DataFrame, min_count: int) -> DataFrame:
             whole = whole[:-1] & good[n - 2:]
             yield block.hashes(n, np.flatnonzero(whole))
 
-    every = pairs.unionByName(_locally_frequent(texts, long, least))
-    # a shard that does not tell a phrase holds it at most least - 1 times
-    most = F.sum(F.col("c") - (least - 1)) + SHARDS * (least - 1)
-    return stage(every.groupBy("hash").agg(most.alias("most")).where(F.col("most") >= min_count).select("hash"))
+    return pairs.unionByName(_promising(texts, long, min_count))
 
 
 def union_bitmap(union: DataFrame) -> np.ndarray:
