@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_time_order(df: DataFrame, time: Column, files: int) -> DataFrame:
+def in_time_order(df: DataFrame, time: Column, files: int, folder: str | None = None) -> DataFrame:
     """A table as a stream of files cut in time, whatever series and windows the cuts fall into; one file per batch."""
-    folder = fresh_folder(df.sparkSession, "input")
+    folder = folder or fresh_folder(df.sparkSession, "input")
     first, last = df.agg(F.min(time), F.max(time)).first()
     cut = F.least(F.floor((time - F.lit(first)) * files / F.lit(last - first + 1)), F.lit(files - 1))
     for i in range(files):  # one after the other, as the stream takes them by age

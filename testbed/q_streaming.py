@@ -34,14 +34,6 @@ def finish(df: DataFrame, mode: str = "append", into: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def replayed_stream(df: DataFrame, files: int = 4) -> DataFrame:
-    """A table as a stream of several files cut between event windows, one file per batch."""
-    spark = df.sparkSession
-    folder = fresh_folder(spark, "input")
-    df.repartitionByRange(files, "ws").write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
 @register("T1_stream_book_rows", """
 select dt as date, kind, side, count(*) as n, round(sum(price), 6) as sum_price, cast(sum(cast(size as bigint)) as bigint) as sum_size from v_book group by 1, 2, 3
 union all select dt, 'meta', 'WindowMeta', count(*), null, null from v_log where kind_no = 4 group by dt
@@ -81,17 +73,23 @@ def t2(spark, sf):
 
 
 @register("T3_stream_twap_stats", """
-with g as (select pair, t // 86400 * 86400 as window_start, arg_min(price, t * 1000000 + line_id) as base, arg_max(price, t * 1000000 + line_id) as last,
+with g as (select pair, t // 86400 * 86400 as window_start, arg_min(price, t * 1000000 + line_id) as firstv, arg_max(price, t * 1000000 + line_id) as lastv,
     max(price) as high, min(price) as low, count(*) as samples from v_twap group by 1, 2)
-select pair, window_start, round(base, 6) as base, round(last, 6) as last, round(high, 6) as high, round(low, 6) as low, round(high - low, 6) as range, samples
-from g where window_start + 86400 <= (select max(epoch(ts)) from events) - 300
+select pair, window_start, round(coalesce(lag(lastv) over (partition by pair order by window_start), firstv), 6) as base, round(lastv, 6) as last,
+  round(high, 6) as high, round(low, 6) as low, round(high - low, 6) as range, samples from g
 """)
 def t3(spark, sf):
-    """Windows the watermark has closed."""
+    """All windows, over files cut inside them; an update 60 days on flushes the last ones."""
     prepare_streaming(fx.prepare(spark))
-    messages = fx.twap_messages(spark, sf, fx.event_stream(spark, sf))
+    ev, folder, into = fx.table(spark, sf, "events"), fresh_folder(spark, "input"), fresh_folder(spark, "stream")
+    messages = fx.twap_messages(spark, sf, fx.in_time_order(ev, fx.seconds(F.col("ts")), 4, folder))
     updates = frames.parse_twap_updates(messages, "text", keep=("line_id", "recv_ts")).filter("not is_error")
-    out = finish(ingest.stream_twap_stats(updates, seq="line_id", window="1 day"))
+    stats = ingest.stream_twap_stats(updates, seq="line_id", window="1 day")
+    finish(stats, into=into)
+    last = ev.filter("event_id % 41 <> 0 and event_id % 43 <> 0").orderBy("event_id").limit(1)
+    (last.withColumns({"event_type": F.lit("_end"), "ts": F.col("ts") + F.expr("interval 60 days")})
+     .coalesce(1).write.mode("append").parquet(folder))
+    out = finish(stats, into=into).filter("pair <> '_end/usd'")
     return out.select("pair", "window_start", *[r6(c).alias(c) for c in ("base", "last", "high", "low", "range")],
                       "samples")
 
@@ -121,8 +119,9 @@ def t5(spark, sf):
         return features.feature_snapshot(cleaned, WINDOW, scale=SCALE, min_samples=MIN_SAMPLES)
 
     folder = fresh_folder(spark, "features")
-    lookback.stream_features(replayed_stream(fx.ticks(spark, sf)), compute, f"{folder}/out", f"{folder}/log",
-                             scale=SCALE, window_len=DAY).awaitTermination()
+    ticks = fx.in_time_order(fx.ticks(spark, sf), F.col("t"), 4)
+    lookback.stream_features(ticks, compute, f"{folder}/out", f"{folder}/log", keys=WINDOW, scale=SCALE,
+                             window_len=DAY).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(
         "series_key", "ws", "t", "cand", "feed_fresh", "spot_sample_count_60", "score",
         *[r6(c).alias(c) for c in SNAP_COLS], *COUNT_COLS)

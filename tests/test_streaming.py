@@ -136,7 +136,19 @@ def test_look_back_is_kept_per_series(spark, rows, tmp_path):
                              window_len=0, forget=10**6).awaitTermination()
     pick = lambda df: df.filter("series_key = 'slow'").select("t", F.round("ret_120", 6), F.round("slope_60", 6)).orderBy("t").collect()
     assert pick(spark.read.parquet(str(tmp_path / "f"))) == pick(compute(slow))
-    assert sorted(p.name for p in (tmp_path / "ck" / "history").iterdir()) == ["batch=0", "batch=1"]
+
+
+def test_a_series_resumes_after_it_was_forgotten(spark, rows, tmp_path):
+    ticks = _ticks(rows)
+    later = ticks.withColumns({"ws": F.lit(172_800), "t": F.col("t") + 172_800})
+    other = ticks.withColumns({"series_key": F.lit("other"), "ws": F.lit(86_400), "t": F.col("t") + 86_400})
+    compute = lambda df: features.feature_snapshot(features.clean_ticks(df), W)
+    parts = [ticks.filter("t < 140"), ticks.filter("t >= 140"), other, later.filter(F.col("t") < 172_900), later.filter(F.col("t") >= 172_900)]
+    lookback.stream_features(_feed(spark, tmp_path, parts), compute, str(tmp_path / "f"), str(tmp_path / "ck"),
+                             window_len=0, forget=3600).awaitTermination()
+    cols = ["series_key", "t", "spot_sample_count_60", *[F.round(c, 6).alias(c) for c in ("ret_120", "slope_60", "dist_high")]]
+    pick = lambda df: sorted(map(str, df.select(*cols).collect()))
+    assert pick(spark.read.parquet(str(tmp_path / "f"))) == pick(compute(ticks.unionByName(other).unionByName(later)))
 
 
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
@@ -180,13 +192,14 @@ def test_features_on_a_stream_equal_the_batch(spark, rows, tmp_path):
     assert any(r.score is not None for r in want)
 
 
-def test_twap_stats_equal_the_batch(spark, rows, tmp_path):
+@pytest.mark.parametrize("carry", [True, False])
+def test_twap_stats_equal_the_batch(spark, rows, tmp_path, carry):
     rnd = random.Random(4)
     data = [(rnd.choice(["btc/usd", "eth/usd"]), t, rnd.randint(1, 999) / 10) for t in range(0, 3000, 7)]
     df = rows(data, "pair string, t bigint, price double").withColumn("recv_ts", F.timestamp_seconds("t"))
     stream = _feed(spark, tmp_path, [df.filter("t < 1500"), df.filter("t >= 1500")])
-    out = _finish(ingest.stream_twap_stats(stream, delay="10 seconds"), tmp_path)
-    batch = audits.twap_window_stats(df, "pair", "t", "price", carry_base=False)
+    out = _finish(ingest.stream_twap_stats(stream, delay="10 seconds", carry_base=carry), tmp_path)
+    batch = audits.twap_window_stats(df, "pair", "t", "price", carry_base=carry)
     key = lambda d: sorted((r.pair, r.window_start, r.base, r.last, r.high, r.low, r.samples) for r in d.collect())
     assert key(out) == [x for x in key(batch) if x[1] + 300 <= 2996 - 10]
 

@@ -2,58 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tickloom.operators.features import MAX_AGE, SPOT_MEMORY
-from tickloom.plans.staging import remove_folder
 
+# ship the processor with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _previous(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], like.schema)
+
+class Ring(StatefulProcessor):
+    """Keeps the rows of a key that later rows can still reach, and hands them on before the new ones."""
+
+    def __init__(self, schema: T.StructType, time: str, reach: int, forget: int) -> None:
+        self.schema, self.time, self.reach, self.forget = schema, time, reach, forget
+        self.at = schema.names.index(time)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+        self.due = handle.getValueState("due", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        names = self.schema.names
+        old = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        new = [tuple(r[n] for n in names) for r in rows]
+        for row in old:
+            yield Row(*names, "_new")(*row, False)
+        for row in new:
+            yield Row(*names, "_new")(*row, True)
+        newest = max(r[self.at] for r in [*old, *new])
+        self.rows.put([r for r in [*old, *new] if r[self.at] >= newest - self.reach])
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        due = max((newest + self.forget) * 1000, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(due)
+        self.due.update((due,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.due.exists() and self.due.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.rows.clear()
+            self.due.clear()
+        return iter(())
 
 
 def stream_features(ticks: DataFrame, compute: Callable[[DataFrame], DataFrame], dst: str,
-                    checkpoint: str, *, time: str = "t", series: str = "series_key", scale: int = 1,
+                    checkpoint: str, *, time: str = "t", keys: Sequence[str] = ("series_key",), scale: int = 1,
                     window_len: int = 300, forget: int = 86400, available_now: bool = True) -> StreamingQuery:
     """Append ``compute`` output for every new tick to ``dst`` (one folder per batch).
 
     The look-back is the spot memory plus the as-of age, which is all any feature frame can
-    reach, counted back from the newest tick of the same series, so a series that trails the others
-    keeps its own; one window length is allowed for ticks that arrive late. A series whose newest
-    tick is ``forget`` (times scale) behind the newest of all is over, and its look-back goes. It is kept
-    per batch id: re-running a batch after a failure reads the same look-back and overwrites the
-    same folders, so the result does not change. Older ones are removed.
+    reach; one window length is allowed for ticks that arrive late. It is keyed state: a batch reads and writes the
+    rows of the keys it has, nothing else. ``keys`` are those ``compute`` partitions by, or fewer.
+
+    A key whose newest tick is ``forget`` (times scale, seconds, not less than the look-back) behind the watermark is
+    removed by a timer. The watermark trails the newest tick of all by as much, and ticks behind it are dropped and counted as
+    late. So what a tick can reach is always there: a tick that comes in time after its key was removed is too far from
+    the removed rows to reach them. Running a batch again overwrites its folder with the same rows.
     """
     reach = (SPOT_MEMORY + MAX_AGE) * scale + window_len
-    history = f"{checkpoint}/history"
+    trail = max(forget * scale, reach)
+    schema = T.StructType([*ticks.schema.fields])
+    out_schema = T.StructType([*schema.fields, T.StructField("_new", T.BooleanType())])
+    marked = ticks.withColumn("_at", F.timestamp_seconds(time)).withWatermark("_at", f"{trail} seconds")
+    both = marked.groupBy(*keys).transformWithState(
+        statefulProcessor=Ring(schema, time, reach, trail), outputStructType=out_schema, outputMode="Append", timeMode="EventTime")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = _previous(spark, f"{history}/batch={batch_id - 1}", batch)
-        both = (old.withColumn("_new", F.lit(False))
-                .unionByName(batch.withColumn("_new", F.lit(True))).persist())
-        try:
-            out = compute(both).filter("_new").drop("_new")
-            out.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
-            newest = both.groupBy(series).agg(F.max(time).alias("_newest"))
-            last = newest.agg(F.max("_newest")).first()[0]
-            alive = newest if last is None else newest.filter(F.col("_newest") >= last - reach - forget * scale)
-            kept = both.join(alive, series).filter(F.col(time) >= F.col("_newest") - reach)
-            kept.select(*batch.columns).write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
-            remove_folder(spark, f"{history}/batch={batch_id - 2}")
-        finally:
-            both.unpersist()
-
-    writer = ticks.writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/log")
+        compute(batch).filter("_new").drop("_new").write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
+
+    writer = both.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
