@@ -283,7 +283,8 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     return o.select(
-        k.alias("intent_id"), (k % 60).cast("double").alias("n_dime"),
+        k.alias("intent_id"), (seconds(F.col("o_orderdate")) - seconds(F.col("o_orderdate")) % DAY).alias("day_start"),
+        (k % 60).cast("double").alias("n_dime"),
         ((k % 60).cast("double") / 10).alias("notional"), (k % 29 == 0).alias("kill_switch"),
         (k % 13 == 0).alias("same_window_open"), (k % 20).cast("double").alias("invested_today"),
         (k % 23 - 12).cast("double").alias("realized_today"), (k % 2 == 0).alias("live"),

@@ -155,7 +155,8 @@ from events
 VIEWS["v_twap"] = "select line_id, pair, t, price from v_twap_msg where not pong and not broken"
 
 VIEWS["v_intents"] = """
-select o_orderkey as intent_id, (o_orderkey % 60)::double / 10 as notional, o_orderkey % 29 = 0 as kill_switch,
+select o_orderkey as intent_id, cast(floor(epoch(o_orderdate)) as bigint) - cast(floor(epoch(o_orderdate)) as bigint) % 86400 as day_start,
+  (o_orderkey % 60)::double / 10 as notional, o_orderkey % 29 = 0 as kill_switch,
   o_orderkey % 13 = 0 as same_window_open, (o_orderkey % 20)::double as invested_today,
   (o_orderkey % 23 - 12)::double as realized_today, o_orderkey % 2 = 0 as live,
   case when o_orderkey % 8 = 0 then null else (o_orderkey % 9)::double end as balance
@@ -184,6 +185,8 @@ def with_views(sql: str) -> str:
     parts = [f"{name} as ({VIEWS[name].strip()})" for name in VIEWS if name in needed]
     if not parts:
         return body
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(parts) + ",\n" + body[15:]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + body[5:]
     return "with " + ",\n".join(parts) + "\n" + body

@@ -8,7 +8,7 @@ from testbed import fixtures as fx
 from testbed.fixtures import big, r6
 from testbed.registry import register
 from tickloom.functions import book, decision, markets, numeric, score
-from tickloom.operators import studies, triggers
+from tickloom.operators import ledger, studies, triggers
 from tickloom.params import parameter_set
 from tickloom.sources import metadata
 
@@ -319,6 +319,42 @@ def p20(spark, sf):
     return fx.intents(spark, sf).select("intent_id", v.alias("verdict"))
 
 
+# no sum of cents meets this limit, so rounding decides nothing
+DAY_LIMITS = {**decision.GATE_LIMITS, "max_daily_notional": 40.003}
+
+
+@register("P20_order_gate_in_day", """
+with recursive ex as (
+  select ws as day_start, round(sum(cost_c / 100), 6) as invested,
+    round(coalesce(sum(case when status = 'closed' then (filled_size - 20)::double end), 0) + coalesce(sum(case when status = 'settled' then -fee_c / 100 end), 0), 6) as realized
+  from v_positions group by ws),
+i as (
+  select v.intent_id, v.day_start, v.notional, kill_switch, same_window_open, live, balance, coalesce(ex.invested, 0) as base, coalesce(ex.realized, 0) as done,
+    row_number() over (partition by v.day_start order by intent_id) as rn
+  from v_intents v left join ex on ex.day_start = v.day_start),
+j as (select *, not (kill_switch or notional > 5 or same_window_open or done <= -10 or (live and balance is null) or (live and balance < notional + 1)) as ok from i),
+r as (select day_start, rn, base as held from j where rn = 1 union all
+  select j.day_start, j.rn, r.held + case when p.ok and r.held + p.notional <= 40.003 then p.notional else 0 end
+  from r join j p on p.day_start = r.day_start and p.rn = r.rn join j on j.day_start = r.day_start and j.rn = r.rn + 1)
+select intent_id, round(held, 6) as invested_today, case when kill_switch then 'KILL_SWITCH' when notional > 5 then 'MAX_NOTIONAL'
+  when same_window_open then 'DUP_WINDOW' when held + notional > 40.003 then 'DAILY_CAP'
+  when done <= -10 then 'CIRCUIT_BREAK' when live and balance is null then 'BALANCE_UNKNOWN'
+  when live and balance < notional + 1 then 'BALANCE_LOW' else 'PASS' end as verdict
+from j join r using (day_start, rn)
+""")
+def p20_day(spark, sf):
+    """The gate with the day's exposure and what it has let pass earlier that day."""
+    positions = fx.positions(spark, sf).select(
+        F.col("ws").alias("window_start"), (F.col("cost_c") / 100).alias("entry_cost"),
+        F.when(F.col("status") == "closed", (F.col("filled_size") - 20).cast("double")).alias("realized_pnl"),
+        F.when(F.col("status") == "settled", -F.col("fee_c") / 100).alias("settle_pnl"))
+    exposure = ledger.daily_exposure(positions).withColumns({"invested": r6("invested"), "realized": r6("realized")})
+    intents = fx.intents(spark, sf).drop("invested_today", "realized_today")
+    seen = ledger.order_intents_with_exposure(intents, exposure, seq="intent_id", limits=DAY_LIMITS)
+    v = decision.order_gate_verdict(F.col("notional"), F.col, DAY_LIMITS)
+    return seen.select("intent_id", r6("invested_today").alias("invested_today"), v.alias("verdict"))
+
+
 @register("P22_rule_predicates", """
 select series_key, ws, c >= o as r_close, (h + l + c) / 3 >= o as r_typ, (o + h + l + c) / 4 >= o as r_ohlc,
   round(abs(c - o) / o, 6) + 0.0::double as flatness from v_candles

@@ -181,10 +181,12 @@ select series_key, t, round(spot, 6) as spot, null::double as cand_ask from v_cl
 union all select series_key, t, null::double, round(cand_ask, 6) from v_clean where event_id % 2 = 1
 """)
 def s12(spark, sf):
-    c = fx.clean(spark, sf)
+    """Written by series and read back."""
+    c, folder = fx.clean(spark, sf), fresh_folder(spark, "features")
     a = c.filter("event_id % 2 = 0").select("series_key", "t", r6("spot").alias("spot"))
     b = c.filter("event_id % 2 = 1").select("series_key", "t", r6("cand_ask").alias("cand_ask"))
-    return tables.union_feature_sets([a, b])
+    tables.write_feature_table([a, b], folder, ["series_key"])
+    return spark.read.schema("t bigint, spot double, cand_ask double, series_key string").parquet(folder)
 
 
 SPLIT_SQL = """
@@ -192,16 +194,22 @@ pos as (select *, row_number() over (partition by series_key order by ws) as pos
 sp as (select *, case when position <= cast(floor(n_windows * 0.7::double) as bigint) then 'train' else 'val' end as split from pos)"""
 
 
+REPORTED = ("click", "error", "purchase", "signup", "view")
+
+
 @register("S13_write_grid_report", f"with {REPLAY_SQL}, {SPLIT_SQL} select 'base' as param_id, " + ", ".join(
     f"count(case when series_key = '{s}' and split = '{x}' and size > 0 then 1 end) as {s}_{y}_n, "
     f"coalesce(round(avg(case when series_key = '{s}' and split = '{x}' and size > 0 then pnl end), 6) + 0.0::double, 0.0::double) as {s}_{y}_pnl_per"
-    for s in ("click", "view") for x, y in (("train", "tr"), ("val", "va"))) + " from sp")
+    for s in REPORTED for x, y in (("train", "tr"), ("val", "va"))) + " from sp")
 def s13(spark, sf):
-    split = studies.position_split(replayed(spark, sf), ["series_key"], "ws", DAY)
-    rep = tables.grid_report(split, ["click", "view"], metrics=("n", "pnl_per"))
-    cols = [f"{s}_{x}" for s in ("click", "view") for x in ("tr", "va")]
-    return rep.select("param_id", *[f"{c}_n" for c in cols],
-                      *[r6(f"{c}_pnl_per").alias(f"{c}_pnl_per") for c in cols])
+    """The report of every series as it stands in the written file."""
+    split = stage(studies.position_split(replayed(spark, sf), ["series_key"], "ws", DAY))
+    every = [r.series_key for r in split.select("series_key").distinct().orderBy("series_key").collect()]
+    rep, folder = tables.grid_report(split, every, metrics=("n", "pnl_per")), fresh_folder(spark, "report")
+    columns = [f"{s}_{x}" for s in REPORTED for x in ("tr", "va")]
+    rep = rep.select("param_id", *[f"{c}_n" for c in columns], *[r6(f"{c}_pnl_per").alias(f"{c}_pnl_per") for c in columns])
+    tables.write_grid_report(rep, folder)
+    return spark.read.schema(rep.schema).option("header", True).csv(folder)
 
 
 @register("S14_load_judgments", """

@@ -118,6 +118,16 @@ def test_staleness(spark, rows, tmp_path):
         ("b", 3, "fresh"), ("b", 13, "stale"), ("b", 41, "fresh"), ("b", 51, "stale"), ("b", 100, "fresh")]
 
 
+def test_late_rows_are_counted(spark, rows, tmp_path):
+    stamp = lambda data: rows(data, "key string, t bigint").select("key", F.timestamp_seconds("t").alias("ts"))
+    parts = [stamp([("b", 100_000)]), stamp([("b", 100_001)]), stamp([("a", 10), ("a", 20), ("b", 100_002)])]
+    query = (state.stream_staleness(_feed(spark, tmp_path, parts), 10, delay="5 seconds").writeStream.format("parquet")
+             .option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert state.late_rows(query.recentProgress) == 2
+    assert {r.key for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {"b"}
+
+
 def test_a_trailing_key_is_not_late_by_default(spark, rows, tmp_path):
     fast = rows([("b", t) for t in range(1000, 2000, 5)], "key string, t bigint")
     slow = rows([("a", t) for t in range(1000, 1400, 5)], "key string, t bigint")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.decision import GATE_LIMITS, order_gate_verdict
+
 GRACE_SECONDS = 360
 WINDOW_SECONDS = 300
 
@@ -90,10 +92,33 @@ def latest_state(changes: DataFrame, keys: Sequence[str], seq: str, columns: Seq
     return changes.groupBy(*keys).agg(*picks)
 
 
-def order_intents_with_exposure(intents: DataFrame, exposure: DataFrame, day: str = "day_start"
-                                ) -> DataFrame:
-    """Attach the day's invested and realised sums to intents (zero when the day is empty)."""
+def order_intents_with_exposure(intents: DataFrame, exposure: DataFrame, day: str = "day_start", *,
+                                seq: str | None = None, limits: Mapping[str, float] = GATE_LIMITS) -> DataFrame:
+    """Attach the day's invested and realised sums to intents (zero when the day is empty).
+
+    With ``seq``, the order of intents within a day, an intent also sees what the gate has let pass before it that day. That
+    depends on the verdicts one after the other, so a day is one fold over its intents in order (a number and a flag
+    each); what comes out of it are the passed ones, which the daily limit keeps few.
+    """
     zero = F.lit(0.0)
-    return intents.join(exposure, day, "left").withColumns({
+    out = intents.join(exposure, day, "left").withColumns({
         "invested_today": F.coalesce("invested", zero), "realized_today": F.coalesce("realized", zero),
     }).drop("invested", "realized")
+    if seq is None:
+        return out
+    # an intent that fails for another reason does not count, whatever has been invested
+    open_day = {**limits, "max_daily_notional": float("inf")}
+    allowed = order_gate_verdict(F.col("notional"), F.col, open_day) == "PASS"
+    rows = out.select(day, "invested_today", F.struct(F.col(seq).alias("seq"), F.col("notional").alias("x"), allowed.alias("ok")).alias("_i"))
+    days = rows.groupBy(day).agg(F.max("invested_today").alias("_base"), F.array_sort(F.collect_list("_i")).alias("_all"))
+    start = F.struct(F.col("_base").alias("sum"), F.expr("filter(_all, x -> false)").alias("passed"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = F.coalesce(x["ok"] & (acc["sum"] + x["x"] <= F.lit(float(limits["max_daily_notional"]))), F.lit(False))
+        return F.struct(F.when(fits, acc["sum"] + x["x"]).otherwise(acc["sum"]).alias("sum"),
+                        F.when(fits, F.concat(acc["passed"], F.array(x))).otherwise(acc["passed"]).alias("passed"))
+
+    passed = days.select(day, F.aggregate("_all", start, step)["passed"].alias("_passed"))
+    before = F.aggregate(F.filter("_passed", lambda x: x["seq"] < F.col(seq)), zero, lambda acc, x: acc + x["x"])
+    return out.join(passed, day, "left").withColumn(
+        "invested_today", F.col("invested_today") + F.coalesce(before, zero)).drop("_passed")
