@@ -1,133 +1,195 @@
-"""Entry, exit and settlement on synthetic ticks."""
+"""Entry, exit and settlement against the rule walked in plain Python, on generated books."""
+
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import numeric
 from tickloom.operators import features, triggers
-from tickloom.params import parameter_grid, parameter_set
+from tickloom.params import BY_SERIES, parameter_grid, parameter_set
 from tickloom.plans import backtest
 
-T0 = 1_800_000_000
-W = ["series_key", "ws"]
-BASE = dict(bu=.27, au=.28, bd=.72, ad=.73, su=500., sd=500., sau=461., sad=461.)
-P = dict(entry_after=70, entry_until=135, take_profit_price=.65, min_entry=.15, max_entry=.30)
+START = 612_000
+W = ["coin", "ws"]
+RULES = dict(entry_after=37, entry_until=118, take_profit_price=.58, min_entry=.12, max_entry=.36)
+COLUMNS = ("bu", "au", "bd", "ad", "su", "sd", "sau", "sad")
+SCHEMA = "coin string, ws bigint, t bigint, elapsed int, " + ", ".join(f"{c} double" for c in COLUMNS)
 
 
-def _ticks(rows, overrides, n=300, key="k"):
-    data = []
+def _market(seed, n=150):
+    """A wandering two-sided book by an own rule: both sides near each other's complement, some levels and sizes missing."""
+    rnd = random.Random(seed)
+    price, out = rnd.randint(18, 45), []
     for off in range(n):
-        x = {**BASE, **overrides(off)}
-        data.append((key, T0, T0 + off, off, x["bu"], x["au"], x["bd"], x["ad"], x["su"], x["sd"], x["sau"], x["sad"]))
-    return rows(data, "series_key string, ws bigint, t bigint, elapsed int, bu double, au double, bd double, "
-                      "ad double, su double, sd double, sau double, sad double")
-
-
-def _windows(rows, outcome="Down"):
-    return rows([("k", T0, outcome)], "series_key string, ws bigint, outcome string")
-
-
-def _run(rows, overrides=lambda off: {}, outcome="Down", **params):
-    return backtest.run_backtest(_ticks(rows, overrides), _windows(rows, outcome), {**P, **params}).first()
+        price = min(70, max(6, price + rnd.choice([-3, -1, 0, 0, 1, 3])))
+        up, down = price / 100, (101 - price) / 100
+        row = {"au": up, "bu": round(up - .01 * rnd.randint(1, 2), 2), "ad": down, "bd": round(down - .02, 2),
+               **{c: float(rnd.randint(0, 26)) for c in ("su", "sd", "sau", "sad")}}
+        if rnd.random() < .04:
+            row[rnd.choice(["au", "bu", "ad", "bd"])] = rnd.choice([None, float("nan"), 0.0])
+        out.append((off, row))
+    return out
+
+
+def _still(offs=range(150), **changes):
+    """One quote for all seconds: 0.22/0.24 against 0.74/0.77; changes: name=(seconds, value)."""
+    rows = []
+    for off in offs:
+        row = dict(bu=.22, au=.24, bd=.74, ad=.77, su=90., sd=80., sau=70., sad=60.)
+        row |= {c: value for c, (seconds, value) in changes.items() if off in seconds}
+        rows.append((off, row))
+    return rows
+
+
+def _walk(market, outcome, p):
+    """The rule, second by second: (kind, size, entry second, exit second, result)."""
+    def level(x):
+        return None if x is None or x != x or x <= 0 else x
+
+    entry = None
+    for off, raw in market:
+        q = {c: level(raw[c]) for c in ("au", "bu", "ad", "bd")}
+        if entry is None:
+            up = q["ad"] is None or (q["au"] is not None and q["au"] <= q["ad"])
+            ask, favourite = (q["au"], q["bd"]) if up else (q["ad"], q["bu"])
+            if not p["entry_after"] <= off <= p["entry_until"] or ask is None or not p["min_entry"] < ask < p["max_entry"]:
+                continue
+            held, bid_held = (raw["sau"], raw["sd"]) if up else (raw["sad"], raw["su"])
+            if p.get("min_depth_ratio") is not None:
+                known = held > 0 and favourite is not None and bid_held > 0
+                if not known or round(ask * held / (favourite * bid_held), 10) < p["min_depth_ratio"]:
+                    continue
+            size = max(math.ceil(round(200 / round(ask * 100), 9)), 5)
+            if held < size:
+                return "NO_ENTRY_DEPTH", 0, None, None, 0.0
+            entry = off, ask, size, up
+            continue
+        start, ask, size, up = entry
+        bid, depth = (q["bu"], raw["su"]) if up else (q["bd"], raw["sd"])
+        target = min(ask * p["take_profit_multiple"], .99) if p.get("take_profit_multiple") else p["take_profit_price"]
+        if bid is None or depth < size:
+            continue
+        kind = "TAKE_PROFIT" if bid >= round(target, 10) else "STOP_LOSS" if p.get("stop_loss_price", 0) and bid <= p["stop_loss_price"] else None
+        if kind:
+            fees = .07 * size * (ask * (1 - ask) + bid * (1 - bid))
+            return kind, size, start, off, size * (bid - ask) - fees
+    if entry is None:
+        return "NO_ENTRY", 0, None, None, 0.0
+    start, ask, size, up = entry
+    won = outcome == ("Up" if up else "Down")
+    return "SETTLE_WIN" if won else "SETTLE_LOSE", size, start, None, size * (won - ask) - .07 * size * ask * (1 - ask)
+
+
+def _frame(rows, markets):
+    data = [(coin, START, START + off, off, *[row[c] for c in COLUMNS]) for coin, market in markets.items() for off, row in market]
+    return rows(data, SCHEMA)
+
+
+def _windows(rows, outcomes):
+    return rows([(coin, START, o) for coin, o in outcomes.items()], "coin string, ws bigint, outcome string")
+
+
+def _replayed(rows, markets, outcomes, sets):
+    ticks = features.clean_ticks(_frame(rows, markets)).withColumn("rng", F.lit(0.0))
+    out = triggers.replay(ticks, _windows(rows, outcomes), {k: parameter_set(**v) for k, v in sets.items()}, W).collect()
+    since = lambda t: None if t is None else t - START
+    return {(r.coin, r.param_id): (r.exit_kind, r.size, since(r.entry_t), since(r.exit_t), float(r.pnl)) for r in out}
+
+
+def test_replay_follows_the_rule_second_by_second(rows):
+    markets = {f"m{i}": _market(i) for i in range(24)}
+    outcomes = {c: "Up" if i % 3 else "Down" for i, c in enumerate(markets)}
+    sets = {"plain": RULES, "stop": {**RULES, "stop_loss_price": .11}, "multiple": {**RULES, "take_profit_multiple": 1.4},
+            "deep": {**RULES, "min_depth_ratio": .5}, "late": {**RULES, "entry_after": 90, "entry_until": 140, "max_entry": .45}}
+    got = _replayed(rows, markets, outcomes, sets)
+    kinds = set()
+    for (coin, name), result in got.items():
+        want = _walk(markets[coin], outcomes[coin], sets[name])
+        assert result[:4] == want[:4] and result[4] == pytest.approx(want[4], abs=1e-8), (coin, name)
+        kinds.add(want[0])
+    assert len(got) == len(markets) * len(sets) and kinds == {
+        "NO_ENTRY", "NO_ENTRY_DEPTH", "TAKE_PROFIT", "STOP_LOSS", "SETTLE_WIN", "SETTLE_LOSE"}
+
+
+@pytest.mark.parametrize("changes, rules, want", [
+    ({}, {}, ("SETTLE_LOSE", 9, 37, None)),
+    ({"bu": ([37, 64], .61)}, {}, ("TAKE_PROFIT", 9, 37, 64)),  # not on the entry second itself
+    ({"bu": ([64], .61), "su": ([64], 8.)}, {}, ("SETTLE_LOSE", 9, 37, None)),  # nobody takes nine shares
+    ({"bu": ([52], .07)}, {"stop_loss_price": .09}, ("STOP_LOSS", 9, 37, 52)),
+    ({"bu": ([52], .07)}, {"stop_loss_price": 0.0}, ("SETTLE_LOSE", 9, 37, None)),  # zero is off
+    ({"bu": ([52], .60)}, {"stop_loss_price": .66}, ("STOP_LOSS", 9, 37, 38)),  # a stop above the market
+    ({"bu": ([38], .60)}, {"stop_loss_price": .66}, ("TAKE_PROFIT", 9, 37, 38)),  # both: the target wins
+    ({"bu": ([70], .97)}, {"take_profit_multiple": 4.4}, ("SETTLE_LOSE", 9, 37, None)),  # capped at 0.99
+    ({"sau": ([37], 8.)}, {}, ("NO_ENTRY_DEPTH", 0, None, None)),
+    ({"au": (range(0, 81), .47)}, {}, ("SETTLE_LOSE", 9, 81, None)),
+    ({"au": (range(150), .36)}, {}, ("NO_ENTRY", 0, None, None)),  # the band is open
+    ({"sd": (range(150), 0.)}, {"min_depth_ratio": .1}, ("NO_ENTRY", 0, None, None)),
+    ({"au": (range(0, 55), float("nan")), "ad": (range(0, 55), None)}, {}, ("SETTLE_LOSE", 9, 55, None))])
+def test_cases_of_the_rule(rows, changes, rules, want):
+    market, p = _still(**changes), {**RULES, **rules}
+    assert _walk(market, "Down", p)[:4] == want
+    assert _replayed(rows, {"m": market}, {"m": "Down"}, {"p": p})["m", "p"][:4] == want
+
+
+def test_per_series_values_go_by_the_window_column(rows):
+    markets = {"m": _still(), "n": _still()}
+    sets = {"p": {**RULES, BY_SERIES: {"n": {"entry_after": 61}}}}
+    ticks = features.clean_ticks(_frame(rows, markets)).withColumn("rng", F.lit(0.0))
+    windows = _windows(rows, {"m": "Up", "n": "Up"})
+    full = {"p": parameter_set(**sets["p"])}
+    by_replay = {r.coin: r.entry_t - START for r in triggers.replay(ticks, windows, full, W).collect()}
+    by_entry = {r.coin: r.entry_t - START for r in triggers.first_trigger_entry(ticks, full, W).collect()}
+    assert by_replay == by_entry == {"m": 37, "n": 61}
+    assert triggers.entry_decisions(ticks, full, series="coin").filter("gated_action = 'ENTER'").groupBy("coin").count().count() == 2
+
+
+def test_backtest_skips_undecided_windows_and_needs_a_score(rows):
+    ticks = _frame(rows, {"m": _still()}).withColumnRenamed("coin", "series_key")
+    windows = lambda outcome: rows([("m", START, outcome)], "series_key string, ws bigint, outcome string")
+    assert backtest.run_backtest(ticks, windows(None), RULES).count() == 0
+    assert backtest.run_backtest(ticks, windows("Up"), RULES).first().exit_kind == "SETTLE_WIN"
+    assert backtest.run_backtest(ticks, windows("Up"), {**RULES, "min_reversal_score": 1}).first().exit_kind == "NO_ENTRY", "no score without bars"
 
 
 def test_fee_and_size(spark):
     r = spark.range(1).select(
-        numeric.taker_fee(F.lit(100), F.lit(0.5)).alias("a"), numeric.taker_fee(F.lit(10), F.lit(0.28)).alias("b"),
-        numeric.taker_fee(F.lit(0), F.lit(0.28)).alias("c"),
-        numeric.order_size(F.lit(0.28), F.lit(2.0), F.lit(5)).alias("n"),
-        numeric.order_size(F.lit(0.9), F.lit(2.0), F.lit(5)).alias("m")).first()
-    assert (float(r.a), float(r.b), float(r.c), r.n, r.m) == (1.75, 0.14112, 0.0, 8, 5)
-
-
-def test_settle_lose_and_win(rows):
-    fee = 8 * .07 * .28 * .72
-    r = _run(rows)
-    assert (r.exit_kind, r.size, r.entry_t) == ("SETTLE_LOSE", 8, T0 + 70)
-    assert float(r.pnl) == pytest.approx(-(8 * .28 + fee))
-    r = _run(rows, outcome="Up")
-    assert r.exit_kind == "SETTLE_WIN" and float(r.pnl) == pytest.approx(8 - 8 * .28 - fee)
-
-
-def test_take_profit_after_entry_only_and_needs_depth(rows):
-    r = _run(rows, lambda off: {"bu": .70} if off in (70, 100) else {})
-    assert r.exit_kind == "TAKE_PROFIT" and r.exit_t == T0 + 100
-    r = _run(rows, lambda off: {"bu": .70, "su": 3.} if off == 100 else {})
-    assert r.exit_kind == "SETTLE_LOSE"
-
-
-def test_take_profit_beats_stop_and_stop_fires(rows):
-    r = _run(rows, lambda off: {"bu": .05} if off == 90 else {}, stop_loss_price=.10)
-    assert r.exit_kind == "STOP_LOSS" and r.exit_t == T0 + 90
-    r = _run(rows, lambda off: {"bu": .05} if off == 90 else {})
-    assert r.exit_kind == "SETTLE_LOSE", "a zero threshold is off"
-    r = _run(rows, lambda off: {"bu": .70} if off == 90 else {}, stop_loss_price=.80)
-    assert r.exit_kind == "STOP_LOSS" and r.exit_t == T0 + 71
-    r = _run(rows, lambda off: {"bu": .70} if off == 71 else {}, stop_loss_price=.80)
-    assert r.exit_kind == "TAKE_PROFIT"
-
-
-def test_relative_target_is_capped(rows):
-    r = _run(rows, lambda off: {"bu": .56} if off == 90 else {}, take_profit_multiple=2.0, take_profit_price=.9)
-    assert r.exit_kind == "TAKE_PROFIT"
-    r = _run(rows, lambda off: {"bu": .98} if off == 90 else {"bu": .2}, take_profit_multiple=5.0)
-    assert r.exit_kind == "SETTLE_LOSE"
+        numeric.taker_fee(F.lit(40), F.lit(0.25)).alias("a"), numeric.taker_fee(F.lit(0), F.lit(0.31)).alias("b"),
+        numeric.order_size(F.lit(0.24), F.lit(2.0), F.lit(5)).alias("n"),
+        numeric.order_size(F.lit(0.62), F.lit(2.0), F.lit(5)).alias("m")).first()
+    assert (float(r.a), float(r.b), r.n, r.m) == (40 * .07 * .25 * .75, 0.0, 9, 5)
 
 
-def test_shallow_ask_ends_the_window(rows):
-    r = _run(rows, lambda off: {"sau": 3.} if off == 70 else {})
-    assert (r.exit_kind, r.size, float(r.pnl), list(r.reasons)) == ("NO_ENTRY_DEPTH", 0, 0.0, ["depth 3<8"])
-
-
-def test_out_of_band_then_back(rows):
-    r = _run(rows, lambda off: {"au": .40} if off < 100 else {})
-    assert r.entry_t == T0 + 100
-    assert _run(rows, lambda off: {"au": .30}).exit_kind == "NO_ENTRY", "the band is open"
-
-
-def test_depth_gate_fails_closed(rows):
-    assert _run(rows, min_depth_ratio=.27).exit_kind == "SETTLE_LOSE"
-    assert _run(rows, min_depth_ratio=.50).exit_kind == "NO_ENTRY"
-    assert _run(rows, lambda off: {"sd": 0.}, min_depth_ratio=.27).exit_kind == "NO_ENTRY"
-    assert _run(rows, min_reversal_score=1).exit_kind == "NO_ENTRY", "no score without bars"
-
-
-def test_missing_levels_are_not_prices(rows):
-    r = _run(rows, lambda off: {"au": float("nan"), "bu": 0.} if off < 90 else {})
-    assert r.entry_t == T0 + 90
-
-
-def test_undecided_windows_are_skipped(rows):
-    out = backtest.run_backtest(_ticks(rows, lambda off: {}), _windows(rows, None), P)
-    assert out.count() == 0
-
-
-def test_replay_equals_the_relational_operators(rows):
+@pytest.mark.parametrize("batch", [512, 5])
+def test_replay_equals_the_relational_operators(rows, monkeypatch, batch):
     """The folded replay and the separate operators agree for every parameter set."""
-    def wobble(off):
-        return {"au": round(.16 + .02 * ((off * 7) % 9), 2), "bu": round(.10 + .09 * ((off * 5) % 10), 2),
-                "sau": float((off * 3) % 14), "su": float((off * 11) % 17)}
-    ticks = features.clean_ticks(_ticks(rows, wobble)).withColumn("rng", F.lit(0.0))
-    sets = parameter_grid({"take_profit_price": [.5, .8, .95], "stop_loss_price": [0.0, .15],
-                           "min_depth_ratio": [None, .01], "max_entry": [.2, .3]}, entry_after=10, entry_until=200)
-    windows = _windows(rows, "Up")
+    from tickloom import params
+
+    monkeypatch.setattr(params, "PARAM_BATCH", batch)
+    markets = {f"m{i}": _market(100 + i) for i in range(4)}
+    ticks = features.clean_ticks(_frame(rows, markets)).withColumn("rng", F.lit(0.0))
+    sets = parameter_grid({"take_profit_price": [.3, .45, .9], "stop_loss_price": [0.0, .14],
+                           "min_depth_ratio": [None, .02], "max_entry": [.25, .4]}, entry_after=12, entry_until=130)
+    windows = _windows(rows, {c: "Up" for c in markets})
     entries = triggers.first_trigger_entry(ticks, sets, W)
     exits = triggers.first_trigger_exit(entries, ticks, W)
-    a = triggers.pair_and_settle(windows, entries, exits, W, sets).orderBy("param_id").collect()
-    b = triggers.replay(ticks, windows, sets, W).orderBy("param_id").collect()
+    order = ["coin", "param_id"]
+    a = triggers.pair_and_settle(windows, entries, exits, W, sets).orderBy(*order).collect()
+    b = triggers.replay(ticks, windows, sets, W).orderBy(*order).collect()
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
     assert len({r.exit_kind for r in a}) >= 3
 
 
 def test_capture_window_and_entry_flag(rows):
-    live = features.clean_ticks(_ticks(rows, lambda off: {})).withColumns(
-        {"rng": F.lit(0.0), "outcome": F.lit("Down")})
-    e = triggers.first_trigger_entry(live, {"base": parameter_set(**P)}, W)
+    live = features.clean_ticks(_frame(rows, {"m": _still(range(30, 150))})).withColumns({"rng": F.lit(0.0), "outcome": F.lit("Down")})
+    e = triggers.first_trigger_entry(live, {"base": parameter_set(**RULES)}, W)
     x = triggers.first_trigger_exit(e, live, W)
-    stops = triggers.stop_times(e, x, _windows(rows), W)
-    got = triggers.capture_rows(live, stops, W, entry_after=70, entry_until=135).orderBy("t").collect()
-    assert len(got) == 126 and got[0].t == T0 + 40 and got[-1].t == T0 + 165
-    assert [r.entered for r in got if r.t in (T0 + 69, T0 + 70)] == [False, True]
+    stops = triggers.stop_times(e, x, _windows(rows, {"m": "Down"}), W)
+    got = triggers.capture_rows(live, stops, W, entry_after=RULES["entry_after"], entry_until=RULES["entry_until"]).orderBy("t").collect()
+    # 30 seconds before the first entry second to 30 after the last
+    assert [r.elapsed for r in got] == [s for s in range(30, 150) if 7 <= s <= 148]
+    assert [r.elapsed for r in got if r.entered] == list(range(37, 149))
 
 
 def test_parameter_names_are_checked():

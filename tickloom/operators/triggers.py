@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import book, decision
 from tickloom.functions.numeric import notional, order_size, taker_fee
 from tickloom.params import BY_SERIES, envelope, param_batches, param_structs
+from tickloom.plans.staging import stage
 
 ENTRY_FIELDS = ("entry_t", "entry_ask", "cand", "ask_size", "size")
 
@@ -43,14 +44,14 @@ def param_cross(df: DataFrame, param_sets: Mapping[str, Mapping], series: str =
 
 def entry_decisions(ticks: DataFrame, param_sets: Mapping[str, Mapping], *,
                     elapsed: str = "elapsed", rng: str = "rng", score: str | None = None,
-                    depth: str | None = None, time_scale: int = 1) -> DataFrame:
-    """Base and gated verdict for each tick and parameter set."""
+                    depth: str | None = None, time_scale: int = 1, series: str = "series_key") -> DataFrame:
+    """Base and gated verdict for each tick and parameter set; ``series`` holds the keys of per-series values."""
     seconds = F.col(elapsed) / time_scale
     base = decision.classify_entry(seconds, F.col("cand_ask"), F.col(rng), _p)
     gated = decision.apply_gates(
         F.col("action"), F.col(score) if score else F.lit(None).cast("int"),
         F.col(depth) if depth else F.lit(None).cast("double"), _p)
-    return (param_cross(ticks, param_sets)
+    return (param_cross(ticks, param_sets, series)
             .withColumn("action", base).withColumn("gated_action", gated))
 
 
@@ -63,10 +64,11 @@ def with_depth_ratio(ticks: DataFrame) -> DataFrame:
 def first_trigger_entry(ticks: DataFrame, param_sets: Mapping[str, Mapping],
                         window: Sequence[str], *, time: str = "t", elapsed: str = "elapsed",
                         rng: str = "rng", score: str | None = None,
-                        time_scale: int = 1) -> DataFrame:
+                        time_scale: int = 1, series: str | None = None) -> DataFrame:
     """First tick per (window, parameter set) whose gated verdict is ENTER.
 
-    ``depth_ok`` is false when the ask size is below the order size: that window ends there.
+    ``depth_ok`` is false when the ask size is below the order size: that window ends there. Per-series values go by
+    ``series``, the first window column unless told otherwise.
     """
     env = envelope(param_sets)
     ready = with_depth_ratio(ticks)
@@ -77,7 +79,7 @@ def first_trigger_entry(ticks: DataFrame, param_sets: Mapping[str, Mapping],
         & (F.col(rng) < env["max_vol"]))
     sizes = book.by_role(F.col("cand"), F.col("sau"), F.col("sad"))
     judged = entry_decisions(possible, param_sets, elapsed=elapsed, rng=rng, score=score,
-                             depth="depth_ratio", time_scale=time_scale)
+                             depth="depth_ratio", time_scale=time_scale, series=series or window[0])
     hit = F.struct(
         F.col(time).alias("entry_t"), F.col("cand_ask").alias("entry_ask"), F.col("cand"),
         sizes.alias("ask_size"),
@@ -171,7 +173,7 @@ def windows_with_ticks(windows: DataFrame, ticks: DataFrame, window: Sequence[st
 
 def replay(ticks: DataFrame, windows: DataFrame, param_sets: Mapping[str, Mapping],
            window: Sequence[str], *, time: str = "t", elapsed: str = "elapsed",
-           rng: str = "rng", score: str | None = None, time_scale: int = 1) -> DataFrame:
+           rng: str = "rng", score: str | None = None, time_scale: int = 1, series: str | None = None) -> DataFrame:
     """Entry, exit and settlement of every decided window under every parameter set.
 
     Same result as first_trigger_entry, first_trigger_exit and pair_and_settle, arranged for
@@ -179,7 +181,7 @@ def replay(ticks: DataFrame, windows: DataFrame, param_sets: Mapping[str, Mappin
     and each set is evaluated on that array, so neither the ticks nor their shuffle is repeated
     per set. The array is bounded by the window length because ``ticks`` (cleaned) must hold at
     most one row per second (see dedupe_ticks). ``rng`` is the volatility column, a zero
-    literal when there are no bars.
+    literal when there are no bars. Per-series values go by ``series``, the first window column unless told otherwise.
     """
     role = book.role_columns()
     tick = F.struct(
@@ -201,9 +203,10 @@ def replay(ticks: DataFrame, windows: DataFrame, param_sets: Mapping[str, Mappin
         base = decision.classify_entry(x["s"], x["cand_ask"], x["rng"], _p)
         return decision.apply_gates(base, x["score"], x["depth"], _p) == "ENTER"
 
-    entered = param_cross(
-        decided.join(folded, list(window)).withColumn("possible", possible), param_sets
-    ).withColumn("e", F.get(F.filter("possible", enters), F.lit(0)))
+    ready = decided.join(folded, list(window))
+    if len(param_batches(param_sets)) > 1:  # every batch reads the folded windows
+        ready = stage(ready)
+    entered = param_cross(ready.withColumn("possible", possible), param_sets, series or window[0]).withColumn("e", F.get(F.filter("possible", enters), F.lit(0)))
     entered = entered.withColumn("size", order_size(
         F.col("e.cand_ask"), _p("target_notional"), _p("min_size"))).withColumn(
         "depth_ok", F.col("e.ask_size") >= F.col("size"))

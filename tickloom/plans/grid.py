@@ -14,7 +14,7 @@ from tickloom.plans.staging import stage
 def param_sweep(ticks: DataFrame, windows: DataFrame, sets: Mapping[str, Mapping],
                 window: Sequence[str], *, series: str, **replay_args) -> DataFrame:
     """Summary per named override and series."""
-    results = triggers.replay(ticks, windows, sets, window, **replay_args)
+    results = triggers.replay(ticks, windows, sets, window, series=series, **replay_args)
     return studies.run_summary(results, ["param_id", series])
 
 
@@ -35,7 +35,7 @@ def param_grid_ranking(ticks: DataFrame, windows: DataFrame, sets: Mapping[str,
                        **replay_args) -> DataFrame:
     """Sets ranked by the validation mean result summed over series (rounded to 4 decimals)."""
     start = [c for c in window if c != series][0]
-    results, covered = _staged_replay(ticks, windows, sets, window, **replay_args)
+    results, covered = _staged_replay(ticks, windows, sets, window, series=series, **replay_args)
     split = split_results(results, series, start, window_len, covered)
     stats = studies.run_summary(split, ["param_id", series, "split"])
     val = F.col("split") == "val"
