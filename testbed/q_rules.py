@@ -10,7 +10,7 @@ from testbed.registry import register
 from tickloom.functions import book, decision, markets, numeric, score
 from tickloom.operators import ledger, studies, triggers
 from tickloom.params import parameter_set
-from tickloom.sources import metadata
+from tickloom.sources import event_log, metadata
 
 
 @register("P1_tradeable_filter", """
@@ -66,6 +66,20 @@ def p4(spark, sf):
                       big("spread").alias("spread"), r6("mid").alias("mid"))
 
 
+@register("P4_top_of_nested_book", """
+select line_id, max(case when side = 'bid' then price end) as best_bid, arg_max(case when side = 'bid' then size end, case when side = 'bid' then price end) as bid_size,
+  min(case when side = 'ask' then price end) as best_ask, arg_min(case when side = 'ask' then size end, case when side = 'ask' then price end) as ask_size
+from v_book where kind = 'book' group by 1
+""")
+def p4_nested(spark, sf):
+    """Best levels of the pushed books as they lie in a log line."""
+    log = event_log.decode_event_log(fx.event_log(spark, sf)).filter("kind = 'book'")
+    levels = lambda name: F.try_variant_get("record", f"$.event.{name}", "array<struct<price:double,size:double>>")
+    best = log.select("line_id", book.best_of_levels(levels("bids"), "bid").alias("b"), book.best_of_levels(levels("asks"), "ask").alias("a"))
+    return best.select("line_id", F.col("b.price").alias("best_bid"), F.col("b.size").alias("bid_size"),
+                       F.col("a.price").alias("best_ask"), F.col("a.size").alias("ask_size"))
+
+
 @register("P5_clean_level", """
 select l_orderkey, l_linenumber, l_partkey, case when p > 0 then round_even(p, 2) end as price,
   case when q > 0 then cast(floor(q) as bigint) else 0 end as size

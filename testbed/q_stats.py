@@ -356,9 +356,15 @@ def a13(spark, sf):
         F.count("*").alias("n"), F.min("ws").alias("first_ws"), F.max("ws").alias("last_ws"))
 
 
+def run_windows(spark, sf):
+    """The windows a replay decides, without replaying."""
+    ticks, windows = fx.clean(spark, sf), fx.windows(spark, sf).filter(F.col("outcome").isin("Up", "Down"))
+    return windows.select(*WINDOW).join(ticks.select(*WINDOW).distinct(), WINDOW, "left_semi")
+
+
 @register("A13_position_split", f"with {REPLAY_SQL}, {SPLIT_SQL} select series_key, split, count(*) as n, max(ws) as last_ws from sp group by 1, 2")
 def a13_position(spark, sf):
-    sp = studies.position_split(replayed(spark, sf), S, "ws", DAY)
+    sp = studies.position_split(replayed(spark, sf), S, "ws", DAY, windows=run_windows(spark, sf))
     return sp.groupBy("series_key", "split").agg(F.count("*").alias("n"), F.max("ws").alias("last_ws"))
 
 
@@ -545,7 +551,7 @@ rf as (select *, case when i // greatest(1, nw // 5) < 5 then i // greatest(1, n
 
 @register("A20_rolling_folds_run", f"with {REPLAY_SQL}, {RUN_FOLD_SQL} select series_key, fold, {SUMMARY_SELECT} from rf where fold is not null group by 1, 2")
 def a20_run(spark, sf):
-    rows = studies.run_folds(replayed(spark, sf), S, "ws", 5, DAY).filter("fold is not null")
+    rows = studies.run_folds(replayed(spark, sf), S, "ws", 5, DAY, run_windows(spark, sf)).filter("fold is not null")
     g = studies.run_summary(rows, ["series_key", "fold"])
     return g.select("series_key", "fold", "n", *[r6(c).alias(c) for c in SUMMARY_COLS])
 
@@ -559,7 +565,7 @@ select g.series_key, n, mean_pnl, se, coalesce(positive_folds, 0) as positive_fo
 from g left join pf using (series_key)
 """)
 def a21(spark, sf):
-    rows = studies.run_folds(replayed(spark, sf), S, "ws", 5, DAY)
+    rows = studies.run_folds(replayed(spark, sf), S, "ws", 5, DAY, run_windows(spark, sf))
     return studies.significance_verdict(rows, S)
 
 

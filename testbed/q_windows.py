@@ -10,6 +10,7 @@ from testbed.registry import register
 from tickloom.operators import execution, features, labels, rolling, studies, triggers
 from tickloom.operators.asof import asof, ordered
 from tickloom.params import parameter_set
+from tickloom.plans import study as study_plan
 
 MIN_SAMPLES = 8
 AGE = 5 * SCALE
@@ -239,8 +240,8 @@ TREND_COLS = ("ret_15 ret_30 ret_60 ret_90 ret_120 slope_15 slope_30 slope_60 ac
 COUNT_COLS = "new_high_count_15 new_low_count_15 new_high_count_30 new_low_count_30".split()
 
 
-def _rounded_sql(cols):
-    return ", ".join(f"round({c}, 6) + 0.0::double as {c}" for c in cols)
+def _rounded_sql(cols, of: str = ""):
+    return ", ".join(f"round({of}{c}, 6) + 0.0::double as {c}" for c in cols)
 
 
 @register("W11_trend_features", f"""
@@ -378,24 +379,6 @@ def _entries(spark, sf, sets=TP94):
     return live, triggers.first_trigger_entry(live, sets, WINDOW, time_scale=SCALE)
 
 
-@register("W15_capture_rows", f"""
-with {REPLAY_SQL}
-select k.series_key, k.ws, k.t, k.cand, round(k.cand_ask, 6) as cand_ask, coalesce(k.t >= r.entry_t, false) as entered,
-  round((k.su - k.sau) / (k.su + k.sau)::double, 6) + 0.0::double as obi_up
-from tk k join res r using (series_key, ws)
-where k.elapsed between 60 * 288 and 180 * 288 and k.cand_ask is not null and (r.stop_t is null or k.t <= r.stop_t)
-""")
-def w15(spark, sf):
-    live, entries = _entries(spark, sf)
-    exits = triggers.first_trigger_exit(entries, live, WINDOW)
-    decided = triggers.windows_with_ticks(fx.windows(spark, sf), live, WINDOW)
-    stops = triggers.stop_times(entries, exits, decided, WINDOW)
-    rows = triggers.capture_rows(features.book_features(live), stops, WINDOW, entry_after=90,
-                                 entry_until=150, time_scale=SCALE)
-    return rows.select("series_key", "ws", "t", "cand", r6("cand_ask").alias("cand_ask"),
-                       "entered", r6("obi_up").alias("obi_up"))
-
-
 @register("W16_first_trigger_entry", f"""
 with {REPLAY_SQL} select series_key, ws, entry_t, cand, round(entry_ask, 6) as entry_ask, ask_size, size, depth_ok from ent
 """)
@@ -461,6 +444,21 @@ def labelled(spark, sf):
     return labels.label_columns(live, WINDOW, scale=SCALE)
 
 
+@register("W15_capture_rows", f"""
+with {REPLAY_SQL}, {SNAP_SQL}, {LABEL_SQL}
+select k.series_key, k.ws, k.t, k.cand, round(k.cand_ask, 6) as cand_ask, coalesce(k.t >= r.entry_t, false) as entered, k.feed_fresh,
+  k.score, lab.final_outcome, {_rounded_sql(SNAP_COLS, 'k.')}, {', '.join('k.' + c for c in COUNT_COLS)}, {_rounded_sql(LABEL_COLS, 'lab.')}
+from snap k join res r on r.series_key = k.series_key and r.ws = k.ws join lab on lab.series_key = k.series_key and lab.t = k.t
+where k.elapsed between 60 * 288 and 180 * 288 and k.cand_ask is not null and (r.stop_t is null or k.t <= r.stop_t)
+""")
+def w15(spark, sf):
+    """Every feature and label of the captured rows."""
+    rows = study_plan.capture_features(no_vol(holey(spark, sf)), fx.windows(spark, sf), TP94["base"], window=WINDOW,
+                                       spot="spot", time_scale=SCALE, min_samples=MIN_SAMPLES)
+    return rows.select("series_key", "ws", "t", "cand", r6("cand_ask").alias("cand_ask"), "entered", "feed_fresh", "score",
+                       "final_outcome", *[r6(c).alias(c) for c in (*SNAP_COLS, *LABEL_COLS)], *COUNT_COLS)
+
+
 @register("W19_label_columns", f"with {LABEL_SQL} select series_key, t, final_outcome, {_rounded_sql(LABEL_COLS)} from lab")
 def w19(spark, sf):
     return labelled(spark, sf).select("series_key", "t", "final_outcome",

@@ -207,9 +207,9 @@ def rule_folds(df: DataFrame, keys: Sequence[str], window: str, folds: int = 5,
 
 
 def run_folds(df: DataFrame, keys: Sequence[str], window: str, folds: int = 5,
-              window_len: int = 300) -> DataFrame:
-    """Run form: folds of n//folds windows; the remainder belongs to no fold (NULL)."""
-    pos = number_windows(df, keys, window, window_len)
+              window_len: int = 300, windows: DataFrame | None = None) -> DataFrame:
+    """Run form: folds of n//folds windows; the remainder belongs to no fold (NULL). ``windows`` as in :func:`position_split`."""
+    pos = number_windows(df if windows is None else windows, keys, window, window_len)
     size = F.greatest(F.lit(1), F.floor(F.col("n_windows") / folds))
     fold = F.floor((F.col("position") - 1) / size).cast("bigint") + 1
     fold = F.when(fold <= folds, fold)

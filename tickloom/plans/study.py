@@ -21,7 +21,7 @@ def capture_features(ticks: DataFrame, windows: DataFrame, params: Mapping | Non
     and triggers all work on the event window, so they share one partitioning.
     """
     p = parameter_set(**(params or {}))
-    live = triggers.ticks_with_outcome(ticks, windows, window)
+    live = stage(triggers.ticks_with_outcome(ticks, windows, window))  # five readers below
     feats = features.feature_snapshot(live, window, spot=spot, scale=time_scale, min_samples=min_samples)
     full = labels.label_columns(feats, window, scale=time_scale)
     score = "score" if p["min_reversal_score"] is not None else None
