@@ -16,6 +16,9 @@ from tickloom.operators.features import MAX_AGE, SPOT_MEMORY
 # ship the processor with the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Added to times, as a stream takes nothing at or before 1970-01-01 00:00:00 in.
+SHIFT = 1 << 31
+
 
 class Ring(StatefulProcessor):
     """Keeps the rows of a key that later rows can still reach, and hands them on before the new ones."""
@@ -41,7 +44,7 @@ class Ring(StatefulProcessor):
         self.rows.put([r for r in [*old, *new] if r[self.at] >= newest - self.reach])
         if self.due.exists():
             self.handle.deleteTimer(self.due.get()[0])
-        due = max((newest + self.forget) * 1000, timerValues.getCurrentWatermarkInMs() + 1)
+        due = max((newest + SHIFT + self.forget) * 1000, timerValues.getCurrentWatermarkInMs() + 1)
         self.handle.registerTimer(due)
         self.due.update((due,))
 
@@ -70,7 +73,7 @@ def stream_features(ticks: DataFrame, compute: Callable[[DataFrame], DataFrame],
     trail = max(forget * scale, reach)
     schema = T.StructType([*ticks.schema.fields])
     out_schema = T.StructType([*schema.fields, T.StructField("_new", T.BooleanType())])
-    marked = ticks.withColumn("_at", F.timestamp_seconds(time)).withWatermark("_at", f"{trail} seconds")
+    marked = ticks.withColumn("_at", F.timestamp_seconds(F.col(time) + F.lit(SHIFT).cast("bigint"))).withWatermark("_at", f"{trail} seconds")
     both = marked.groupBy(*keys).transformWithState(
         statefulProcessor=Ring(schema, time, reach, trail), outputStructType=out_schema, outputMode="Append", timeMode="EventTime")
 
