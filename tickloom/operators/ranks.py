@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tickloom.plans.staging import stage
 
 #: Distinct values a range may hold, ranges an over-full one is cut into, and the error of their quantiles (1 / ACCURACY).
-RANGE_ROWS = 50_000
+RANGE_ROWS = 200_000
 WAYS = 256
 ACCURACY = 10_000
 
@@ -41,7 +41,7 @@ def row_number_by_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
 
 
 def even_ranges(counted: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Number of a range of values per keys, monotone in ``value``, in ``out``; ``counted`` has a row per value.
+    """Number of a range of values per keys, monotone in ``value``, in ``out``; ``counted`` (written) has a row per value.
 
     Ranges of more than RANGE_ROWS rows are cut at WAYS - 1 approximate quantiles, as often as needed. The splitters are
     written before they are used, so all readers and retried tasks see the same ranges; they take a small
@@ -49,6 +49,8 @@ def even_ranges(counted: DataFrame, keys: Sequence[str], value: str, out: str) -
     """
     ways = F.array(*[F.lit(i / WAYS) for i in range(1, WAYS)])
     ranged = counted.withColumn(out, F.lit(0).cast("bigint"))
+    if counted.count() <= RANGE_ROWS:  # read from the files' footers: no key can be over-full
+        return ranged
     while True:
         full = stage(ranged.groupBy(*keys, out).agg(F.count("*").alias("_m"), F.percentile_approx(value, ways, ACCURACY).alias("_s"))
                      .where(F.col("_m") > RANGE_ROWS).drop("_m"))

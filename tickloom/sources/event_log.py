@@ -34,7 +34,7 @@ def decode_event_log(lines: DataFrame, line: str = "line", file_name: str = "fil
     """
     df = lines.withColumn("_r", F.try_parse_json(line)).withColumn("date", log_date(F.col(file_name)))
     is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    good = is_object(F.col("_r"))
+    good = F.coalesce(F.col("_r").isNotNull() & F.col(line).rlike(r"^\s*\{"), F.lit(False))
     df = df.withColumns({"is_bad": ~good, "record": F.when(good, F.col("_r"))})
     record = F.col("record")
     kind = F.when(is_object(_get(record, "$.event", "variant")), _kind(_get(record, "$.type")))
@@ -99,7 +99,9 @@ def event_rows(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def book_of(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return rows.select(*keep, "date", "ts", "asset_id", "market", F.inline("rows")).select(
+    # of a plain column Spark would infer a filter and push it, with the decoding, below the decoding
+    levels = F.when(F.col("rows").isNotNull(), F.col("rows"))
+    return rows.select(*keep, "date", "ts", "asset_id", "market", F.inline(levels)).select(
         *keep, "date", "ts", "kind", "asset_id", "market", "side", "price", "size")
 
 
