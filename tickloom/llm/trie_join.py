@@ -6,15 +6,18 @@ Links are found exactly, in these steps:
 2. All sets are ordered by one global order: shingles known to be frequent last, the rest by hash.
    Two sets with Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles, so only
    sets that meet under such a shingle can be linked. Which shingles count as frequent is found
-   on the first few of each set; the choice moves work but not results.
+   on the first few of each set; the choice moves work but not results. The first shingle two similar
+   sets share lies even earlier in the smaller one, n - ceil(2 t n / (1 + t)) + 1: what meets later in it
+   is not compared.
 3. Under each shingle every set is compared with the smallest one there, as far as lengths and a
    parity bitmap (a lower bound on the number of shingles not shared) allow a link. Sets that
    share a partner go into one prefix tree of ordered sets; a probe goes down the tree, partial
    overlaps are shared by all sets below, and a branch is left when overlap so far plus the shorter
    rest cannot reach the threshold.
-4. Links so far give classes. Whatever meets under a shingle but is in different classes is compared
-   pairwise by length and bitmap, in blocks of bounded size, and what passes goes through a prefix tree
-   of its own. So no link between classes is missed, and copies never become all pairs.
+4. Links so far give classes. Of what meets under a shingle, only sets that have a partner of another
+   class there, by size and place, are compared pairwise by bitmap, and what passes goes through a
+   prefix tree of its own. Large groups are cut by bands of size, since similar sets lie in one band or in
+   neighbouring ones, and then into pairs of blocks of bounded size. So no link between classes is missed, and copies never become all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +38,9 @@ from tickloom.plans.staging import stage
 PERCENT, WORDS = 80, 5
 #: First shingles of a set that are counted to find frequent ones, and how many sets make one frequent.
 SKETCH, FREQUENT = 16, 64
-LEAST_BITS = 1024
+LEAST_BITS = 256
+#: Ratio of the sizes in one band; a little more than similar sets can have.
+BAND = 1.26
 #: Words of the broadcast sieve; shingles of a head beyond twice the prefix.
 SIEVE_WORDS, HEAD_SPARE = 1 << 16, 32
 #: Sets per block of a large group; rows one Python call gets.
@@ -139,8 +144,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def parity_bitmap(items: np.ndarray) -> np.ndarray:
-    """Parity of the hashes in each of at least 2n places, a power of two; half the places fold into the other half."""
-    width = max(LEAST_BITS, 1 << (2 * len(items) - 1).bit_length())
+    """Parity of the hashes in each of at least n places, a power of two; half the places fold into the other half."""
+    width = max(LEAST_BITS, 1 << max(len(items) - 1, 0).bit_length())
     bits = np.bincount((items & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
@@ -158,11 +163,6 @@ def _named(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (total, spin))]
 
 
-@F.arrow_udf(NAME)
-def _set_name(texts: pa.Array) -> pa.Array:
-    return pa.StructArray.from_arrays(_named([shingle_set(t, WORDS) for t in texts.to_pylist()]), NAME.names)
-
-
 @F.arrow_udf(T.StructType([*NAME.fields, *BEGIN.fields]))
 def _set_begin(texts: pa.Array) -> pa.Array:
     sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
@@ -213,6 +213,28 @@ def _joined(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("call").applyInPandas(run, "a bigint, b bigint")
 
 
+#: A pair of entries (2 n + 1 within the early places of its set, else 2 n) under its first common shingle: the smaller
+#: set, both of equal ones, must have it early, and sizes must be close enough.
+MAY_BE_FIRST = (f"(least({{a}}, {{b}}) & 1L) = 1 and 100 * shiftright(least({{a}}, {{b}}), 1) >= {PERCENT} * shiftright(greatest({{a}}, {{b}}), 1)")
+
+
+def _entries(sets: DataFrame, items: Column) -> DataFrame:
+    """(token, rep, entry) for the shingles in ``items``, the first ones of sets of n in the global order."""
+    early = F.expr(f"n - ceil(2 * {PERCENT} * n / {100.0 + PERCENT}D) + 1")
+    return (sets.select("rep", "n", F.posexplode(items).alias("place", "token"))
+            .select("token", "rep", (2 * F.col("n").cast("bigint") + (F.col("place") < early).cast("bigint")).alias("entry")))
+
+
+def _banded(met: DataFrame) -> DataFrame:
+    """Groups of more than BLOCK entries cut by bands of size, every two neighbouring bands together."""
+    band = F.floor(F.log(F.shiftright("entry", 1).cast("double")) / float(np.log(BAND)))
+    small = met.where(F.col("c") <= BLOCK).withColumn("band", F.lit(-1).cast("bigint"))
+    large = met.where(F.col("c") > BLOCK).drop("c").withColumn("band", F.explode(F.array(band, band - 1)))
+    sizes = (large.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("class").alias("c0"), F.max("class").alias("c1"))
+             .where("c0 <> c1").select("token", "band", "c"))
+    return small.unionByName(large.join(sizes, ["token", "band"]))
+
+
 def _blocked(groups: DataFrame, key: list[str], size: str) -> DataFrame:
     """Cut groups of more than BLOCK rows into blocks and put every pair of blocks together: key, lo, hi, ..."""
     blocks = F.ceil(F.col(size) / BLOCK)
@@ -222,6 +244,19 @@ def _blocked(groups: DataFrame, key: list[str], size: str) -> DataFrame:
             .drop("__blocks", "__own", "__other"))
 
 
+def _to_compare(named: DataFrame) -> DataFrame:
+    """Staged (g, rep): groups of sets of which each has one of another class to be compared with. ``named``: token, rep,
+    entry, class, c."""
+    pair = MAY_BE_FIRST.format(a="x.entry", b="y.entry")
+    groups = (_blocked(_banded(named), ["token", "band"], "c").groupBy("token", "band", "lo", "hi")
+              .agg(F.collect_set(F.struct("rep", "entry", "class")).alias("all"), F.min("class").alias("c0"), F.max("class").alias("c1"))
+              .where("c0 <> c1")
+              .select(F.expr(f"filter(all, x -> exists(all, y -> x.class <> y.class and {pair}))").alias("kept"))
+              .where("size(kept) > 1").select(F.expr("array_sort(array_distinct(transform(kept, x -> x.rep)))").alias("reps"))
+              .select(F.xxhash64("reps").alias("g"), "reps").distinct())
+    return stage(groups.select("g", F.explode("reps").alias("rep")).distinct())
+
+
 def _frequent_in(heads: DataFrame, frequent: DataFrame, touched: DataFrame) -> DataFrame:
     """(rep, last): the frequent shingles in the heads of touched sets, by hash."""
     return (heads.select("rep", F.explode("items").alias("token")).join(frequent, "token")
@@ -229,7 +264,7 @@ def _frequent_in(heads: DataFrame, frequent: DataFrame, touched: DataFrame) -> D
 
 
 def _ordered_prefixes(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, rep) for the first shingles of every set in the global order."""
+    """(token, rep, entry) for the first shingles of every set in the global order."""
     counted = reps.select(F.explode(F.slice("prefix", 1, SKETCH)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     frequent = stage(counted.where(F.col("c") > FREQUENT).select("token"))
     touched = stage(reps.select("rep", F.explode("prefix").alias("token")).join(frequent, "token").select("rep").distinct())
@@ -244,8 +279,7 @@ def _ordered_prefixes(texts: DataFrame, reps: DataFrame) -> DataFrame:
     moved = (heads.join(last.join(deep, "rep", "left_anti"), "rep")
              .unionByName(whole.join(_frequent_in(whole, frequent, deep), "rep")))
     ordered = F.slice(F.concat(F.array_except("items", "last"), "last"), F.lit(1), p)
-    return (reps.join(touched, "rep", "left_anti").select("rep", F.explode("prefix").alias("token"))
-            .unionByName(moved.select("rep", F.explode(ordered).alias("token"))).select("token", "rep"))
+    return _entries(reps.join(touched, "rep", "left_anti"), F.col("prefix")).unionByName(_entries(moved, ordered))
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,21 +293,25 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    names = stage(texts.select("doc_id", _set_name("text").alias("s")).select("doc_id", "s.*"))
-    same = names.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = stage(names.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"))
+    begun = stage(texts.select("doc_id", _set_begin("text").alias("s")).select("doc_id", "s.*"))
+    some = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    named, rest = begun.where(some), begun.where(~some)
+    same = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    members = stage(named.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"]).select("doc_id", "n", "rep")
+                    .unionByName(rest.select("doc_id", "n", F.lit(None).cast("bigint").alias("rep"))))
     # the beginning of one set of each name; copies are combined before the shuffle
-    begun = texts.where("doc_id is not null").select("doc_id", _set_begin("text").alias("s")).where("s.n > 0")
-    reps = stage(begun.select("s.n", "s.s1", "s.s2", F.struct("doc_id", "s.prefix", "s.bitmap").alias("b"))
+    reps = stage(named.select("n", "s1", "s2", F.struct("doc_id", "prefix", "bitmap").alias("b"))
                  .groupBy("n", "s1", "s2").agg(F.min("b").alias("b"))
                  .select(F.col("b.doc_id").alias("rep"), "n", "b.prefix", "b.bitmap"))
     facts = reps.select("rep", "n", "bitmap")
 
     by_token = _ordered_prefixes(texts, reps).repartition("token")
-    met = by_token.groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1")
-    met = stage(by_token.join(met, "token").select("token", "rep", "pivot", "c"))
+    met = (by_token.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "entry")).alias("pivot"),
+                                         F.max(F.col("entry") % 2).alias("early")).where("c > 1 and early = 1").drop("early"))
+    met = stage(by_token.join(met, "token").select("token", "rep", "entry", F.col("pivot.rep").alias("pivot"),
+                                                   F.col("pivot.entry").alias("first"), "c"))
 
-    stars = met.where("rep <> pivot").select("pivot", "rep").distinct()
+    stars = met.where("rep <> pivot and " + MAY_BE_FIRST.format(a="entry", b="first")).select("pivot", "rep").distinct()
     left = facts.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("bitmap").alias("pb"))
     possible = f"100 * least(n, pn) >= {PERCENT} * greatest(n, pn)"
     half = lambda c, d: (f"case when size({c}) > size({d}) then zip_with(slice({c}, 1, size({d})), slice({c}, size({d}) + 1, size({d})),"
@@ -284,13 +322,9 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = _linked_stars(texts, stars)
     classes = stage(components(first))
 
-    named = met.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "class", F.coalesce("component", "rep"))
-    rest = _blocked(named.select("token", "rep", "class", "c"), ["token"], "c")
-    rest = (rest.groupBy("token", "lo", "hi").agg(F.array_sort(F.collect_set("rep")).alias("reps"),
-                                                  F.min("class").alias("c0"), F.max("class").alias("c1"))
-            .where("c0 <> c1").select(F.xxhash64("reps").alias("g"), "reps").distinct())
-    rest = stage(rest.select("g", F.explode("reps").alias("rep")).distinct())
+    classed = met.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "token", "rep", "entry", F.coalesce("component", "rep").alias("class"), "c")
+    rest = _to_compare(classed)
     pairs = _close_pairs(rest, facts, classes)
     second = _linked_stars(texts, pairs)
     label = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
