@@ -53,6 +53,26 @@ def test_repeated_and_nameless_rows_in_near_copies(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (True, 0)]
 
 
+def test_different_texts_under_one_id_both_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "en"), (1, "q r s t u v w", "en"), (0, "q r s t u v w", "fr"), (3, "", "en"), (3, None, "en")],
+                                 "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in got) == [
+        (0, "q r s t u v w", False), (1, "a b c d e f", False), (3, "", False), (3, "", True)]
+
+
+def test_clashing_columns_ride_along(spark):
+    clash = ["score", "predicted", "lang_pred", "lead", "copies", "mark", "n_tokens", "component_id", "rep", "n", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in clash]).persist()
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in clash), name
+    assert step(spark, docs.limit(0), SF).columns == docs.columns
+
+
 def test_mixing_repeats_rows_within_the_budget(stages):
     before, after = stages["mixing"]
     words = lambda df: df.select(F.sum(F.size(F.split("text", " +")))).first()[0]
@@ -73,7 +93,7 @@ def test_language_stage_rejects_only_what_it_says(stages, spark):
     before, after = stages["language"]
     model = language.train_language(before.where("crc32(cast(doc_id as string)) % 4 <> 2"))
     said = language.identify(before, model)
-    want = said.where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LANGUAGE_SCORE}").count()
+    want = said.where(f"lang_pred <> 'und' and lead >= {corpus_pipeline.LANGUAGE_LEAD}").count()
     assert after.count() == want
 
 

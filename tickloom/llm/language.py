@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.common import bounded_batches
+from tickloom.plans.staging import stage
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -27,8 +28,11 @@ WIDTH = BUCKETS * len(ORDERS)
 TEXTS_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 48
 BLOCK = 32
+#: Values of the hash by which training texts are chosen.
+HASHES = 1 << 40
 UNDETERMINED = "und"
-PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("lead", T.DoubleType())])
 _LETTER = regex.compile(r"\p{L}")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 _SPACED: list[np.ndarray] = []
@@ -68,11 +72,6 @@ def _packed(texts: pa.Array) -> pa.Array:
     return pa.array([np.packbits(presence(x)).tobytes() for x in texts.to_pylist()], pa.binary())
 
 
-@F.arrow_udf(T.BooleanType())
-def _has_letter(texts: pa.Array) -> pa.Array:
-    return pa.array([has_letter(x) for x in texts.to_pylist()], pa.bool_())
-
-
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -110,26 +109,34 @@ def fit_language(packed: np.ndarray, names: list[str], ridge: float = 0.01) -> L
 
 def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
                    texts_per_language: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most ``texts_per_language`` texts a language, those with the smallest hash of ``key``.
+    """Fit on at most ``texts_per_language`` texts a language, those with the smallest hash of key and text.
 
-    Rows without language or letters do not count. Only presence bits of the chosen texts reach
-    the driver, which bounds it by languages x texts_per_language x WIDTH bits.
+    Rows without language or letters do not count, and repeated rows count once. Texts are chosen by (language, hash)
+    alone: hashes above what a language's count makes likely to be needed stay where they are, the others are
+    numbered, and the texts of the chosen ones are looked up last. Only their presence bits reach the driver,
+    which bounds it by languages x texts_per_language x WIDTH bits.
     """
     bounded_batches(docs.sparkSession)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key")), F.col("key"))
-    picked = (docs.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
-              .where("lang is not null and text is not null").withColumn("rank", F.row_number().over(first))
-              .where(F.col("rank") <= texts_per_language))
-    rows = picked.where(_has_letter("text")).select("lang", _packed("text").alias("bits")).collect()
+    known = (docs.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(text).alias("text"))
+             .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
+    narrow = stage(known.select("lang", "mark"))
+    share = stage(narrow.groupBy("lang").agg((F.lit(2.0 * texts_per_language + 64) / F.count("*")).alias("share")))
+    place = F.pmod("mark", F.lit(HASHES))
+    first = Window.partitionBy("lang").orderBy(place, "mark")
+    picked = stage(narrow.join(share, "lang").where(place < F.col("share") * HASHES).select("lang", "mark").distinct()
+                   .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts_per_language).select("lang", "mark"))
+    rows = (known.join(picked, ["lang", "mark"]).dropDuplicates(["lang", "mark"])
+            .select("lang", "mark", _packed("text").alias("bits")).orderBy("lang", "mark").collect())
     packed = np.frombuffer(b"".join(r.bits for r in rows), dtype=np.uint8).reshape(-1, WIDTH // 8)
     return fit_language(packed, [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus lang_pred and score (0 to 1).
+    """All columns of ``docs`` plus lang_pred, score (0 to 1) and lead.
 
     Null text, text without a letter, or a model without languages: 'und' with score 0. Ties go to
-    the first language by name. The score is the softmax of the scaled margins. Whole texts are read,
+    the first language by name. The score is the softmax of the scaled margins, the lead how far the score is
+    above that of the next language (the score itself if there is none). Whole texts are read,
     every row by itself; input columns named like a result are replaced.
     """
     bounded_batches(docs.sparkSession)
@@ -137,7 +144,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     @F.arrow_udf(PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores = [], []
+        names, scores, leads = [], [], []
         values = texts.to_pylist()
         for at in range(0, len(values), BLOCK):
             block = values[at: at + BLOCK]
@@ -152,11 +159,15 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 if not known[i]:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
+                    leads.append(0.0)
                     continue
                 best = int(np.argmax(margins[i]))
                 names.append(languages[best])
-                scores.append(float(1.0 / np.exp(4.0 * (margins[i] - margins[i][best])).sum()))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                odds = np.exp(4.0 * (margins[i] - margins[i][best]))
+                scores.append(float(1.0 / odds.sum()))
+                leads.append(scores[-1] * (1.0 - float(np.delete(odds, best).max(initial=0.0))))
+        return pa.StructArray.from_arrays(
+            [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64())], PREDICTION.names)
 
     return (docs.withColumn("__said", predict(text)).withColumn("lang_pred", F.col("__said.lang_pred"))
-            .withColumn("score", F.col("__said.score")).drop("__said"))
+            .withColumn("score", F.col("__said.score")).withColumn("lead", F.col("__said.lead")).drop("__said"))
