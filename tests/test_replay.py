@@ -243,3 +243,19 @@ def test_a_released_job_leaves_no_folder(spark, rows):
     assert staging.stage(rows([(1,)], "a int")).count() == 1 and os.listdir(folder)
     staging.release(spark)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("master,setting,want", [
+    ("local-cluster[3,4,1024]", "/mnt/shared", "file:/mnt/shared"),
+    ("local-cluster[3,4,1024]", "file:/mnt/shared", "file:/mnt/shared"),
+    ("local-cluster[3,4,1024]", None, "file:/mnt/warehouse"),  # the other folder all executors share
+    ("local[2]", None, "file:/tmp/spark-")])
+def test_stages_lie_in_a_shared_folder_with_or_without_scheme(spark, monkeypatch, master, setting, want):
+    from tickloom.plans import staging
+
+    conf = {"spark.checkpoint.dir": setting, "spark.sql.warehouse.dir": "/mnt/warehouse"}
+    monkeypatch.setattr(spark.sparkContext, "master", master)
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: conf[key])
+    root = staging.stage_root(spark)
+    assert root.startswith(want) and root == staging.stage_root(spark)
