@@ -28,14 +28,27 @@ def ordered(keys: Sequence[str], time: str = "t") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(time)
 
 
+def backwards(keys: Sequence[str], time: str = "t") -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.desc(time))
+
+
+def _until(w: WindowSpec, ahead: int) -> WindowSpec:
+    """Everything up to t+ahead. Spark extends such a frame row by row; one with two moving ends it reads anew."""
+    return w.rangeBetween(Window.unboundedPreceding, ahead)
+
+
+def _any(value: Column, w: WindowSpec, ahead: int, max_age: int) -> Column:
+    return F.count(value).over(_until(w, ahead)) > F.count(value).over(_until(w, ahead - max_age - 1))
+
+
 def asof(value: Column, w: WindowSpec, lag: int = 0, max_age: int = 5) -> Column:
     """Last non-null value at or before t-lag, at most max_age old (inclusive)."""
-    return F.last(value, ignorenulls=True).over(w.rangeBetween(-lag - max_age, -lag))
+    return F.when(_any(value, w, -lag, max_age), F.last(value, ignorenulls=True).over(_until(w, -lag)))
 
 
 def asof_ahead(value: Column, w: WindowSpec, ahead: int, max_age: int = 5) -> Column:
     """Value of the latest row at or before t+ahead; an invalid latest row gives NULL."""
-    return F.last(value, ignorenulls=False).over(w.rangeBetween(ahead - max_age, ahead))
+    return F.when(_any(F.lit(1), w, ahead, max_age), F.last(value, ignorenulls=False).over(_until(w, ahead)))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
