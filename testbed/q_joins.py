@@ -70,10 +70,9 @@ def j4(spark, sf):
 with {LABEL_SQL} select series_key, t, round(maxu - au, 6) + 0.0::double as mfe, round(au - minu, 6) + 0.0::double as mae from lab
 """)
 def j5(spark, sf):
-    w = asof.ordered(WINDOW)
     live = triggers.ticks_with_outcome(fx.clean(spark, sf), fx.windows(spark, sf), WINDOW)
     bid = F.when(F.col("au").isNotNull(), F.col("bu"))
-    mfe, mae = labels.future_excursion(bid, F.col("au"), w, 60 * SCALE)
+    mfe, mae = labels.future_excursion(bid, F.col("au"), WINDOW, "t", 60 * SCALE)
     return live.select("series_key", "t", r6(mfe).alias("mfe"), r6(mae).alias("mae"))
 
 

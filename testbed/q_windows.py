@@ -8,7 +8,7 @@ from testbed import fixtures as fx
 from testbed.fixtures import SCALE, WINDOW, big, r6
 from testbed.registry import register
 from tickloom.operators import execution, features, labels, rolling, studies, triggers
-from tickloom.operators.asof import asof, ordered
+from tickloom.operators.asof import asof, backwards, ordered
 from tickloom.params import parameter_set
 from tickloom.plans import study as study_plan
 
@@ -94,13 +94,9 @@ left join c15 on s.series_key = c15.series_key and s.t = c15.t
 left join c30 on s.series_key = c30.series_key and s.t = c30.t
 """)
 def w4(spark, sf):
-    w = ordered(WINDOW)
-    df = holey(spark, sf)
-    for n in (15, 30):
-        df = df.withColumn(f"p{n}", rolling.recent_values(F.col("spot"), w, n * SCALE))
-        df = df.withColumn(f"c{n}", rolling.new_extreme_counts(F.col(f"p{n}")))
-    return df.select("series_key", "t", *[
-        F.col(f"c{n}.{k}").alias(f"{k}_{n}") for n in (15, 30) for k in ("highs", "lows")])
+    names = {n * SCALE: (f"highs_{n}", f"lows_{n}") for n in (15, 30)}
+    return rolling.add_new_extreme_counts(holey(spark, sf), WINDOW, "spot", "t", names).select(
+        "series_key", "t", *[c for pair in names.values() for c in pair])
 
 
 MEM = 130 * SCALE
@@ -123,7 +119,7 @@ carried as (select series_key, ws, t,
 def _memory(spark, sf):
     w = ordered(WINDOW)
     df = holey(spark, sf)
-    found = rolling.memory_extremes(F.col("spot"), F.col("t"), w, MEM)
+    found = rolling.memory_extremes(F.col("spot"), F.col("t"), w, MEM, backwards(WINDOW))
     df = df.withColumns({f"m_{k}": c for k, c in found.items()})
     return df.withColumns({k: rolling.carry(F.col(f"m_{k}"), w) for k in found})
 

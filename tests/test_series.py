@@ -1,6 +1,7 @@
 """As-of, rolling and label operators on hand-computed rows."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -189,3 +190,43 @@ def test_coverage_gate(rows, case, want):
     ticks = rows([("k", ws, t) for t in range(ws, ws + 300)], "k string, ws bigint, t bigint")
     g = rolling.window_coverage_gate(ticks, bars, ["k", "ws"], "k", "ws", "t", "ts").first()
     assert g.covered is want
+
+
+@pytest.mark.parametrize("lo,hi", [(-7, 0), (1, 9), (-3, 4), (0, 0)])
+def test_sliding_extremes_equal_a_scan_of_every_frame(rows, lo, hi):
+    rnd = random.Random(hi)
+    points = [(t, rnd.choice([None, 0, 1, 2, 3, 9])) for t in sorted(rnd.sample(range(-200, 200), 150))]
+    w, back = asof.ordered(["k"]), asof.backwards(["k"])
+    frame = (F.col("v"), F.col("t"), w, back, lo, hi)
+    out = _series(rows, points).select("t", rolling.sliding_extreme(*frame).alias("hi"),
+                                       rolling.sliding_extreme(*frame, lowest=True).alias("lo"))
+    for r in out.collect():
+        seen = [v for t, v in points if r.t + lo <= t <= r.t + hi and v is not None]
+        assert (r.hi, r.lo) == ((max(seen), min(seen)) if seen else (None, None))
+
+
+@pytest.mark.parametrize("kind", ["random", "rising", "falling", "odd"])
+def test_new_extreme_counts_equal_the_fold_over_the_list(rows, kind):
+    rnd = random.Random(5)
+    value = {"random": lambda t: rnd.choice([None, rnd.randint(0, 9)]), "rising": lambda t: t, "falling": lambda t: -t,
+             "odd": lambda t: rnd.choice([float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 1.5, None])}[kind]
+    data = [(k, t, None if (v := value(t)) is None else float(v)) for k in ("a", "b") for t in rnd.sample(range(400), 250)]
+    df, w = rows(data, "k string, t bigint, v double"), asof.ordered(["k"])
+    want = df
+    for n in (1, 10, 60):
+        c = rolling.new_extreme_counts(rolling.recent_values(F.col("v"), w, n))
+        want = want.withColumns({f"h{n}": c["highs"], f"l{n}": c["lows"]})
+    got = rolling.add_new_extreme_counts(df, ["k"], "v", "t", {n: (f"h{n}", f"l{n}") for n in (1, 10, 60)})
+    assert got.columns == want.columns
+    key = lambda r: (r.k, r.t, *r[3:])
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["W4_new_extreme_count", "A8_condition_stats", "W19_label_columns", "W12_book_delta_features",
+                                  "J5_future_excursion", "W14_feature_snapshot", "W5_running_extremes"])
+def test_no_frame_is_read_anew_for_every_row(spark, name):
+    """A frame with two moving ends costs its length per row; one that only grows does not, and no list of it is kept."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)", plan)
+    assert frames and all(start.startswith("unboundedpreceding") for _, start, _ in frames)
+    assert "collect_list" not in plan

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from tickloom.functions import book
 from tickloom.functions.numeric import ten_dp
 from tickloom.functions.score import reversal_score
-from tickloom.operators.asof import asof, ordered
+from tickloom.operators.asof import asof, backwards, ordered
 from tickloom.operators.rolling import (
+    add_new_extreme_counts,
     add_rolling_slopes,
     carry,
     freshness,
     memory_extremes,
-    new_extreme_counts,
-    recent_values,
     rolling_count,
     rolling_return,
 )
@@ -74,7 +73,7 @@ def trend_features(df: DataFrame, keys: Sequence[str], *, spot: str = "spot", ti
                    min_samples: int = MIN_SAMPLES_60) -> DataFrame:
     """Freshness, returns, slopes and extremes of the spot series; NULL unless fresh.
 
-    All frames share one (keys, time) ordering, so the data is shuffled and sorted once.
+    All frames share one partitioning by keys, so the data is shuffled once.
     """
     w = ordered(keys, time)
     v, age = F.col(spot), max_age * scale
@@ -82,12 +81,11 @@ def trend_features(df: DataFrame, keys: Sequence[str], *, spot: str = "spot", ti
     step1 = {f"_s{n}": asof(v, w, n * scale, age) for n in lags}
     step1["spot_sample_count_60"] = rolling_count(v, w, 60 * scale)
     step1["feed_fresh"] = freshness(v, w, window=60 * scale, min_samples=min_samples, max_age=age)
-    for n in EXTREME_SECONDS:
-        step1[f"_pts{n}"] = recent_values(v, w, n * scale)
-    found = memory_extremes(v, F.col(time), w, SPOT_MEMORY * scale)
+    found = memory_extremes(v, F.col(time), w, SPOT_MEMORY * scale, backwards(keys, time))
     out = df.withColumns(step1 | {f"_m_{k}": c for k, c in found.items()})
     out = out.withColumns({f"_c_{k}": carry(F.col(f"_m_{k}"), w) for k in found})
     out = add_rolling_slopes(out, w, spot, elapsed, {f"_slope{n}": n * scale for n in SLOPE_SECONDS})
+    out = add_new_extreme_counts(out, keys, spot, time, {n * scale: (f"_highs{n}", f"_lows{n}") for n in EXTREME_SECONDS})
 
     fresh = F.col("feed_fresh")
     only = lambda c: F.when(fresh, c)
@@ -102,13 +100,8 @@ def trend_features(df: DataFrame, keys: Sequence[str], *, spot: str = "spot", ti
     cols["time_since_high"] = only((F.col(time) - F.col("_c_t_high")).cast("double"))
     cols["time_since_low"] = only((F.col(time) - F.col("_c_t_low")).cast("double"))
     for n in EXTREME_SECONDS:
-        # the fold runs only for fresh rows: the list is emptied otherwise
-        counts = new_extreme_counts(only(F.col(f"_pts{n}")))
-        cols[f"_ext{n}"] = counts
+        cols |= {f"new_high_count_{n}": only(F.col(f"_highs{n}")), f"new_low_count_{n}": only(F.col(f"_lows{n}"))}
     out = out.withColumns(cols)
-    for n in EXTREME_SECONDS:
-        out = out.withColumns({f"new_high_count_{n}": F.col(f"_ext{n}.highs"),
-                               f"new_low_count_{n}": F.col(f"_ext{n}.lows")})
     scratch = [c for c in out.columns if c.startswith("_") and c != "_ret_10"]
     return out.drop(*scratch)
 

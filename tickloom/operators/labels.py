@@ -7,24 +7,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import book
 from tickloom.functions.numeric import ten_dp
-from tickloom.operators.asof import asof_ahead, ordered
+from tickloom.operators.asof import asof_ahead, backwards, ordered
+from tickloom.operators.rolling import sliding_extreme
 
 # Label horizons and the excursion horizon in seconds.
 RETURN_AHEAD = (30, 60, 120)
 EXCURSION = 60
 
 
-def future_excursion(bid: Column, entry_ask: Column, w: WindowSpec, horizon: int
+def future_excursion(bid: Column, entry_ask: Column, keys: Sequence[str], time: str, horizon: int
                      ) -> tuple[Column, Column]:
     """Best and worst bid in (t, t+horizon] against the entry ask: (favourable, adverse)."""
-    frame = w.rangeBetween(1, horizon)
-    return (ten_dp(F.max(bid).over(frame) - entry_ask),
-            ten_dp(entry_ask - F.min(bid).over(frame)))
+    best, worst = _bids_ahead(bid, keys, time, horizon)
+    return ten_dp(best - entry_ask), ten_dp(entry_ask - worst)
+
+
+def _bids_ahead(bid: Column, keys: Sequence[str], time: str, horizon: int) -> tuple[Column, Column]:
+    frame = (F.col(time), ordered(keys, time), backwards(keys, time), 1, horizon)
+    return sliding_extreme(bid, *frame), sliding_extreme(bid, *frame, lowest=True)
 
 
 def label_columns(ticks: DataFrame, keys: Sequence[str], *, time: str = "t",
@@ -47,9 +52,7 @@ def label_columns(ticks: DataFrame, keys: Sequence[str], *, time: str = "t",
     for side in ("u", "d"):
         for n in (0, *RETURN_AHEAD):
             look[f"_m{side}{n}"] = asof_ahead(F.col(f"_m{side}"), w, n * scale, age)
-        frame = w.rangeBetween(1, EXCURSION * scale)
-        look[f"_hi{side}"] = F.max(f"_b{side}").over(frame)
-        look[f"_lo{side}"] = F.min(f"_b{side}").over(frame)
+        look[f"_hi{side}"], look[f"_lo{side}"] = _bids_ahead(F.col(f"_b{side}"), keys, time, EXCURSION * scale)
     out = base.withColumns(look)
 
     pick = lambda stem, tail="": book.by_role(
