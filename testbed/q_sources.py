@@ -353,7 +353,7 @@ select asset, side, level, price_c, size from (select *, row_number() over (part
   order by case when side = 'bid' then -price_c else price_c end) as level from v_levels) x where level <= 3
 """)
 def k1(spark, sf):
-    return studies.top_levels(fx.book_levels(spark, sf), ["asset"], 3, "price_c").select(
+    return studies.top_levels(fx.raw_book_levels(spark, sf), ["asset"], 3, "price_c").select(
         "asset", "side", "level", "price_c", "size")
 
 

@@ -230,3 +230,15 @@ def test_no_frame_is_read_anew_for_every_row(spark, name):
     frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)", plan)
     assert frames and all(start.startswith("unboundedpreceding") for _, start, _ in frames)
     assert "collect_list" not in plan
+
+
+def test_top_levels_come_from_one_sort_and_drop_the_rest_before_the_shuffle(spark, rows):
+    levels = rows([("x", "bid", 3, 1), ("x", "bid", 5, 2), ("x", "bid", 5, 4), ("x", "bid", 4, 1), ("x", "ask", 7, 1),
+                   ("x", "ask", 6, 2), ("x", "ask", 8, 2), ("x", "ask", 6, 3), ("y", "bid", 1, 9)],
+                  "asset string, side string, price bigint, size bigint")
+    got = {(r.asset, r.side, r.level): (r.price, r.size) for r in studies.top_levels(levels, ["asset"], 2).collect()}
+    assert got == {("x", "bid", 1): (5, 6), ("x", "bid", 2): (4, 1), ("x", "ask", 1): (6, 5), ("x", "ask", 2): (7, 1),
+                   ("y", "bid", 1): (1, 9)}
+    plan = entry.queries()["K1_top_levels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange") == 1
+    assert "WindowGroupLimit" in plan and "3, Partial" in plan

@@ -45,12 +45,16 @@ def top_levels(levels: DataFrame, keys: Sequence[str], n: int, price: str = "pri
                size: str = "size") -> DataFrame:
     """First n levels per side: bids from the highest price, asks from the lowest.
 
-    Levels of one price are merged first, so a book side holds one row per price step.
+    Levels of one price are merged, so a book side holds one row per price step. All comes from one sort by
+    price; prices beyond the n best are dropped before the shuffle already, and nothing is hashed.
     """
-    merged = levels.groupBy(*keys, "side", price).agg(F.sum(size).alias(size))
     toward = F.when(F.col("side") == "bid", -F.col(price)).otherwise(F.col(price))
-    w = Window.partitionBy(*keys, "side").orderBy(toward)
-    return merged.withColumn("level", F.row_number().over(w).cast("bigint")).filter(F.col("level") <= n)
+    w = Window.partitionBy(*keys, "side").orderBy("_toward")
+    same = w.rangeBetween(Window.currentRow, Window.currentRow)
+    best = (levels.select(*keys, "side", price, size, toward.alias("_toward"))
+            .withColumn("level", F.dense_rank().over(w).cast("bigint")).filter(F.col("level") <= n))
+    merged = best.withColumns({size: F.sum(size).over(same), "_first": F.row_number().over(w) == F.rank().over(w)})
+    return merged.filter("_first").select(*keys, "side", price, size, "level")
 
 
 def side_pair_check(ticks: DataFrame, keys: Sequence[str], tolerance: float = 0.01) -> DataFrame:
