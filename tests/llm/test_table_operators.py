@@ -169,6 +169,33 @@ def test_near_copies_odd_rows(spark):
     assert trie_join.similar_classes(frame.limit(0)).count() == 0
 
 
+def test_one_large_class_is_not_paired_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(trie_join, "BLOCK", 4)
+    classes = {i: (1000 if i < 64 else i) for i in range(72)}  # 64 sets of one class, eight alone
+    named = spark.createDataFrame([(1, i, 2 * 100 + 1, c, 72) for i, c in classes.items()], "token bigint, rep bigint, entry bigint, class bigint, c bigint")
+    rows = trie_join._to_compare(named).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.g, []).append(r.rep)
+    together = {(a, b) for reps in groups.values() for a in reps for b in reps if classes[a] < classes[b] or classes[a] > classes[b]}
+    assert together == {(a, b) for a in classes for b in classes if classes[a] != classes[b]}
+    assert len(rows) <= 400  # all pairs of blocks: near 72 * 18
+
+
+def test_frequent_shingles_are_the_commonest_and_come_last(spark, monkeypatch):
+    monkeypatch.setattr(trie_join, "FREQUENT", 2)
+    sketches = spark.createDataFrame([([1, 2, 3],)] * 3 + [([2, -3],)] * 30 + [([9],)] * 2, "sketch array<bigint>")
+    as_hash = lambda *x: np.array(sorted(v % 2**64 for v in x), dtype=np.uint64)
+    assert trie_join._frequent(sketches).tolist() == as_hash(1, 2, 3, -3).tolist()
+    monkeypatch.setattr(trie_join, "MOST_FREQUENT", 2)
+    assert set(trie_join._frequent(sketches).tolist()) <= set(as_hash(1, 2, 3, -3).tolist())
+    assert len(trie_join._frequent(sketches.limit(0))) == 0
+    items = np.arange(10, 30, dtype=np.uint64)  # a prefix of 20 - 16 + 1
+    assert trie_join.ordered_prefix(items, np.array([11, 12, 40], dtype=np.uint64)).tolist() == [10, 13, 14, 15, 16]
+    assert trie_join.ordered_prefix(items[:2], np.array([10], dtype=np.uint64)).tolist() == [11]
+    assert trie_join.ordered_prefix(items, items[:0]).tolist() == [10, 11, 12, 13, 14]
+
+
 def test_trie_links_equal_all_pairs():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 10**6, n).astype(np.uint64)) for n in (1, 4, 9, 30, 80)]

@@ -6,7 +6,8 @@ Links are found exactly, in these steps:
 2. All sets are ordered by one global order: shingles known to be frequent last, the rest by hash.
    Two sets with Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles, so only
    sets that meet under such a shingle can be linked. Which shingles count as frequent is found
-   on the first few of each set; the choice moves work but not results. The first shingle two similar
+   on the first few of each set, and at most MOST_FREQUENT do; the choice moves work but not results. The list is
+   known to the tasks that make the prefixes, so no set is moved to be ordered. The first shingle two similar
    sets share lies even earlier in the smaller one, n - ceil(2 t n / (1 + t)) + 1: what meets later in it
    is not compared.
 3. Under each shingle every set is compared with the smallest one there, as far as lengths and a
@@ -17,7 +18,8 @@ Links are found exactly, in these steps:
 4. Links so far give classes. Of what meets under a shingle, only sets that have a partner of another
    class there, by size and place, are compared pairwise by bitmap, and what passes goes through a
    prefix tree of its own. Large groups are cut by bands of size, since similar sets lie in one band or in
-   neighbouring ones, and then into pairs of blocks of bounded size. So no link between classes is missed, and copies never become all pairs.
+   neighbouring ones, and then into pairs of blocks of bounded size. The largest class of a group is not paired with
+   itself: its blocks meet only those of the other classes. So no link between classes is missed, and copies never become all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +40,13 @@ from tickloom.plans.staging import stage
 PERCENT, WORDS = 80, 5
 #: First shingles of a set that are counted to find frequent ones, and how many sets make one frequent.
 SKETCH, FREQUENT = 16, 64
+#: Frequent shingles the tasks are told, the commonest.
+MOST_FREQUENT = 1 << 16
 LEAST_BITS = 256
 #: Ratio of the sizes in one band; a little more than similar sets can have.
 BAND = 1.26
-#: Words of the broadcast sieve; shingles of a head beyond twice the prefix.
-SIEVE_WORDS, HEAD_SPARE = 1 << 16, 32
+#: Words of the broadcast sieve.
+SIEVE_WORDS = 1 << 16
 #: Sets per block of a large group; rows one Python call gets.
 BLOCK, CALL_ROWS = 256, 512
 
@@ -163,21 +167,34 @@ def _named(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (total, spin))]
 
 
-@F.arrow_udf(T.StructType([*NAME.fields, *BEGIN.fields]))
-def _set_begin(texts: pa.Array) -> pa.Array:
+@F.arrow_udf(T.StructType([*NAME.fields, T.StructField("sketch", T.ArrayType(T.LongType()))]))
+def _name(texts: pa.Array) -> pa.Array:
     sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
     return pa.StructArray.from_arrays(
-        [*_named(sets), _lists([s[: prefix_length(len(s))] for s in sets]), _lists([parity_bitmap(s) for s in sets])],
-        [*NAME.names, *BEGIN.names])
+        [*_named(sets), _lists([s[: min(SKETCH, prefix_length(len(s)))] for s in sets])], [*NAME.names, "sketch"])
 
 
-@F.arrow_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("items", T.ArrayType(T.LongType()))]))
-def _head(texts: pa.Array, spare: pa.Array) -> pa.Array:
-    """The first shingles of a set, by hash: its prefix twice and ``spare`` more."""
-    sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
-    return pa.StructArray.from_arrays(
-        [pa.array([len(s) for s in sets], pa.int32()),
-         _lists([s[: 2 * prefix_length(len(s)) + int(more)] for s, more in zip(sets, spare.to_pylist())])], ["n", "items"])
+def ordered_prefix(items: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the global order; both arrays are sorted."""
+    size = prefix_length(len(items))
+    if not len(frequent):
+        return items[:size]
+    last = frequent[np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)] == items
+    return np.concatenate([items[~last], items[last]])[:size]
+
+
+def _begin(spark: SparkSession, frequent: np.ndarray):
+    """A function of texts: name, prefix in the global order, bitmap."""
+    told = spark.sparkContext.broadcast(frequent)
+
+    @F.arrow_udf(T.StructType([*NAME.fields, *BEGIN.fields]))
+    def begin(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t, WORDS) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [*_named(sets), _lists([ordered_prefix(s, told.value) for s in sets]), _lists([parity_bitmap(s) for s in sets])],
+            [*NAME.names, *BEGIN.names])
+
+    return begin
 
 
 def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,29 +243,37 @@ def _entries(sets: DataFrame, items: Column) -> DataFrame:
 
 
 def _banded(met: DataFrame) -> DataFrame:
-    """Groups of more than BLOCK entries cut by bands of size, every two neighbouring bands together."""
+    """Groups of more than BLOCK entries cut by bands of size, every two neighbouring bands together.
+
+    ``main`` tells the entries of a band's largest class, ``mains`` and ``others`` how many are and are not.
+    """
     band = F.floor(F.log(F.shiftright("entry", 1).cast("double")) / float(np.log(BAND)))
-    small = met.where(F.col("c") <= BLOCK).withColumn("band", F.lit(-1).cast("bigint"))
+    small = met.where(F.col("c") <= BLOCK).select("token", "rep", "entry", "class", F.lit(-1).cast("bigint").alias("band"),
+                                                  F.lit(False).alias("main"), F.lit(0).cast("bigint").alias("mains"), F.col("c").alias("others"))
     large = met.where(F.col("c") > BLOCK).drop("c").withColumn("band", F.explode(F.array(band, band - 1)))
-    sizes = (large.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("class").alias("c0"), F.max("class").alias("c1"))
-             .where("c0 <> c1").select("token", "band", "c"))
-    return small.unionByName(large.join(sizes, ["token", "band"]))
-
-
-def _blocked(groups: DataFrame, key: list[str], size: str) -> DataFrame:
-    """Cut groups of more than BLOCK rows into blocks and put every pair of blocks together: key, lo, hi, ..."""
-    blocks = F.ceil(F.col(size) / BLOCK)
-    cut = groups.withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64("rep", *key), F.col("__blocks")))
-    cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1)))
+    sizes = (large.groupBy("token", "band", "class").agg(F.count("*").alias("c"))
+             .groupBy("token", "band").agg(F.sum("c").alias("c"), F.max(F.struct("c", "class")).alias("m"))
+             .where("c > m.c").select("token", "band", F.col("m.class").alias("largest"), F.col("m.c").alias("mains"), (F.col("c") - F.col("m.c")).alias("others")))
+    return small.unionByName(large.join(sizes, ["token", "band"]).withColumn("main", F.expr("class = largest")).drop("largest"))
+
+
+def _blocked(groups: DataFrame) -> DataFrame:
+    """Cut groups into blocks of about BLOCK entries, those of the largest class (numbered below 0) apart, and put
+    together every pair of blocks that may hold different classes: (token, band, lo, hi)."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("bigint")
+    rest = F.sequence(F.lit(0).cast("bigint"), blocks("others") - 1)
+    main = F.when(F.col("mains") > 0, F.sequence(-blocks("mains"), F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    own = F.when(F.col("main"), -1 - F.pmod(F.xxhash64("rep"), blocks("mains"))).otherwise(F.pmod(F.xxhash64("rep"), blocks("others")))
+    cut = groups.withColumn("__own", own).withColumn("__other", F.explode(F.when(F.col("main"), rest).otherwise(F.concat(main, rest))))
     return (cut.withColumn("lo", F.least("__own", "__other")).withColumn("hi", F.greatest("__own", "__other"))
-            .drop("__blocks", "__own", "__other"))
+            .drop("main", "mains", "others", "__own", "__other"))
 
 
 def _to_compare(named: DataFrame) -> DataFrame:
     """Staged (g, rep): groups of sets of which each has one of another class to be compared with. ``named``: token, rep,
     entry, class, c."""
     pair = MAY_BE_FIRST.format(a="x.entry", b="y.entry")
-    groups = (_blocked(_banded(named), ["token", "band"], "c").groupBy("token", "band", "lo", "hi")
+    groups = (_blocked(_banded(named)).groupBy("token", "band", "lo", "hi")
               .agg(F.collect_set(F.struct("rep", "entry", "class")).alias("all"), F.min("class").alias("c0"), F.max("class").alias("c1"))
               .where("c0 <> c1")
               .select(F.expr(f"filter(all, x -> exists(all, y -> x.class <> y.class and {pair}))").alias("kept"))
@@ -257,29 +282,20 @@ def _to_compare(named: DataFrame) -> DataFrame:
     return stage(groups.select("g", F.explode("reps").alias("rep")).distinct())
 
 
-def _frequent_in(heads: DataFrame, frequent: DataFrame, touched: DataFrame) -> DataFrame:
-    """(rep, last): the frequent shingles in the heads of touched sets, by hash."""
-    return (heads.select("rep", F.explode("items").alias("token")).join(frequent, "token")
-            .groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("last")).join(touched, "rep", "left_semi"))
-
+def _frequent(sketches: DataFrame) -> np.ndarray:
+    """The commonest shingles in ``sketch`` of more than FREQUENT sets, at most about MOST_FREQUENT, sorted.
 
-def _ordered_prefixes(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(token, rep, entry) for the first shingles of every set in the global order."""
-    counted = reps.select(F.explode(F.slice("prefix", 1, SKETCH)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    frequent = stage(counted.where(F.col("c") > FREQUENT).select("token"))
-    touched = stage(reps.select("rep", F.explode("prefix").alias("token")).join(frequent, "token").select("rep").distinct())
-    # a set with frequent shingles among its first ones needs later ones in their place: mostly those of a
-    # longer head, otherwise (many frequent shingles) those of the whole set
-    p = F.expr(f"cast(n - ceil({PERCENT} * n / 100.0D) + 1 as int)")
-    heads = stage(_among(texts, touched).select("rep", _head("text", F.lit(HEAD_SPARE)).alias("h")).select("rep", "h.n", "h.items"))
-    last = stage(_frequent_in(heads, frequent, touched))
-    short = heads.where(F.size("items") < F.col("n")).select("rep", (F.size("items") - p).alias("spare"))
-    deep = stage(short.join(last.select("rep", F.size("last").alias("k")), "rep").where("k > spare").select("rep").distinct())
-    whole = stage(_among(texts, deep).select("rep", _head("text", F.lit(1 << 30)).alias("h")).select("rep", "h.n", "h.items"))
-    moved = (heads.join(last.join(deep, "rep", "left_anti"), "rep")
-             .unionByName(whole.join(_frequent_in(whole, frequent, deep), "rep")))
-    ordered = F.slice(F.concat(F.array_except("items", "last"), "last"), F.lit(1), p)
-    return _entries(reps.join(touched, "rep", "left_anti"), F.col("prefix")).unionByName(_entries(moved, ordered))
+    They are cut by their counts in narrow classes, inside the last class by hash; only the list comes to the driver.
+    """
+    counted = stage(sketches.select(F.explode("sketch").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+                    .where(F.col("c") > FREQUENT).select("token", F.floor(F.log2("c") * 16).alias("level")))
+    room, share = MOST_FREQUENT, {}
+    for row in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        share[row.level] = 65536 * min(room, row.n) // row.n
+        room -= min(room, row.n)
+    among = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in share.items()], F.lit(0))
+    found = counted.where(F.col("token").bitwiseAND(F.lit(65535)) < among).select("token").collect()
+    return np.unique(np.array([r.token for r in found], dtype=np.int64).view(np.uint64))
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,19 +309,23 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    begun = stage(texts.select("doc_id", _set_begin("text").alias("s")).select("doc_id", "s.*"))
+    begun = stage(texts.select("doc_id", _name("text").alias("s")).select("doc_id", "s.*"))
     some = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
     named, rest = begun.where(some), begun.where(~some)
     same = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = stage(named.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"]).select("doc_id", "n", "rep")
                     .unionByName(rest.select("doc_id", "n", F.lit(None).cast("bigint").alias("rep"))))
+    # copies count once
+    frequent = _frequent(named.groupBy("n", "s1", "s2", "sketch").agg(F.count("*")))
     # the beginning of one set of each name; copies are combined before the shuffle
-    reps = stage(named.select("n", "s1", "s2", F.struct("doc_id", "prefix", "bitmap").alias("b"))
-                 .groupBy("n", "s1", "s2").agg(F.min("b").alias("b"))
+    # (a condition on the name would be pushed down and run the function twice)
+    begin = texts.where("doc_id is not null").select("doc_id", _begin(docs.sparkSession, frequent)("text").alias("s")).select("doc_id", "s.*")
+    reps = stage(begin.select("n", "s1", "s2", F.struct("doc_id", "prefix", "bitmap").alias("b"))
+                 .groupBy("n", "s1", "s2").agg(F.min("b").alias("b")).where(F.size("b.prefix") > 0)
                  .select(F.col("b.doc_id").alias("rep"), "n", "b.prefix", "b.bitmap"))
     facts = reps.select("rep", "n", "bitmap")
 
-    by_token = _ordered_prefixes(texts, reps).repartition("token")
+    by_token = _entries(reps, F.col("prefix")).repartition("token")
     met = (by_token.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "entry")).alias("pivot"),
                                          F.max(F.col("entry") % 2).alias("early")).where("c > 1 and early = 1").drop("early"))
     met = stage(by_token.join(met, "token").select("token", "rep", "entry", F.col("pivot.rep").alias("pivot"),
