@@ -182,6 +182,61 @@ def test_one_large_class_is_not_paired_with_itself(spark, monkeypatch):
     assert len(rows) <= 400  # all pairs of blocks: near 72 * 18
 
 
+def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch):
+    for name, value in (("FREQUENT", 2), ("BLOCK", 4), ("LARGE", 8), ("PROBES", 2)):
+        monkeypatch.setattr(trie_join, name, value)
+    texts = _copies(7)
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in trie_join.similar_classes(frame).collect()}
+    assert got == _classes(texts)
+
+
+def test_pairs_of_a_large_group_grow_with_its_sets(spark, monkeypatch):
+    # copies of one text with few or many words replaced; the smallest id, the pivot, is a copy linked with few
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(5 if i == 0 or i % 3 == 0 else 2):
+            copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+        texts.append((i, " ".join(copy)))
+    for name, value in (("BLOCK", 32), ("LARGE", 64)):
+        monkeypatch.setattr(trie_join, name, value, raising=False)
+    made, plain = [], trie_join._close_pairs
+
+    def counted(*args):
+        pairs = plain(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(trie_join, "_close_pairs", counted)
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in trie_join.similar_classes(frame).collect()}
+    assert got == _classes(texts)
+    assert max(Counter(c for _, c in got.values()).values()) > 250
+    assert sum(made) <= trie_join.PROBES * len(texts) + 2 * len(texts), made
+
+
+def test_likely_tree_joins_what_may_be_similar():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (40, 300, 1500)]
+    sets = [np.sort(rng.choice(b, size=int(len(b) * rng.uniform(0.85, 1)), replace=False)) for b in base for _ in range(15)]
+    n, named, maps = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2, [trie_join.parity_bitmap(s) for s in sets]
+    every, tree = trie_join.close_in_group(n, named, maps), trie_join.likely_tree(n, named, maps)
+    assert set(tree) <= set(every) and len(tree) < len(set(named)) < len(every)
+
+    def classes(pairs):
+        label = list(range(len(sets)))
+        for _ in sets:
+            for a, b in [*pairs, *((i, i + 1) for i in range(0, len(sets) - 1, 2))]:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert classes(tree) == classes(every)
+    assert trie_join.likely_tree(n[:1], named[:1], maps[:1]) == []
+
+
 def test_frequent_shingles_are_the_commonest_and_come_last(spark, monkeypatch):
     monkeypatch.setattr(trie_join, "FREQUENT", 2)
     sketches = spark.createDataFrame([([1, 2, 3],)] * 3 + [([2, -3],)] * 30 + [([9],)] * 2, "sketch array<bigint>")

@@ -15,7 +15,10 @@ Links are found exactly, in these steps:
    share a partner go into one prefix tree of ordered sets; a probe goes down the tree, partial
    overlaps are shared by all sets below, and a branch is left when overlap so far plus the shorter
    rest cannot reach the threshold.
-4. Links so far give classes. Of what meets under a shingle, only sets that have a partner of another
+4. Links so far give classes. Groups of more than LARGE sets are cut at random into blocks of bounded size, and in every
+   block the likeliest links between classes, a forest of them, are tried. So the sets of a large class
+   come together by at most PROBES pairs a set, however many links the class has.
+5. Of what then meets under a shingle, only sets that have a partner of another
    class there, by size and place, are compared pairwise by bitmap, and what passes goes through a
    prefix tree of its own. Large groups are cut by bands of size, since similar sets lie in one band or in
    neighbouring ones, and then into pairs of blocks of bounded size. The largest class of a group is not paired with
@@ -27,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,13 +45,15 @@ PERCENT, WORDS = 80, 5
 SKETCH, FREQUENT = 16, 64
 #: Frequent shingles the tasks are told, the commonest.
 MOST_FREQUENT = 1 << 16
-LEAST_BITS = 256
+LEAST_BITS = 1024
 #: Ratio of the sizes in one band; a little more than similar sets can have.
 BAND = 1.26
 #: Words of the broadcast sieve.
 SIEVE_WORDS = 1 << 16
 #: Sets per block of a large group; rows one Python call gets.
 BLOCK, CALL_ROWS = 256, 512
+#: Sets of a group whose classes are brought together before all pairs of classes are compared; random blocks a set goes to.
+LARGE, PROBES = 1024, 8
 
 
 def needed_overlap(a, b, percent: int = PERCENT):
@@ -342,17 +347,45 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = _linked_stars(texts, stars)
     classes = stage(components(first))
 
-    classed = met.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "token", "rep", "entry", F.coalesce("component", "rep").alias("class"), "c")
-    rest = _to_compare(classed)
-    pairs = _close_pairs(rest, facts, classes)
-    second = _linked_stars(texts, pairs)
-    label = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
+    likely = _blocks_of_large(_classed(met, classes))
+    if not likely.isEmpty():
+        more = _linked_stars(texts, _close_pairs(likely, facts, classes, likely_tree))
+        classes = stage(components(_edges(classes).unionByName(more)))
+
+    rest = _to_compare(_classed(met, classes))
+    second = _linked_stars(texts, _close_pairs(rest, facts, classes, close_in_group))
+    label = components(_edges(classes).unionByName(second)).select(F.col("node").alias("rep"), "component")
     return (members.join(label, "rep", "left")
             .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
                     F.coalesce("component", "rep", "doc_id").alias("component_id")))
 
 
+def _edges(classes: DataFrame) -> DataFrame:
+    """(a, b) from every node to the smallest of its class."""
+    return classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _classed(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, rep, entry, class, c: what meets, with the classes found so far; a set without links is its own."""
+    return met.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "token", "rep", "entry", F.coalesce("component", "rep").alias("class"), "c")
+
+
+def _blocks_of_large(named: DataFrame) -> DataFrame:
+    """Staged (g, rep): random blocks of about BLOCK sets of the groups of more than LARGE that hold several classes.
+
+    Every group is cut twice, and a set goes to at most PROBES blocks; which ones is decided by a hash, so sets
+    that share many large groups choose the same. ``named``: token, rep, class, c.
+    """
+    several = (named.where(F.col("c") > LARGE).groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1"))
+               .where("c0 <> c1").select("token"))
+    cut = named.where(F.col("c") > LARGE).join(several, "token").withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = Window.partitionBy("rep").orderBy(F.xxhash64("token", "turn"), "token", "turn")
+    block = F.pmod(F.xxhash64("rep", "token", "turn"), F.ceil(F.col("c") / BLOCK).cast("bigint"))
+    return stage(cut.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PROBES)
+                 .select(F.xxhash64("token", "turn", block).alias("g"), "rep"))
+
+
 def _linked_stars(texts: DataFrame, stars: DataFrame) -> DataFrame:
     """Staged links among candidates: every pivot with its partners in one prefix tree, in blocks."""
     load = stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -362,8 +395,9 @@ def _linked_stars(texts: DataFrame, stars: DataFrame) -> DataFrame:
     return stage(_joined(whole, texts))
 
 
-def close_in_group(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs i < j of different classes that lengths and bitmaps let be similar; bitmaps meet at the smaller width."""
+def _in_reach(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]):
+    """For every i the later j of different classes that lengths and bitmaps let be similar, and how many shingles
+    at least only one of both has; bitmaps meet at the smaller width."""
     widths = np.array([len(m) for m in maps])
     folded, place = {}, {}
     for w in np.unique(widths):
@@ -371,7 +405,6 @@ def close_in_group(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]) ->
         folded[w] = np.stack([_folded(maps[k], w) for k in among])
         place[w] = np.full(len(maps), -1)
         place[w][among] = np.arange(len(among))
-    out = []
     for i in range(len(maps) - 1):
         later = np.flatnonzero((named[i + 1:] != named[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= PERCENT * np.maximum(n[i], n[i + 1:]))) + i + 1
         for w in folded:
@@ -379,13 +412,35 @@ def close_in_group(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]) ->
                 continue
             js = later[widths[later] >= w] if w == widths[i] else later[widths[later] == w]
             if len(js):
-                apart = np.bitwise_count(folded[w][place[w][js]] ^ folded[w][place[w][i]]).sum(axis=1)
-                out.extend((i, int(j)) for j in js[apart <= n[i] + n[js] - 2 * needed_overlap(n[i], n[js])])
+                apart = np.bitwise_count(folded[w][place[w][js]] ^ folded[w][place[w][i]]).sum(axis=1).astype(np.int64)
+                close = apart <= n[i] + n[js] - 2 * needed_overlap(n[i], n[js])
+                yield i, js[close], apart[close]
+
+
+def close_in_group(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs i < j of different classes that lengths and bitmaps let be similar."""
+    return [(i, int(j)) for i, js, _ in _in_reach(n, named, maps) for j in js]
+
+
+def likely_tree(n: np.ndarray, named: np.ndarray, maps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of the pairs of ``close_in_group`` a forest that joins the classes, of the greatest similarity bitmaps allow."""
+    near = np.zeros((len(maps), len(maps)))
+    for i, js, apart in _in_reach(n, named, maps):
+        near[i, js] = near[js, i] = (n[i] + n[js] - apart) / (n[i] + n[js] + apart)
+    near[named[:, None] == named[None, :]] = 2  # joined already
+    best, via, outside, out = np.zeros(len(maps)), np.zeros(len(maps), dtype=np.int64), np.ones(len(maps), dtype=bool), []
+    for _ in maps:
+        i = int(np.argmax(np.where(outside, best, -1)))
+        if 0 < best[i] < 2:
+            out.append((int(min(i, via[i])), int(max(i, via[i]))))
+        outside[i] = False
+        better = near[i] > best
+        best[better], via[better] = near[i][better], i
     return out
 
 
-def _close_pairs(groups: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Staged (pivot, rep) of different classes that lengths and bitmaps let be similar; ``groups``: g, rep."""
+def _close_pairs(groups: DataFrame, facts: DataFrame, classes: DataFrame, choose) -> DataFrame:
+    """Staged (pivot, rep): what ``choose`` takes of the pairs of different classes in a group; ``groups``: g, rep."""
     calls = max(1, -(-groups.count() // (4 * CALL_ROWS)))
     rows = (groups.join(facts, "rep").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .withColumn("class", F.coalesce("component", "rep")).drop("component")
@@ -396,7 +451,7 @@ def _close_pairs(groups: DataFrame, facts: DataFrame, classes: DataFrame) -> Dat
         for _, part in pdf.groupby("g", sort=False):
             reps = part["rep"].to_numpy()
             maps = [np.asarray(w).view(np.uint64) for w in part["bitmap"]]
-            for i, j in close_in_group(part["n"].to_numpy().astype(np.int64), part["class"].to_numpy(), maps):
+            for i, j in choose(part["n"].to_numpy().astype(np.int64), part["class"].to_numpy(), maps):
                 a.append(int(min(reps[i], reps[j])))
                 b.append(int(max(reps[i], reps[j])))
         return pd.DataFrame({"pivot": np.array(a, np.int64), "rep": np.array(b, np.int64)}).drop_duplicates()
