@@ -69,6 +69,56 @@ def test_vptree_recall_with_relaxed_pruning(spark):
     assert np.mean([len(got[q] & {i for i, _ in w}) / 20 for q, w in want.items()]) >= 0.9
 
 
+def _nearest(spark, rows, k, kind="double", **settings):
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], f"vec_id bigint, embedding array<{kind}>")
+    got = defaultdict(list)
+    for r in vptree.nearest(frame, F.col("id") % 20 == 0, k=k, factor=1.0, **settings).orderBy("query_id", "score", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    return {q: [(i, s) for _, i, s in sorted(x)] for q, x in got.items()}
+
+
+def test_vptree_own_id_under_several_vectors(spark):
+    # three near vectors have the query's own id: its k nearest are other ids all the same
+    vectors = _vectors(300).astype(float)
+    rows = [(i, v) for i, v in enumerate(vectors) if i % 20 or i == 40] + [(40, vectors[40] * 0.99), (40, vectors[40] * 0.98)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    found = vptree.nearest(frame, F.col("id") == 40, k=5, factor=1.0).collect()
+    want = {x for _, v in rows[-2:] + [(40, vectors[40])] for x in _brute(rows, 5, [(40, v)])[40]}
+    assert len(found) == 15
+    assert {(r.vec_id, r.score) for r in found} == want
+
+
+@pytest.mark.parametrize("name", ["ties", "closer than single precision", "large", "small"])
+def test_vptree_scores_are_exact(spark, name):
+    rng = np.random.default_rng(4)
+    vectors = _vectors(900).astype(float)
+    if name == "ties":
+        vectors = rng.integers(0, 2, size=(900, 9)).astype(float)
+        vectors[:, 0] = 1.0
+    elif name == "closer than single precision":
+        vectors = vectors[rng.integers(0, 12, size=900)] + 1e-9 * vectors
+    else:
+        vectors *= {"large": 1e100, "small": 1e-100}[name]
+    rows = list(enumerate(vectors))
+    got = _nearest(spark, rows, 7, shard_rows=40, query_rows=3)
+    assert got == _brute(rows, 7, [(i, v) for i, v in rows if i % 20 == 0])
+
+
+def test_vptree_plan(spark, monkeypatch):
+    # one shuffle makes the entries, vectors stay floats, and the second search goes by lanes of shards
+    tables = []
+    monkeypatch.setattr(vptree, "stage", lambda df, keep=vptree.stage: tables.append((df, keep(df))) or tables[-1][1])
+    rows = list(enumerate(_vectors(2600)))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<float>")
+    vptree.nearest(frame, F.col("id") % 20 == 0, k=5, shard_rows=20)
+    assert {dict(df.dtypes)["v"] for df, _ in tables if "v" in df.columns} == {"array<float>"}
+    entries = next(df for df, _ in tables if df.columns == ["h", "v", "ids"])
+    assert entries._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+    shards = next(read for df, read in tables if "blob" in df.columns).count()
+    first, second = [read.count() for df, read in tables if "blocks" in df.columns]
+    assert shards >= 100 and first > second and second <= shards / 8
+
+
 def _listed(url, rules=url_rules.PAGE_RULES):
     if url is None or "://" not in url:
         return "", "", None, None
